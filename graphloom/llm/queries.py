@@ -15,6 +15,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def held_out(modulus: int, *rest: int):
+    """Whether crc32(doc_id as text) modulo `modulus` is among rest."""
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus).isin(*rest)
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(read_table(spark, sf_dir, "documents"), held_out(10, 0))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -44,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_warc, op8_topk, op9_urlrules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm, op4_warc, op8_topk, op9_urlrules, op10_packing)}
 
 ORACLE_SQL = {
     "op4_warc": """
