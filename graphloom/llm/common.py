@@ -112,10 +112,9 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
         _powers[:] = []
         for r in (R, R_INV):
-            x = np.full(n, r, np.uint64)
+            x = np.full(max(n, 1 << 20), r, np.uint64)
             x[0] = 1
             _powers.append(np.cumprod(x, dtype=np.uint64))
     return _powers[0][:n], _powers[1][:n]

@@ -33,6 +33,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantised, top_k
 
@@ -55,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm, op4_warc, op8_topk, op9_urlrules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm, op4_warc, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
 
 ORACLE_SQL = {
     "op4_warc": """
