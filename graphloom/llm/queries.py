@@ -20,6 +20,15 @@ def held_out(modulus: int, *rest: int):
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus).isin(*rest)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out(5, 0)
+    model = fit(docs, read_table(spark, sf_dir, "labels").where(~out))
+    return score(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
@@ -33,6 +42,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    out = held_out(3, 1)
+    scored = score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where(~out))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -61,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm, op4_warc, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_lm, op4_warc, op5_quality, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
 
 ORACLE_SQL = {
     "op4_warc": """
