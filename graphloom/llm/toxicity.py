@@ -195,6 +195,23 @@ def _stem_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[i] for c in count.values()], pa.int64()) for i in range(4))], names=["stem", "c0", "t0", "c1", "t1"])
 
 
+def chosen_stems(found: list[tuple[str, float, int]], same: float = 0.9) -> dict[str, float]:
+    """Of (beginning, log odds, texts): each as long as it can be while it keeps the share `same` of its texts, and none that begins with another."""
+    known = {stem: (o, n) for stem, o, n in found}
+    longest: dict[str, str] = {}
+    for stem, (_, n) in known.items():
+        for k in range(SHORTEST, len(stem)):
+            short = stem[:k]
+            if short in known and n >= same * known[short][1] and len(stem) > len(longest.get(short, short)):
+                longest[short] = stem
+    stems: dict[str, float] = {}
+    for stem in sorted(known, key=lambda x: (len(x), x)):
+        stem = longest.get(stem, stem)
+        if len(stems) < MOST_STEMS and not any(stem[:k] in stems for k in range(SHORTEST, len(stem) + 1)):
+            stems[stem] = known[stem][0]
+    return stems
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from the rows of labels(doc_id, toxic) whose documents are in docs."""
     prepare(docs.sparkSession)
@@ -209,12 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     least = lambda h: F.lit(max(3, n[h, 1] // 250))
     good = counts.where((F.col("t0") >= least(0)) & (F.col("t1") >= least(1))).withColumn("o", F.least(odds(0), odds(1))).where("o > 2.2").withColumn("seen", F.col("t0") + F.col("t1"))
     found = [(r["stem"], r["o"], r["seen"]) for r in good.orderBy(F.desc("seen"), F.desc("o"), F.length("stem"), "stem").limit(10 * MOST_STEMS).collect()]
-    stems: dict[str, float] = {}
-    for stem, o, _ in sorted(found, key=lambda x: (len(x[0]), x[0])):
-        # A longer beginning adds nothing to one that is in already.
-        if len(stems) < MOST_STEMS and not any(stem[:k] in stems for k in range(SHORTEST, len(stem))):
-            stems[stem] = o
-    model = Model(stems or given)
+    model = Model(chosen_stems(found) or given)
 
     def features(batches):
         for b in batches:
