@@ -24,10 +24,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, materialize, per_partition, prepare, ramp, text_bytes, window_hashes, words_of
+from .common import group_count, group_keys, grouped, per_partition, prepare, ramp, text_bytes, window_hashes, words_of
 from .exchange import ASK, answers, ask, short, totals
 
 WINDOW, PREFIX, HEAVY = 13, 5, 64
@@ -112,9 +113,9 @@ def _records(buckets, window, prefix, heavy):
         shared = totals(got, "short", buckets)[at] if len(distinct) else np.zeros(0, np.int64)
         first = w.first_in_group() if len(at) else np.zeros(0, np.int64)
         local = w.doc[w.row[first]] < w.doc[w.row]
-        # What the group covers by itself goes straight to its last step, as runs of window starts.
+        # What the group covers by itself passes through any subtree's task, as runs of window starts (doc_id holds their ends).
         row, lo, hi = _runs(w.row[local], w.at[local]) or (np.zeros(0, np.int64),) * 3
-        parts.append(pa.Table.from_arrays([pa.array(np.full(len(row), -1), pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.array(hi.astype(np.int64)), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(lo, pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.nulls(len(row), pa.binary())], schema=_RECORD))
+        parts.append(pa.Table.from_arrays([pa.array(np.full(len(row), buckets[grp % len(buckets)]), pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.array(hi.astype(np.int64)), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(lo, pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.nulls(len(row), pa.binary())], schema=_RECORD))
         # A window that a document repeats is asked for at each place, since each is to go.
         ask_for = np.flatnonzero((shared > 1) & ~local)
         words = w.ids.astype(np.uint32)
@@ -159,8 +160,12 @@ def _subtrees(window):
     """A bucket's subtrees: the windows of its records, sorted; nodes of depth `window`; what their smallest documents cover."""
 
     def run(t: pa.Table) -> pa.Table:
-        if t.column("bucket")[0].as_py() < 0:
-            return pa.Table.from_arrays([t.column("grp").combine_chunks(), t.column("row").combine_chunks(), t.column("at").combine_chunks(), t.column("doc_id").combine_chunks().cast(pa.int32())], schema=_COVER)
+        done = pc.is_null(t.column("words"))
+        known = t.filter(done)
+        known = pa.Table.from_arrays([known.column("grp"), known.column("row"), known.column("at"), known.column("doc_id").cast(pa.int32())], schema=_COVER)
+        t = t.filter(pc.invert(done))
+        if not t.num_rows:
+            return known.combine_chunks()
         blob = t.column("words").combine_chunks()
         off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64) // 4
         words = np.frombuffer(blob.buffers()[2], np.uint32)[: off[-1]].astype(np.uint64)
@@ -183,11 +188,11 @@ def _subtrees(window):
         covered = doc[lead] < doc
         grp, row, at = (t.column(n).to_numpy()[record[covered]] for n in ("grp", "row", "at"))
         at = at + shift[covered]
-        out = []
+        out = [known]
         for g in np.unique(grp):
             r, lo, hi = _runs(row[grp == g], at[grp == g])
             out.append(pa.Table.from_arrays([pa.array(np.full(len(r), g), pa.int32()), pa.array(r, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=_COVER))
-        return pa.concat_tables(out).combine_chunks() if out else _COVER.empty_table()
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
@@ -237,20 +242,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     groups = group_count(spark, text_bytes(docs))
-    whole = grouped(docs, groups)
-    text = whole.select("doc_id", "text", "grp") if not keep else grouped(docs.select("doc_id", "text"), groups)
+    # One exchange of the texts, which the plan uses three times.
+    text = grouped(docs, groups)
     buckets = group_keys(spark, groups)
     got = answers(text.mapInArrow(_asks(buckets, window, prefix), ASK), groups).repartition(groups, "grp")
     records = text.groupBy("grp").cogroup(got.groupBy("grp")).applyInArrow(_records(buckets, window, prefix, heavy), RECORD)
-    # Runs that a group found by itself pass through, dealt by their group.
-    records = records.withColumn("at_group", F.when(F.col("bucket") < 0, F.col("grp")).otherwise(F.lit(0)))
-    covers = records.repartition(groups, F.when(F.col("bucket") < 0, F.col("grp")).otherwise(F.col("bucket"))).groupBy("bucket", "at_group").applyInArrow(_subtrees(window), COVER)
-    covers = materialize(covers)
+    covers = records.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_subtrees(window), COVER).repartition(groups, "grp")
     fields = [("doc_id", pa.int64())] + [(c, _arrow(docs.schema[c].dataType)) for c in keep] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text" if texts else "kept_sha256", pa.string())]
     names = [n for n, _ in fields]
     types = {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string", "doc_id": "long"}
     ddl = ", ".join(f"`{n}` {types.get(n) or docs.schema[n].dataType.simpleString()}" for n in names)
-    return whole.groupBy("grp").cogroup(covers.repartition(groups, "grp").groupBy("grp")).applyInArrow(_kept(window, prefix, names, pa.schema(fields)), ddl)
+    return text.groupBy("grp").cogroup(covers.groupBy("grp")).applyInArrow(_kept(window, prefix, names, pa.schema(fields)), ddl)
 
 
 def _arrow(kind):
