@@ -50,6 +50,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -78,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_lm, op4_warc, op5_quality, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_lm, op4_warc, op5_quality, op6_decontaminate, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
 
 ORACLE_SQL = {
     "op4_warc": """

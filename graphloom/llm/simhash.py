@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, ramp
+from .common import materialize, mix, powers, prepare, ramp, text_buffers, window_hashes, words_of
 from .components import components
 
 SEED = 42
@@ -81,26 +81,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _entries(halves: DataFrame) -> DataFrame:
-    """From rep, fp: rows key, fp, rep, entry; key holds the half's number and value."""
+def _entries(fps: DataFrame, bits: int, ball: bool = True) -> DataFrame:
+    """From rep, fp and parts (a fingerprint's segments): rows key, fp, rep. key holds the segment's number, its value, and in the last bit 0 for the table's entry or 1 for a question."""
 
     def run(batches):
         for b in batches:
             rep, fp = (b.column(n).to_numpy() for n in ("rep", "fp"))
-            bits = fp.view(np.uint64)
-            for half in (0, 1):
-                value = (bits >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                for flip in range(-1, 32):
-                    asks = np.ones(len(rep), bool) if flip < 0 else (value >> np.uint64(flip)) & np.uint64(1) == 0
-                    key = (value if flip < 0 else value | np.uint64(1 << flip))[asks] | np.uint64(half << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[asks]), pa.array(rep[asks])], names=["key", "fp", "rep"])
+            parts = np.frombuffer(b"".join(b.column("parts").to_pylist()), "<u4").reshape(len(rep), -1)
+            for seg in range(parts.shape[1]):
+                value = parts[:, seg].astype(np.int64)
+                for flip in range(-1, bits if ball else 0):
+                    asks = np.ones(len(rep), bool) if flip < 0 else value >> flip & 1 == 0
+                    key = (seg << bits | (value if flip < 0 else value | 1 << flip)) << 1 | (flip >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[asks]), pa.array(fp[asks]), pa.array(rep[asks])], names=["key", "fp", "rep"])
 
-    return halves.select("rep", "fp").mapInArrow(run, "key long, fp long, rep long")
-
-
-def _is_entry(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    half = (key >> 32).astype(np.uint64)
-    return (fp.view(np.uint64) >> (np.uint64(32) * half)) & np.uint64(0xFFFFFFFF) == key.view(np.uint64) & np.uint64(0xFFFFFFFF)
+    return fps.select("rep", "fp", "parts").mapInArrow(run, "key long, fp long, rep long")
 
 
 def _linked(run: np.ndarray, entry: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int):
@@ -126,33 +121,39 @@ def _linked(run: np.ndarray, entry: np.ndarray, fp: np.ndarray, rep: np.ndarray,
         at = to
 
 
-def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
-    """a, b: links between rep's of rows (rep, fp) with different fingerprints, with the components that all links have."""
-    if not 0 <= distance <= 3:
-        raise ValueError("one half within one bit is certain only for distances up to 3")
+def halves(fps: DataFrame) -> DataFrame:
+    """rep, fp with parts: both 32-bit halves of the fingerprint."""
+
+    def run(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy().astype("<i8").view("<u4").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("fp"), pa.array([x.tobytes() for x in fp], pa.binary())], names=["rep", "fp", "parts"])
+
+    return fps.select("rep", "fp").mapInArrow(run, "rep long, fp long, parts binary")
+
+
+def links(fps: DataFrame, distance: int = 3, bits: int = 32, block: int = 4096) -> DataFrame:
+    """a, b: links between rep's of rows (rep, fp, parts) that are within one bit in one part of `bits` bits and within `distance` in fp; a set with the components that all such links have."""
     spark: SparkSession = fps.sparkSession
     prepare(spark)
-    table = fps.select(F.explode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))).alias("key")).groupBy("key").count()
-    heavy = table.where(F.col("count") > block)
-    asked = _entries(fps)
-    cells = F.lit(0).alias("cell")
+    heavy = _entries(fps, bits, ball=False).groupBy("key").count().where(F.col("count") > block)
+    asked = _entries(fps, bits)
     if (many := heavy.count()) > 0:
-        flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(32)])
-        # A half is asked for by the fingerprints that have it and by those one bit away.
+        flips = F.array(F.lit(0), *[F.lit(2 << i) for i in range(bits)])
+        # A value is asked for by the fingerprints that have it and by those one bit away.
         near = heavy.select("count", F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x.cast("long")))).alias("key"))
         near = near.groupBy("key").agg(F.sum("count").alias("askers")).join(heavy.select("key", F.col("count").alias("entries")), "key", "left")
-        near = materialize(near.select("key", F.ceil(F.col("askers") / block).cast("int").alias("na"), F.ceil(F.coalesce("entries", F.lit(block)) / block).cast("int").alias("ne")))
-        asked = asked.join(F.broadcast(near) if many <= 2000 else near, "key", "left")
-        entry = F.when(F.col("key") >= F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-        is_entry = entry == F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+        near = materialize(near.select(F.shiftright("key", 1).alias("k"), F.ceil(F.col("askers") / block).cast("int").alias("na"), F.ceil(F.coalesce("entries", F.lit(block)) / block).cast("int").alias("ne")))
+        asked = asked.withColumn("k", F.shiftright("key", 1)).join(F.broadcast(near) if many <= 2000 else near, "k", "left")
+        is_entry = F.col("key").bitwiseAND(F.lit(1)) == 0
         na, ne = F.coalesce("na", F.lit(1)), F.coalesce("ne", F.lit(1))
-        row, column = F.pmod(F.xxhash64("fp"), na), F.pmod(F.xxhash64("fp", F.lit(1)), ne)
+        row, column = F.pmod(F.xxhash64("rep"), na), F.pmod(F.xxhash64("rep", F.lit(1)), ne)
         as_asker = F.transform(F.sequence(F.lit(0), ne - 1), lambda e: F.struct((row * ne + e).cast("int").alias("cell"), F.lit(True).alias("asks"), (is_entry & (e == column)).alias("held")))
         as_entry = F.transform(F.sequence(F.lit(0), na - 1), lambda r: F.struct((r * ne + column).cast("int").alias("cell"), (r == row).alias("asks"), F.lit(True).alias("held")))
         both = F.when(is_entry, F.array_distinct(F.concat(as_asker, as_entry))).otherwise(as_asker)
         asked = asked.select("key", "fp", "rep", F.explode(both).alias("c")).select("key", F.col("c.cell").alias("cell"), "fp", "rep", F.col("c.asks").alias("asks"), F.col("c.held").alias("held"))
     else:
-        asked = asked.select("key", cells, "fp", "rep")
+        asked = asked.select("key", F.lit(0).alias("cell"), "fp", "rep")
 
     salted = many > 0
 
@@ -161,9 +162,9 @@ def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
 
         def found(t: pa.Table):
             key, cell, fp, rep = (t.column(n).to_numpy() for n in ("key", "cell", "fp", "rep"))
+            entry, key = key & 1 == 0, key >> 1
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             number = np.cumsum(new) - 1
-            entry = _is_entry(key, fp)
             asks = None
             if salted:
                 asks, entry = t.column("asks").to_numpy(), t.column("held").to_numpy()
@@ -174,7 +175,7 @@ def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
 
         for b in batches:
             t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
-            key, cell = t.column("key").to_numpy(), t.column("cell").to_numpy()
+            key, cell = t.column("key").to_numpy() >> 1, t.column("cell").to_numpy()
             last = int(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))[-1]) if len(key) else 0
             left = t.slice(last)
             if last:
@@ -184,7 +185,8 @@ def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
             for a, c in found(left):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
 
-    return asked.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long").distinct()
+    k = F.shiftright("key", 1)
+    return asked.repartition(k, "cell").sortWithinPartitions(k, "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _cells(number, entry, asks, fp, rep, distance):
@@ -208,9 +210,11 @@ def _cells(number, entry, asks, fp, rep, distance):
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, block: int = 4096) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach from the document's fingerprint."""
+    if not 0 <= distance <= 3:
+        raise ValueError("one half within one bit is certain only for distances up to 3")
     own = materialize(fingerprints(docs, words))
     reps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    part = components(links(reps, distance, block))
+    part = components(links(halves(reps), distance, 32, block))
     named = materialize(reps.join(part, reps["rep"] == part["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -218,3 +222,132 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, block: i
 def hexed(fp):
     """A fingerprint column as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# ---- groups of texts with a shingle similarity of a threshold or more, found by the same index ----
+
+PARTS, PART_BITS, LOOSE = 8, 24, 14
+SMALL_BYTES, SMALL_COUNT = 4 << 20, 1024
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, s1, s2 (128 bits for the sequence of words, A-Z lower-cased), size, fp and parts: a 64-bit and a 192-bit SimHash of the set of words."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            ids, n = words_of(b.column("text"), lower=True)
+            row = np.repeat(np.arange(len(n)), n)
+            at = ramp(n)
+            pw = powers(int(n.max()) + 1 if len(n) else 1)
+            sums = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
+            have = n > 0
+            first = (np.cumsum(n) - n)[have]
+            for k in range(2):
+                sums[k][have] = np.add.reduceat(mix(ids + np.uint64(k)) * pw[k][at], first) if have.any() else 0
+            order = np.lexsort((ids, row))
+            ids, row = ids[order], row[order]
+            one = np.concatenate(([True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]))) if len(ids) else np.zeros(0, bool)
+            ids, row = ids[one], row[one]
+            bits = np.zeros((len(n), 32), np.uint8)
+            m = np.bincount(row, minlength=len(n))
+            ends = np.cumsum(m)
+            s = 0
+            while s < len(n):
+                # Up to some ten thousand words at once: 256 bytes each.
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 20_000, side="right")))
+                part = ids[ends[s] - m[s] : ends[e - 1]]
+                if len(part):
+                    wide = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(1, 5)], axis=1)
+                    ones = np.unpackbits(wide.view(np.uint8).reshape(len(part), 32), axis=1, bitorder="little")
+                    some = np.flatnonzero(m[s:e])
+                    counts = np.add.reduceat(ones.astype(np.int32), (ends[s:e] - m[s:e] - (ends[s] - m[s]))[some], axis=0)
+                    bits[s:e][some] = np.packbits(2 * counts > m[s:e][some][:, None], axis=1, bitorder="little")
+                s = e
+            triples = bits[:, 8:].reshape(len(n), PARTS, 3).astype("<u4")
+            parts = (triples[:, :, 0] | triples[:, :, 1] << 8 | triples[:, :, 2] << 16).astype("<u4")
+            size = np.concatenate([np.diff(off) for _, off in text_buffers(b.column("text"))]) if len(n) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, size long, fp long, parts binary")
+
+
+def _similar(words: int, threshold: float):
+    """In each cluster of the group: a spanning forest of the pairs with a Jaccard similarity of shingle sets of at least threshold."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, cluster = t.column("node").to_numpy(), t.column("component").to_numpy()
+        ids, n = words_of(t.column("text"), lower=True)
+        grams, many = window_hashes(ids, words), np.maximum(n - words + 1, 0)
+        start = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), many)
+        grams = grams[start[row] + ramp(many)]
+        # Fewer words than a shingle has: the whole sequence is one.
+        for i in np.flatnonzero((n > 0) & (n < words)):
+            grams, row = np.append(grams, mix(np.array([hash(tuple(ids[start[i] : start[i] + n[i]].tolist())) % (1 << 64)], np.uint64))), np.append(row, i)
+        order = np.lexsort((grams, row))
+        grams, row = grams[order], row[order]
+        one = np.concatenate(([True], (grams[1:] != grams[:-1]) | (row[1:] != row[:-1]))) if len(grams) else np.zeros(0, bool)
+        grams, row = grams[one], row[one]
+        size = np.bincount(row, minlength=len(n))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        by = np.argsort(cluster, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(cluster[by]) != 0, [True])))
+        begin = np.searchsorted(row, np.arange(len(n) + 1))
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            own = by[s:e]
+            if len(own) < 2:
+                continue
+            where = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in own])
+            _, col, seen = np.unique(grams[where], return_inverse=True, return_counts=True)
+            who = np.repeat(np.arange(len(own)), size[own])
+            shared = seen[col] > 1
+            _, col = np.unique(col[shared], return_inverse=True)
+            who = who[shared]
+            both = np.zeros((len(own), len(own)), np.float32)
+            by_col = np.argsort(col, kind="stable")
+            col, who = col[by_col], who[by_col]
+            for c in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+                lo, hi = np.searchsorted(col, (c, c + 4096))
+                x = np.zeros((len(own), 4096), np.float32)
+                x[who[lo:hi], col[lo:hi] - c] = 1
+                both += x @ x.T
+            union = size[own][:, None] + size[own][None, :] - both
+            i, j = np.nonzero(np.triu((both >= threshold * union - 1e-6) & (union > 0), 1))
+            if len(i):
+                x, y = forest(node[own[i]], node[own[j]])
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block: int = 4096) -> DataFrame:
+    """doc_id, group_id: the smallest doc_id that is reached over pairs of texts whose sets of word shingles have a Jaccard similarity of at least threshold.
+
+    The index finds candidates: texts whose SimHashes of word sets agree within one bit in one of eight 24-bit parts and in all
+    but 14 of 64 further bits. Texts in one component of candidates are then compared exactly, components of many or long
+    texts in blocks against blocks. Texts with the same words are one text here, as are texts without words.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = materialize(sketches(docs))
+    reps = materialize(own.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "size", "fp", "parts"), "doc_id").alias("r")).select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.fp").alias("fp"), F.col("r.parts").alias("parts")))
+    coarse = components(links(reps, LOOSE, PART_BITS, block))
+    member = materialize(coarse.join(reps.select(F.col("rep").alias("node"), "size"), "node"))
+    sums = member.groupBy("component").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / (SMALL_BYTES // 2)), F.ceil(F.col("n") / (SMALL_COUNT // 2))).cast("int")
+    sums = materialize(sums.withColumn("blocks", F.when((F.col("bytes") > SMALL_BYTES) | (F.col("n") > SMALL_COUNT), blocks).otherwise(F.lit(1))))
+    total, members = sums.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bundles = max(1, -(-total // (2 * SMALL_BYTES)), min(spark.sparkContext.defaultParallelism, total >> 18))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+    dealt = member.join(sums.select("component", "blocks"), "component").select("node", "component", F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("g1"), F.when(F.col("blocks") > 1, cells).otherwise(F.array(F.lit(0))).alias("cells"))
+    dealt = materialize(dealt)
+    # 40 bytes a member at most in the small case.
+    texts = docs.join(F.broadcast(dealt) if members <= 500_000 else dealt, F.col("doc_id") == F.col("node"))
+    found = texts.select("node", "component", "text", "g1", F.explode("cells").alias("g2")).groupBy("g1", "g2").applyInArrow(_similar(words, threshold), "a long, b long")
+    part = components(found.distinct())
+    named = materialize(reps.join(part, reps["rep"] == part["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("group_id")))
+    return own.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "group_id")
