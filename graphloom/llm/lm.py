@@ -7,8 +7,8 @@ once less in the counts that predict it.
 
 Counts cover every training document (see exchange.py for how groups of documents get at them). For each document the counts of
 its tokens are kept as two packed lists, from which everything else follows without the text. What EM needs of them is a
-histogram over (bucket, bigram count, context count, word count) with counts above 64 kept to within a sixteenth of a power of
-two; scores use exact counts.
+histogram over bucket and the logarithms of both estimates, to a quarter and a half of a power of two, so it has a bounded
+size; scores use exact counts.
 
 Null texts count as empty: one token, the end. Repeated rows count and are scored each on its own.
 """
@@ -25,7 +25,6 @@ from .exchange import ASK, answers, ask, pack_counts, short, totals, unpack_coun
 
 START, STOP = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 40
-SLOT = 16
 ALPHA = 0.1
 
 
@@ -98,20 +97,19 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.frexp(context.astype(np.float64))[1], 0)
 
 
-def rough(n: np.ndarray) -> np.ndarray:
-    """Counts up to 64 as they are, larger ones to within a sixteenth of a power of two."""
-    m, e = np.frexp(np.maximum(n, 1).astype(np.float64))
-    return np.where(n <= 64, n, np.ldexp(np.round(m * 2 * SLOT) / (2 * SLOT), e)).astype(np.int64)
+def log_steps(p: np.ndarray, steps: int) -> np.ndarray:
+    """log2 of p in so many steps a power of two; 255 below stands for zero."""
+    return np.where(p > 0, np.round(steps * np.log2(np.maximum(p, 1e-30))), -255).astype(np.int64)
 
 
 def learn_weights(hist: np.ndarray, total: int, vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """EM over rows (bucket, bigram count, context count, word count, tokens): weights l2, l1, l0 of each bucket. Counts are less the token itself."""
+    """EM over rows (bucket, log steps of the bigram estimate, log steps of the word count, tokens): weights l2, l1, l0 of each bucket."""
     weights = np.tile(np.array([0.3, 0.6, 0.1]), (BUCKETS, 1))
     weights[0] = (0.0, 0.9, 0.1)
     if not len(hist):
         return weights
-    b, pair, context, word, many = (hist[:, i] for i in range(5))
-    p = np.stack([np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(total - 1, 1), np.full(len(hist), 1.0 / (vocabulary + 1))], axis=1)
+    b, pair, word, many = (hist[:, i] for i in range(4))
+    p = np.stack([np.where(pair > -255, 2.0 ** (pair / 4), 0.0), np.where(word > -255, 2.0 ** (word / 2), 0.0) / max(total - 1, 1), np.full(len(hist), 1.0 / (vocabulary + 1))], axis=1)
     for _ in range(rounds):
         share = weights[b] * p
         share *= (many / share.sum(axis=1))[:, None]
@@ -146,19 +144,18 @@ def score(docs: DataFrame, held_out, alpha: float = ALPHA) -> DataFrame:
                     continue
                 word, pair = unpack_words(w, wl), unpack_counts(p, pl)
                 tokens, n_docs, kinds = tokens + len(word), n_docs + 1, kinds + (1.0 / word).sum()
-                context = word[:-1]
-                parts.append(np.stack([bucket_of(context - 1), rough(pair[1:] - 1), rough(context - 1), rough(word[1:] - 1)], axis=1))
-            if parts:
-                rows, n = np.unique(np.concatenate(parts), axis=0, return_counts=True) if sum(map(len, parts)) else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i].astype(np.int64)) for i in range(4)), pa.array(n), pa.array(np.zeros(len(n)))], names=["b", "pair", "context", "word", "n", "kinds"])
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, n_docs, 0, 0, tokens)] + [pa.array([kinds])], names=["b", "pair", "context", "word", "n", "kinds"])
-
-    found = stats.mapInArrow(summary, "b long, pair long, context long, word long, n long, kinds double")
-    # Bounded: at most BUCKETS x the rough counts that occur together.
-    hist = found.groupBy("b", "pair", "context", "word").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
-    rows = hist.where("b >= 0").select("b", "pair", "context", "word", "n").toPandas().to_numpy(np.int64)
-    n_docs, tokens, kinds = found.where("b = -1").agg(F.sum("pair"), F.sum("n"), F.sum("kinds")).first()
-    n_docs, tokens, kinds = n_docs or 0, tokens or 0, round(kinds or 0.0)
+                context = word[:-1] - 1
+                parts.append((bucket_of(context) << 20) + ((log_steps((pair[1:] - 1) / np.maximum(context, 1), 4) + 255) << 10) + log_steps(word[1:] - 1, 2) + 255)
+            codes, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
+            # The code -1 carries the sums: training documents, tokens, and distinct words.
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, tokens)), pa.array(np.append(np.zeros(len(n), np.int64), n_docs)), pa.array(np.append(np.zeros(len(n)), kinds))], names=["code", "n", "docs", "kinds"])
+
+    found = stats.mapInArrow(summary, "code long, n long, docs long, kinds double").groupBy("code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum("kinds").alias("kinds"))
+    # At most BUCKETS x 120 x 120 rows.
+    found = found.collect()
+    n_docs, tokens, kinds = next(((r["docs"], r["n"], round(r["kinds"])) for r in found if r["code"] == -1), (0, 0, 0))
+    code = np.array([(r["code"], r["n"]) for r in found if r["code"] >= 0], np.int64).reshape(-1, 2)
+    rows = np.stack([code[:, 0] >> 20, (code[:, 0] >> 10 & 1023) - 255, (code[:, 0] & 1023) - 255, code[:, 1]], axis=1)
     weights = learn_weights(rows, tokens, kinds)
 
     def scored(batches):
