@@ -1,8 +1,87 @@
-"""Corpus pipeline (stages follow)."""
+"""From documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all rows of docs; its result is written as Parquet and
+reread as the next stage's docs. All but the last return the columns of documents, so each can be run, checked and repeated by
+itself.
+
+1. toxicity: documents that the clause grammar scores at 0.5 or more go. Learned from `labels`.
+2. near_duplicates: of each group of texts that share 0.8 of their 5-word shingles or more, directly or over others, the document
+   with the smallest doc_id stays.
+3. substring_dedup: words under windows of 13 words that also start in a document with a smaller doc_id go; a text that loses words
+   is what is left, joined by single spaces, and n_chars is counted anew. Documents that lose all their words go.
+4. decontamination: documents with a passage of `benchmark` go.
+5. packing: the pieces of the documents and their places in sequences of 2048 tokens.
+
+Rows with one doc_id count as one document: they stay or go together. Null texts are empty ones; they stay until texts without
+words are found to be equal, and one of them stays. Extra columns are kept by the filtering stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import materialize, prepare, read_table, scratch_dir
+
+#: SQL cannot express the stages; tests compare each with a brute-force version.
 ORACLE_SQL = None
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the doc_ids in gone; these are sent to the documents while they are few, else both are dealt by doc_id."""
+    gone = materialize(gone.select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import fit, score
+
+    prepare(spark)
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    columns = docs.columns
+    return score(docs, model).where("predicted = 0").select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from graphloom.llm.simhash import similar_groups
+
+    prepare(spark)
+    return without(docs, similar_groups(docs).where("doc_id <> group_id"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substrings import remove_repeats
+
+    prepare(spark)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = remove_repeats(docs, keep=tuple(rest), original=True).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in rest else None
+    return kept.select(*[F.col("kept_text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import agree, matches
+
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    return without(docs, agree(matches(docs, benchmark), docs, benchmark))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.packing import pack
+
+    return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), scratch_dir(spark))
+    return docs

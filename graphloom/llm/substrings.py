@@ -197,7 +197,7 @@ def _subtrees(window):
     return run
 
 
-def _kept(window, prefix, names, schema):
+def _kept(window, prefix, original, schema):
     """Each document with the words that no covered window holds."""
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
@@ -209,14 +209,16 @@ def _kept(window, prefix, names, schema):
         np.add.at(gone, w.first[row] + lo, 1)
         np.add.at(gone, w.first[row] + hi + window - 1, -1)
         gone = np.cumsum(gone)[:-1] > 0
-        text = pa.array([None if x is None else x for x in t.column("text").to_pylist()], pa.large_string())
-        texts = [b for b in text.cast(pa.large_binary()).to_pylist()]
+        texts = t.column("text").cast(pa.large_binary()).to_pylist()
         kept, removed = [], []
         for k, i in enumerate(w.order):
             s = w.first[k]
             out = gone[s : s + w.n[k]]
-            parts = (texts[i] or b"").split()
             removed.append(int(out.sum()))
+            if original and not removed[-1]:
+                kept.append(texts[i])
+                continue
+            parts = (texts[i] or b"").split()
             kept.append(b" ".join([p for p, g in zip(parts, out.tolist(), strict=True) if not g]) if removed[-1] else b" ".join(parts))
         back = np.argsort(w.order)
         cols = {"n_words": w.n[back].astype(np.int64), "n_removed": np.array(removed, np.int64)[back]}
@@ -236,8 +238,8 @@ def _kept(window, prefix, names, schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, heavy: int = HEAVY, keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
-    """doc_id, the columns of keep, n_words, n_removed, and kept_text (or kept_sha256 if not texts) for each row."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, heavy: int = HEAVY, keep: tuple[str, ...] = (), texts: bool = True, original: bool = False) -> DataFrame:
+    """doc_id, the columns of keep, n_words, n_removed, and kept_text (or kept_sha256 if not texts) for each row. original: a text that loses nothing stays as it is, white space included."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
@@ -252,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     names = [n for n, _ in fields]
     types = {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string", "doc_id": "long"}
     ddl = ", ".join(f"`{n}` {types.get(n) or docs.schema[n].dataType.simpleString()}" for n in names)
-    return text.groupBy("grp").cogroup(covers.groupBy("grp")).applyInArrow(_kept(window, prefix, names, pa.schema(fields)), ddl)
+    return text.groupBy("grp").cogroup(covers.groupBy("grp")).applyInArrow(_kept(window, prefix, original, pa.schema(fields)), ddl)
 
 
 def _arrow(kind):
