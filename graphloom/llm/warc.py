@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_dir
+from .common import materialize, prepare, scratch_dir
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 LEAST = 100
+BROADCAST_ROWS = 500_000
+#: About so many bytes go into one archive, as the mean record has it; a reader holds one archive in memory.
+ARCHIVE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -43,8 +46,9 @@ def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     big = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b")).select("page_id", F.sha2("b", 256).alias("digest"), F.octet_length("b").alias("size")).where(F.col("size") >= least)
     # Copies only: what occurs once is a response and needs no join partner.
-    first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
+    first = materialize(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    # A small table goes to the payloads; beyond that size payloads are dealt by digest, and adaptive execution splits frequent ones.
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left").withColumn("copy", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
 
 
 def record_text(rows: DataFrame) -> DataFrame:
@@ -67,7 +71,9 @@ def record_text(rows: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str | None = None, least: int = LEAST) -> str:
     """Writes one record for each page; returns the folder of archives."""
     path = path or scratch_dir(pages.sparkSession)
-    record_text(classified(pages, least)).write.mode("overwrite").option("lineSep", END).option("compression", "none").text(path)
+    mean = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    files = record_text(classified(pages, least)).write.mode("overwrite").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES // (mean + 600))))
+    files.option("lineSep", END).option("compression", "none").text(path)
     return path
 
 
