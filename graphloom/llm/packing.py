@@ -13,9 +13,11 @@ and text are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,11 @@ SALTS = 64
 #: How byte-level BPE vocabularies of this kind split a text before merging, for texts of Latin letters; other texts go whole to the tokenizer.
 PLAIN = re.compile(r"[\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\sA-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]+|\s+(?!\S)|\s+")
+#: Byte-level vocabularies write a byte that prints as its character, and the others as those from 256 on, in order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = dict(zip([b for b in range(256) if b not in _PRINTS], range(256, 512), strict=False))
 #: Entries of a worker's table of known splits; it is emptied when full, which changes no result.
-KNOWN = 1_000_000
+KNOWN = 300_000
 
 
 class Encoder:
@@ -40,25 +45,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        # Splits are merged one by one only where the vocabulary works on bytes and changes nothing before.
+        self.bytewise = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and (parts["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not parts["pre_tokenizer"]["add_prefix_space"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, splits: list[str]) -> None:
+        """Adds splits to the table: the vocabulary's model merges each by itself."""
+        merge = self.tokenizer.model.tokenize
+        for w in splits:
+            self.known[w] = array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(BYTES))]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        plain = [self.bytewise and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [PIECES.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > KNOWN:
             self.known.clear()
-        new: set[str] = set()
-        for s in split:
-            if s:
-                new.update(s)
-        missing = list(new.difference(self.known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.known.update(zip(part, self.whole(part), strict=True))
+        self.learn(list(set().union(*[s for s in split if s]).difference(self.known)))
         rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if s is not None else next(rest) for s in split]
@@ -147,6 +154,13 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
 
     def run(batches):
         enc = encoder(path)
+        try:
+            yield from cut_all(enc, batches)
+        finally:
+            # Workers outlive tasks, and an idle one is not to hold a table.
+            enc.known.clear()
+
+    def cut_all(enc, batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             rows = []
