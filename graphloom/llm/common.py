@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds; a Python worker keeps a few times as much.
 GROUP_BYTES = 8 << 20
+#: Bytes that are hashed at once.
+STRIDE = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +131,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The UTF-8 bytes and the row offsets of each chunk of a string column; null counts as empty."""
+    """UTF-8 bytes and row offsets of a string column, some rows at a time; null counts as empty."""
     for a in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(a):
             continue
@@ -137,8 +139,13 @@ def text_buffers(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarra
         if a.null_count:
             a = a.fill_null("")
         off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
-        data = np.frombuffer(a.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-        yield data, off - off[0]
+        data = np.frombuffer(a.buffers()[2], np.uint8) if off[-1] > off[0] else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(a):
+            # Rows of about a megabyte together: what is computed for each byte stays small.
+            to = max(at + 1, int(np.searchsorted(off, off[at] + STRIDE, side="right")) - 1)
+            yield data[off[at] : off[to]], off[at : to + 1] - off[at]
+            at = to
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
