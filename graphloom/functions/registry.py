@@ -58,9 +58,10 @@ def _range(c: list[Column]) -> Column:
 
 def _gcd(c: list[Column]) -> Column:
     """Euclid's algorithm; 93 rounds suffice for any longs."""
-    pair = F.struct(F.abs(c[0]).alias("a"), F.abs(c[1]).alias("b"))
-    step = lambda p, _: F.struct(F.when(p.b == 0, p.a).otherwise(p.b).alias("a"), F.when(p.b == 0, p.b).otherwise(p.a % F.when(p.b == 0, F.lit(1)).otherwise(p.b)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), pair, step, lambda p: p.a)
+    pair = F.struct(F.abs(c[0].cast("bigint")).alias("a"), F.abs(c[1].cast("bigint")).alias("b"))
+    kind = "struct<a:bigint,b:bigint>"
+    step = lambda p, _: F.struct(F.when(p.b == 0, p.a).otherwise(p.b).alias("a"), F.when(p.b == 0, p.b).otherwise(p.a % F.when(p.b == 0, F.lit(1)).otherwise(p.b)).alias("b")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), pair.cast(kind), step, lambda p: p.a)
 
 
 def _lcm(c: list[Column]) -> Column:

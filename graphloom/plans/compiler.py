@@ -362,7 +362,7 @@ class Compiler:
         both, other = self.beside(rows, right, shared)
         cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(o) for k, o in other.items()]) if other else F.lit(True)
         if where is not None:
-            cond = cond & self.expr(Rows(None, both.vars), where)
+            cond = cond & self.across(rows, right, both, where)
         df = rows.df.join(right.df, cond, "left").drop(*other.values())
         return Rows(df, both.vars)
 
@@ -384,6 +384,13 @@ class Compiler:
         right.df = right.df.drop(*drop).withColumnsRenamed(other)
         return Rows(None, {n: v for n, v in right.vars.items() if n not in rows.vars} | rows.vars), other
 
+    def across(self, rows: Rows, right: Rows, both: Rows, e) -> Column:
+        """An expression over columns of both sides of a join that is about to be made."""
+        held, self.rows = self.rows, Rows(rows.df.crossJoin(right.df), both.vars)
+        col = self.expr(self.rows, e)
+        self.rows = held
+        return col
+
     # -- filters and subqueries --
     def where(self, rows: Rows, e) -> Rows:
         if e is None:
@@ -420,11 +427,11 @@ class Compiler:
             if where is not None and not outer:
                 right = self.where(right, where)
             elif where is not None:
-                conds.append(self.expr(Rows(None, both.vars), where))
+                conds.append(self.across(rows, right, both, where))
             conds += [F.col(k) == F.col(o) for k, o in other.items()]
             if equal_to is not None:
                 item = clauses[1][1].items[0][0]
-                conds.append(equal_to == self.expr(Rows(None, both.vars), item))
+                conds.append(equal_to == self.across(rows, right, both, item))
             df = right.df
         else:
             got = Compiler(self.graph, self.params, self.spark).query(q)
