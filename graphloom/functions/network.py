@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .temporal import literal
 
-_ADDRESS = re.compile(r"^[0-9A-Fa-f:.]+(/\d+)?$")
+_ADDRESS = re.compile(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*)(/\d+)?$")
 
 
 def _iface(x):

@@ -271,7 +271,7 @@ def field(a: Column, ta: T.DataType, key: Column, text: bool) -> Column:
             out = F.when(key == n, a.getField(n).cast("string")) if out is None else out.when(key == n, a.getField(n).cast("string"))
         return out
     else:
-        return F.get_json_object(a, F.concat(F.lit("$."), key.cast("string")))
+        return F.call_function("get_json_object", a, F.concat(F.lit("$."), key.cast("string")))
     return out.cast("string") if text else out
 
 

@@ -164,6 +164,8 @@ class Compiler:
 
     # -- patterns --
     def scan_node(self, n: NodePattern, name: str) -> Rows:
+        if self.graph is None:
+            raise Fault("no graph is in use")
         family = self.graph.family(n.label, "v")
         if not family:
             raise Fault(f"vertex label {n.label} does not exist")
@@ -195,6 +197,8 @@ class Compiler:
 
     def scan_edge(self, e: EdgePattern, name: str) -> tuple[DataFrame, Var, dict[str, str | None]]:
         """Columns near, far, name@...; what is known of the labels at both ends; "carried" tells which end's vertex the rows hold."""
+        if self.graph is None:
+            raise Fault("no graph is in use")
         family = self.graph.family(e.label, "e")
         if not family:
             raise Fault(f"edge label {e.label} does not exist")
