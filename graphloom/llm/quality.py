@@ -181,9 +181,10 @@ def fit(features: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> N
     rows = sample(features.withColumnRenamed("x", "text"), labels, "quality", per_class).collect()
     share = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().where("quality IS NOT NULL").collect()}
     rows.sort(key=lambda r: (r["doc_id"], r["label"]))
-    x, y = np.array([r["text"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["label"] for r in rows], np.float64)
+    y = np.array([r["label"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return share.get(1, 0) / max(1, share.get(0, 0) + share.get(1, 0)) if share else 0.5
+    x = np.array([r["text"] for r in rows], np.float64)
     # Classes count by their shares among all labelled rows, so that probabilities are right for those.
     weight = np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum())
     weight /= weight.mean()
