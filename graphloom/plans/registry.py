@@ -6,6 +6,7 @@ both sides; sums of floats are rounded, since their order is free.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,8 @@ def graph(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def relational(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            if re.search(rf"\b{t}\b", text):
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return Engine(spark).run(text)
 
     return run

@@ -1,7 +1,8 @@
 """Graphs over DataFrames: labels, entity ids, and where a label's rows come from.
 
-An entity id is a long: the label's number shifted left by 48 bits, or'ed with the entry, which starts at 1. A label is a lazy
-DataFrame, so scans of a label read only the columns that a query uses and push its filters into the files.
+An entity id is a long: the label's number shifted left by 48 bits, or'ed with the entry, which starts at 1. A label's table may
+be given as a function, which is called when a query first needs it: a graph of many labels costs nothing for those unused. The
+table is a lazy DataFrame, so scans read only the columns that a query uses and push its filters into the files.
 
 Edges that come from a vertex table's foreign key carry that vertex: the edge row has the vertex's columns too, so a pattern
 that visits both reads the table once instead of joining it with itself.
@@ -9,6 +10,7 @@ that visits both reads the table once instead of joining it with itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,18 +28,21 @@ def label_of(entity: Column) -> Column:
     return F.shiftrightunsigned(entity, ENTRY_BITS)
 
 
-@dataclass
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Label:
-    """A vertex or edge label. df has _id (edges also _start and _end), the properties, and what an edge carries under names with ^."""
+    """A vertex or edge label. Its table has _id (edges also _start and _end), the properties, and what an edge carries under names with ^."""
 
-    name: str
-    number: int
-    kind: str
-    df: DataFrame
-    start: str | None = None
-    end: str | None = None
-    carries: str | None = None
-    parents: tuple[str, ...] = ()
+    def __init__(self, name: str, number: int, kind: str, source: Source, start: str | None = None, end: str | None = None, carries: str | None = None, parents: tuple[str, ...] = ()):
+        self.name, self.number, self.kind, self.start, self.end, self.carries, self.parents = name, number, kind, start, end, carries, parents
+        self._source = source
+
+    @property
+    def df(self) -> DataFrame:
+        if callable(self._source):
+            self._source = self._source()
+        return self._source
 
     @property
     def props(self) -> list[str]:
@@ -52,22 +57,32 @@ class Graph:
     def next_number(self) -> int:
         return max((x.number for x in self.labels.values()), default=0) + 1
 
-    def add_vertices(self, label: str, df: DataFrame, key: str | Column, parents: tuple[str, ...] = ()) -> Label:
-        """Registers df's rows as vertices; key + 1 is the entry, so keys start at 0."""
+    def add_vertices(self, label: str, source: Source, key: str | Column, parents: tuple[str, ...] = ()) -> Label:
+        """Registers a table's rows as vertices; key + 1 is the entry, so keys start at 0."""
         number = self.next_number()
-        key = F.col(key) if isinstance(key, str) else key
-        frame = df.select(entity_id(number, key.cast("bigint") + 1).alias("_id"), *df.columns)
-        self.labels[label] = Label(label, number, "v", frame, parents=parents)
+
+        def table() -> DataFrame:
+            df = source() if callable(source) else source
+            at = F.col(key) if isinstance(key, str) else key
+            return df.select(entity_id(number, at.cast("bigint") + 1).alias("_id"), *df.columns)
+
+        self.labels[label] = Label(label, number, "v", table, parents=parents)
         return self.labels[label]
 
-    def add_edges(self, label: str, df: DataFrame, key: str | Column, start: tuple[str, str], end: tuple[str, str], props: list[str] | None = None, carries: str | None = None) -> Label:
-        """Registers df's rows as edges between the vertices that the key columns of start and end (label, column) name. carries: "start" or "end" if df is that vertex label's own table."""
+    def add_edges(self, label: str, source: Source, key: str | Column, start: tuple[str, str], end: tuple[str, str], props: list[str] | None = None, carries: str | None = None) -> Label:
+        """Registers a table's rows as edges between the vertices that the key columns of start and end (label, column) name. carries: "start" or "end" if it is that vertex label's own table."""
         number = self.next_number()
-        key = F.col(key) if isinstance(key, str) else key
-        ends = [entity_id(self.labels[x].number, F.col(c).cast("bigint") + 1) for x, c in (start, end)]
-        held = [F.col(c).alias(f"^{c}") for c in self.labels[(start if carries == "start" else end)[0]].props] if carries else []
-        frame = df.select(entity_id(number, key.cast("bigint") + 1).alias("_id"), ends[0].alias("_start"), ends[1].alias("_end"), *(df.columns if props is None else props), *held)
-        self.labels[label] = Label(label, number, "e", frame, start[0], end[0], carries)
+        numbers = [self.labels[x].number for x, _ in (start, end)]
+        held_by = self.labels[(start if carries == "start" else end)[0]] if carries else None
+
+        def table() -> DataFrame:
+            df = source() if callable(source) else source
+            at = F.col(key) if isinstance(key, str) else key
+            ends = [entity_id(n, F.col(c).cast("bigint") + 1) for n, (_, c) in zip(numbers, (start, end), strict=True)]
+            held = [F.col(c).alias(f"^{c}") for c in held_by.props] if held_by else []
+            return df.select(entity_id(number, at.cast("bigint") + 1).alias("_id"), ends[0].alias("_start"), ends[1].alias("_end"), *(df.columns if props is None else props), *held)
+
+        self.labels[label] = Label(label, number, "e", table, start[0], end[0], carries)
         return self.labels[label]
 
     def replace(self, label: Label) -> None:
@@ -128,17 +143,17 @@ def trade_graph(catalog: Catalog, read) -> Graph:
     g = catalog.create("trade") if "trade" not in catalog.graphs else Graph("trade")
     catalog.graphs["trade"] = g
     catalog.use("trade")
+    late = lambda table: lambda: read(table)
     for label, table, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Orders", "orders", "o_orderkey"), ("Event", "events", "event_id"), ("Document", "documents", "doc_id"), ("Vec", "embeddings", "vec_id")):
-        g.add_vertices(label, read(table), key)
-    g.add_edges("IN_REGION", read("nation"), "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), [], "start")
-    g.add_edges("LIVES_IN", read("customer"), "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), [], "start")
-    g.add_edges("BASED_IN", read("supplier"), "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), [], "start")
-    g.add_edges("PLACED", read("orders"), "o_orderkey", ("Customer", "o_custkey"), ("Orders", "o_orderkey"), [], "end")
+        g.add_vertices(label, late(table), key)
+    g.add_edges("IN_REGION", late("nation"), "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), [], "start")
+    g.add_edges("LIVES_IN", late("customer"), "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), [], "start")
+    g.add_edges("BASED_IN", late("supplier"), "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), [], "start")
+    g.add_edges("PLACED", late("orders"), "o_orderkey", ("Customer", "o_custkey"), ("Orders", "o_orderkey"), [], "end")
     # Four columns name a line; the hash keeps an id of 48 bits without a global sort.
     line = F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), F.lit((1 << ENTRY_BITS) - 2))
-    g.add_edges("CONTAINS", read("lineitem"), line, ("Orders", "l_orderkey"), ("Part", "l_partkey"))
-    g.add_edges("FULFILLED_BY", read("lineitem"), line, ("Orders", "l_orderkey"), ("Supplier", "l_suppkey"))
-    events = read("events")
-    after = events.selectExpr("event_id", "lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id", "user_id").where("next_id IS NOT NULL")
-    g.add_edges("NEXT", after, "event_id", ("Event", "event_id"), ("Event", "next_id"), ["user_id"])
+    g.add_edges("CONTAINS", late("lineitem"), line, ("Orders", "l_orderkey"), ("Part", "l_partkey"))
+    g.add_edges("FULFILLED_BY", late("lineitem"), line, ("Orders", "l_orderkey"), ("Supplier", "l_suppkey"))
+    after = "lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id"
+    g.add_edges("NEXT", lambda: read("events").selectExpr("event_id", after, "user_id").where("next_id IS NOT NULL"), "event_id", ("Event", "event_id"), ("Event", "next_id"), ["user_id"])
     return g

@@ -22,4 +22,11 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error",
 
 def folder_tables(spark: SparkSession, folder: str):
     """A reader of the tables in a folder, one Parquet file or folder each."""
-    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    known: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in known:
+            known[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+        return known[name]
+
+    return table
