@@ -378,15 +378,15 @@ def window(name: str, c: list[Column], opts: dict) -> Column:
     raise ValueError(f"window function {name} does not exist")
 
 
-def without_current(name: str, c: list[Column], opts: dict, w) -> Column:
-    """An aggregate over a frame that the current row is taken out of."""
+def excluding(name: str, c: list[Column], w, peers, what: str) -> Column:
+    """count, sum or avg over a frame (which holds the current row and its peers) without the current row, its group, or the group but itself."""
     value = c[0] if c else F.lit(1)
-    n = F.count(value).over(w) - F.when(value.isNotNull(), 1).otherwise(0)
+    own_n, own = F.when(value.isNotNull(), 1).otherwise(0), F.coalesce(value, F.lit(0))
+    less_n = own_n if what == "current" else F.count(value).over(peers) - (own_n if what == "ties" else 0)
+    less = own if what == "current" else F.coalesce(F.sum(value).over(peers), F.lit(0)) - (own if what == "ties" else 0)
+    n, total = F.count(value).over(w) - less_n, F.sum(value).over(w) - less
     if name == "count":
         return n
-    total = F.sum(value).over(w) - F.coalesce(value, F.lit(0))
-    if name == "sum":
-        return F.when(n > 0, total)
-    if name == "avg":
-        return F.when(n > 0, total / n)
-    raise ValueError(f"EXCLUDE CURRENT ROW is not supported for {name}")
+    if name in ("sum", "avg"):
+        return F.when(n > 0, total if name == "sum" else total / n)
+    raise ValueError(f"EXCLUDE is not supported for {name}")

@@ -24,6 +24,10 @@ from ..sources.catalog import Graph, union_all
 from .parser import EdgePattern, NodePattern, Path, Projection
 
 
+#: Operators that read an entity's properties, and on which side.
+ENTITY_OPERATORS = {"@>": (0,), "<@": (1,), "?": (0,), "?|": (0,), "?&": (0,), "->": (0,), "->>": (0,)}
+
+
 class Fault(ValueError):
     """What is wrong with a statement's meaning."""
 
@@ -757,10 +761,29 @@ class Compiler:
 
     def _bin(self, rows, e):
         _, op, left, right = e
+        trail = self.trail_operator(rows, op, left, right)
+        if trail is not None:
+            return trail
+        if op in ENTITY_OPERATORS:
+            left, right = (("call", "properties", [x], {}) if x[0] == "var" and x[1] in rows.vars and rows.vars[x[1]].kind in ("node", "edge") and k in ENTITY_OPERATORS[op] else x for k, x in enumerate((left, right)))
         if op == "@=" and right[0] == "list":
             return self.expr(rows, left).isin(*[self.expr(rows, x) for x in right[1]]) if right[1] else F.lit(False)
         return functions.binary(op, self.expr(rows, left), self.expr(rows, right), self.type_of, lists=(left[0] == "list", right[0] == "list"))
 
+    def trail_operator(self, rows: Rows, op: str, left, right) -> Column | None:
+        """Containment and overlap of trails."""
+        kind = lambda x: rows.vars[x[1]].kind if x[0] == "var" and x[1] in rows.vars else None
+        a, b = kind(left), kind(right)
+        if op == "&&" and a == b == "trail":
+            return F.arrays_overlap(F.col(f"{left[1]}.edges.id"), F.col(f"{right[1]}.edges.id"))
+        if op in ("@>", "<@") and {a, b} == {"trail", "edge"}:
+            trail, edge = (left[1], right[1]) if a == "trail" else (right[1], left[1])
+            return F.array_contains(F.col(f"{trail}.edges.id"), F.col(f"{edge}@_id"))
+        if op in ("=", "<>", "<", ">", "<=", ">=") and a == b and a in ("trail", "path"):
+            ids = lambda x: F.col(f"{x[1]}.edges.id") if a == "trail" else F.concat(self.path_nodes(rows, rows.vars[x[1]]), self.path_edges(rows, rows.vars[x[1]]).getField("id"))
+            return functions.COMPARE[op](ids(left), ids(right))
+        return None
+
     def _call(self, rows, e):
         _, name, args, opts = e
         if "over" in opts:
@@ -841,8 +864,9 @@ class Compiler:
             cond = self.expr(rows, opts["filter"])
             cols = [F.when(cond, c) for c in cols] or [F.when(cond, F.lit(1))]
             opts = opts | {"star": False}
-        if exclude == "current":
-            return functions.without_current(name, cols, opts, w)
-        if exclude not in (None, "none"):
-            raise Fault(f"EXCLUDE {exclude.upper()} is not supported")
+        if exclude in ("current", "group", "ties"):
+            if exclude != "current" and kind == "rows":
+                raise Fault(f"EXCLUDE {exclude.upper()} needs a frame by range or groups")
+            peers = Window.partitionBy(*part).orderBy(*order).rangeBetween(Window.currentRow, Window.currentRow) if order else Window.partitionBy(*part)
+            return functions.excluding(name, cols, w, peers, exclude)
         return functions.window(name, cols, opts).over(w)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import writes
 from ..sources.catalog import Catalog
 from . import sqltext
-from .compiler import Compiler, Rows
+from .compiler import Compiler, Rows, names_in
 from .parser import parse
+from .statements import Statements
 
 UPDATES = {"create", "merge", "set_props", "delete"}
 SQL = re.compile(r"\s*(select|table|values|explain|from|insert|show|describe)\b|\s*with\s+(recursive\s+)?\w+\s*(\([^)]*\)\s*)?as\s*(not\s+materialized\s*|materialized\s*)?\(", re.I)
@@ -21,9 +22,13 @@ class Engine:
 
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
         self.spark, self.catalog = spark, catalog or Catalog(spark)
+        self.statements = Statements(self)
 
     def run(self, text: str, params: dict | None = None) -> DataFrame | None:
         """The result of a statement; None if it only changes the catalog or a graph."""
+        done, result = self.statements.run(text)
+        if done:
+            return result
         if SQL.match(text):
             return self.spark.sql(sqltext.rewrite(text), args=params or None)
         return self.cypher(text, params)
@@ -48,8 +53,6 @@ class Engine:
         graph = self.catalog.graph
         before = dict(graph.labels)
         compiler = Compiler(graph, params, self.spark)
-        from .compiler import names_in
-
         compiler.used = names_in(tree[1]) | {"*"}
         rows = Rows(None, {})
         try:
@@ -59,7 +62,3 @@ class Engine:
             graph.labels = before
             raise
         return compiler.returned(rows) if tree[1][-1][0] == "return" else None
-
-    def explain(self, text: str, params: dict | None = None) -> str:
-        df = self.run(text, params)
-        return df._jdf.queryExecution().explainString(df._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) if hasattr(df, "_jvm") else str(df)

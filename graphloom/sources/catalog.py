@@ -53,6 +53,8 @@ class Label:
 class Graph:
     name: str
     labels: dict[str, Label] = field(default_factory=dict)
+    unique: set[tuple[str, str]] = field(default_factory=set)
+    indexes: dict[tuple[str, str], object] = field(default_factory=dict)
 
     def next_number(self) -> int:
         return max((x.number for x in self.labels.values()), default=0) + 1
@@ -85,10 +87,41 @@ class Graph:
         self.labels[label] = Label(label, number, "e", table, start[0], end[0], carries)
         return self.labels[label]
 
+    def add_empty(self, label: str, kind: str, spark: SparkSession, parents: tuple[str, ...] = ()) -> Label:
+        """A label without rows."""
+        if label in self.labels:
+            raise ValueError(f"label {label} exists")
+        schema = "_id long" + (", _start long, _end long" if kind == "e" else "")
+        self.labels[label] = Label(label, self.next_number(), kind, spark.createDataFrame([], schema), parents=parents)
+        return self.labels[label]
+
     def replace(self, label: Label) -> None:
+        for name, prop in self.unique:
+            if name == label.name and prop in label.props:
+                self._check_unique(label, prop)
         self.labels[label.name] = label
 
+    @staticmethod
+    def _check_unique(label: Label, prop: str) -> None:
+        if not label.df.where(F.col(prop).isNotNull()).groupBy(prop).count().where("count > 1").isEmpty():
+            raise ValueError(f"two entities of {label.name} have the same {prop}")
+
+    def require_unique(self, label: str, prop: str) -> None:
+        """From now on, a statement that gives two entities of a label the same value of a property fails."""
+        if prop in self.labels[label].props:
+            self._check_unique(self.labels[label], prop)
+        self.unique.add((label, prop))
+
+    def index(self, label: str, prop: str, lists: int = 100, metric: str = "l2"):
+        """Builds an inverted-file index of a label's vectors; see operators.nearest.IvfIndex."""
+        from ..operators.nearest import IvfIndex
+
+        self.indexes[label, prop] = IvfIndex(self.labels[label].df, prop, lists, metric)
+        return self.indexes[label, prop]
+
     def drop(self, label: str) -> None:
+        if self.labels[label].kind == "v" and any(label in (x.start, x.end) for x in self.labels.values()):
+            raise ValueError(f"edge labels use vertex label {label}")
         del self.labels[label]
 
     def family(self, name: str | None, kind: str) -> list[Label]:
