@@ -8,6 +8,7 @@ expressions over these, so they run in generated code and their bounding-box tes
 from __future__ import annotations
 
 import math
+import random
 
 import pandas as pd
 from pyspark.sql import Column
@@ -333,6 +334,71 @@ def clip(subject, window):
     return [*out, out[0]] if out else []
 
 
+def _half(ring, a, b, inside: bool):
+    """The part of a convex ring on one side of the line from a to b."""
+    side = lambda p: ((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) * (1 if inside else -1)
+    out = []
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        sp, sq = side(p), side(q)
+        if sp >= 0:
+            out.append(p)
+        if sp * sq < 0:
+            w = sp / (sp - sq)
+            out.append((p[0] + w * (q[0] - p[0]), p[1] + w * (q[1] - p[1])))
+    return out if len(out) > 2 else []
+
+
+def _minus(a, b):
+    """Convex pieces of convex ring a outside convex ring b: one for each edge of b."""
+    rest, pieces = a, []
+    for p, q in zip(b, b[1:] + b[:1], strict=True):
+        if not rest:
+            break
+        if outside := _half(rest, p, q, False):
+            pieces.append(outside)
+        rest = _half(rest, p, q, True)
+    return pieces
+
+
+def symmetric_difference(a, b):
+    """Of two convex polygons: closed rings of convex pieces, one after the other."""
+    rings = []
+    for g in (a, b):
+        r = [p[:2] for p in g[:-1]]
+        rings.append(r if sum(x[0] * y[1] - y[0] * x[1] for x, y in zip(r, r[1:] + r[:1], strict=True)) > 0 else r[::-1])
+    return [p for piece in _minus(*rings) + _minus(*rings[::-1]) for p in [*piece, piece[0]]]
+
+
+def scatter(polygon, n, seed=0):
+    """n points inside a polygon, by trial within its bounding box."""
+    rng, ring = random.Random(int(seed)), [p[:2] for p in polygon]
+    (x1, x2), (y1, y2) = ((min(v), max(v)) for v in zip(*ring, strict=True))
+    out = []
+    while len(out) < int(n) and x1 < x2 and y1 < y2:
+        x, y = rng.uniform(x1, x2), rng.uniform(y1, y2)
+        crossings = sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:], strict=False))
+        if crossings % 2:
+            out.append((x, y))
+    return out
+
+
+def spheroid(x: Column, kind: T.DataType) -> Column:
+    """From text such as SPHEROID["name",major axis,inverse flattening]."""
+    n = numbers(F.regexp_extract(x, r'",(.*)', 1))
+    return F.struct(F.regexp_extract(x, r'"([^"]*)"', 1).alias("name"), F.get(n, 0).alias("major"), F.get(n, 1).alias("inverse"))
+
+
+def on_spheroid(f, geometries: int):
+    """A measure that may be given a spheroid as its last argument."""
+    plain = _batch("double", f, geometries, 2)
+
+    def build(c, t):
+        more = [c[geometries].getField("major"), F.lit(1.0) / c[geometries].getField("inverse")] if len(c) > geometries else []
+        return plain([*c[:geometries], *more], t)
+
+    return build
+
+
 def _approach(a, b):
     """Time and distance of the closest approach of two moving points (m is time)."""
     times = sorted({p[3] for p in a} | {p[3] for p in b})
@@ -412,8 +478,9 @@ FUNCTIONS = {
     "st_multi": lambda c, t: F.struct(F.when(F.startswith(c[0].getField("kind"), F.lit("MULTI")), c[0].getField("kind")).otherwise(F.concat(F.lit("MULTI"), c[0].getField("kind"))).alias("kind"), _pts(c[0]).alias("points")),
     **dict.fromkeys(("addbbox", "postgis_addbbox", "dropbbox", "postgis_dropbbox"), lambda c, t: c[0]),
     "st_convexhull": _shape("POLYGON", hull), "st_simplify": _shape("same", lambda p, d: simplify(p, d), 1, 1), "st_intersection": _shape("POLYGON", clip, 2),
-    "st_hausdorffdistance": _batch("double", hausdorff, 2), "st_frechetdistance": _batch("double", frechet, 2), "st_distancespheroid": _batch("double", spheroid_distance, 2),
-    "st_lengthspheroid": _batch("double", lambda p: sum(spheroid_distance([a], [b]) for a, b in zip(p, p[1:], strict=False)), 1),
+    "st_hausdorffdistance": _batch("double", hausdorff, 2), "st_frechetdistance": _batch("double", frechet, 2), "st_distancespheroid": on_spheroid(spheroid_distance, 2),
+    "st_lengthspheroid": on_spheroid(lambda p, *s: sum(spheroid_distance([a], [b], *s) for a, b in zip(p, p[1:], strict=False)), 1),
+    "st_symdifference": _shape("MULTIPOLYGON", symmetric_difference, 2), "st_generatepoints": _shape("MULTIPOINT", scatter, 1, 2),
     "st_closestpointofapproach": _batch("double", lambda a, b: (_approach(a, b) or (None, None))[1], 2), "st_distancecpa": _batch("double", lambda a, b: (_approach(a, b) or (None,))[0], 2),
     "st_cpawithin": _batch("boolean", lambda a, b, d: (r := _approach(a, b)) is not None and r[0] <= d, 2, 1), "st_isvalidtrajectory": _batch("boolean", lambda p: all(a[3] < b[3] for a, b in zip(p, p[1:], strict=False)), 1),
     "height": lambda c, t: c[0].getField("y1") - c[0].getField("y2"), "width": lambda c, t: c[0].getField("x1") - c[0].getField("x2"),
@@ -424,7 +491,7 @@ PREFIX = {
     "@@": lambda x, t: center(x, t(x)), "@-@": lambda x, t: _length(x) if is_points(t(x)) else F.size(x.getField("edges")).cast("bigint"),
     "?|": lambda x, t: _slope(x)[0] == 0, "?-": lambda x, t: _slope(x)[1] == 0,
 }
-CASTS = {"point": _parse(POINT), "box": _parse(BOX), "box2d": _parse(BOX), "circle": _parse(CIRCLE), "lseg": _points, "path": _points, "polygon": _points, "line": lambda x, k: numbers(x), "geometry": parse_geometry}
+CASTS = {"point": _parse(POINT), "box": _parse(BOX), "box2d": _parse(BOX), "circle": _parse(CIRCLE), "lseg": _points, "path": _points, "polygon": _points, "line": lambda x, k: numbers(x), "geometry": parse_geometry, "box3d": lambda x, k: numbers(x), "spheroid": spheroid}
 #: Comparisons of bounding boxes a and b.
 BOXES = {
     "&&": lambda a, b: (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"]),

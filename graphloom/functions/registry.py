@@ -137,6 +137,12 @@ SIMPLE: dict[str, Callable[[list[Column]], Column]] = {
     "sin": lambda c: F.sin(c[0]),
     "sinh": lambda c: F.sinh(c[0]),
     "split": lambda c: F.split(c[0], c[1]),
+    "throw_error": lambda c: F.raise_error(c[0]),
+    "build_vertex": lambda c: F.struct(c[0].alias("id"), c[1].alias("label"), c[2].alias("properties")),
+    "build_edge": lambda c: F.struct(c[0].alias("id"), c[3].alias("label"), c[1].alias("start_id"), c[2].alias("end_id"), c[4].alias("properties")),
+    "build_traversal": lambda c: F.struct(F.array(*c[::2]).alias("nodes"), F.array(*c[1::2]).alias("edges")),
+    "build_variable_edge": lambda c: F.struct(F.array(*c[::2]).alias("edges"), F.array(*c[1::2]).alias("nodes")),
+    "regexp_match": lambda c: F.regexp_extract_all(c[0], c[1], F.lit(0)),
     "sqrt": lambda c: F.sqrt(fail_unless(c[0] >= 0, c[0].cast("double"), "cannot take square root of a negative number")),
     "substring": _substring,
     "tan": lambda c: F.tan(c[0]),
@@ -150,7 +156,7 @@ SIMPLE: dict[str, Callable[[list[Column]], Column]] = {
 } | {f"sha{n}": (lambda n: lambda c: F.sha2(c[0].cast("binary"), n))(n) for n in (224, 256, 384, 512)}
 TYPED: dict[str, Callable[[list[Column], TypeOf], Column]] = {"round": _round, "size": _size, "keys": _keys}
 #: to*() functions and the types that they cast to.
-CONVERSIONS = {f"to{n}": n for n in "integer float boolean numeric string timestamp timestamptz date time timetz interval vector inet cidr macaddr macaddr8 bytea point box circle polygon path lseg line tsvector tsquery intrange numrange tsrange tstzrange daterange".split()} | {"tostringlist": "string[]", "tofloatlist": "float[]", "tointegerlist": "int[]", "tobooleanlist": "bool[]"}
+CONVERSIONS = {f"to{n}": n for n in "integer float boolean numeric string timestamp timestamptz date time timetz interval vector inet cidr macaddr macaddr8 bytea point box circle polygon path lseg line tsvector tsquery intrange numrange tsrange tstzrange daterange box2d box3d spheroid geometry intmultirange nummultirange tsmultirange tstzmultirange datemultirange".split()} | {"tostringlist": "string[]", "tofloatlist": "float[]", "tointegerlist": "int[]", "tobooleanlist": "bool[]"}
 MODULES = (temporal, vectors, ranges, network, textsearch, geometry)
 
 

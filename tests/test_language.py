@@ -151,6 +151,10 @@ def test_a_failed_statement_changes_nothing(engine):
         ("'(0,0)'::point <-> '(3,4)'::point", 5.0), ("'(2,2),(0,0)'::box @> '(1,1)'::point", True), ("'(2,2),(0,0)'::box && '(5,5),(3,3)'::box", False), ("width('(4,2),(1,1)'::box)", 3.0), ("'(0,0,2)'::circle @> '(1,1)'::point", True),
         ("ST_Length('LINESTRING(0 0, 3 4)'::geometry)", 5.0), ("ST_IsPolygonCCW('POLYGON((0 0, 1 0, 1 1, 0 0))'::geometry)", True), ("ST_asEWKT(ST_MakePoint(1, 2, 3))", "POINT(1 2 3)"), ("ST_XMax('LINESTRING(0 0, 3 4)'::geometry)", 3.0),
         ("ST_HausdorffDistance('LINESTRING(0 0, 2 0)'::geometry, 'LINESTRING(0 1, 2 1)'::geometry)", 1.0), ("ST_asEWKT(ST_Simplify('LINESTRING(0 0, 1 0.1, 2 0)'::geometry, 0.5))", "LINESTRING(0 0,2 0)"),
+        ("size(ST_GeneratePoints('POLYGON((0 0, 4 0, 0 4, 0 0))'::geometry, 7, 3).points)", 7), ("ST_XMax(ST_SymDifference('POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))'::geometry, 'POLYGON((1 1, 3 1, 3 3, 1 3, 1 1))'::geometry))", 3.0),
+        ("ST_DistanceSpheroid('POINT(0 0)'::geometry, 'POINT(1 0)'::geometry)", 111319.49079327358), ("ST_DistanceSpheroid('POINT(0 0)'::geometry, 'POINT(1 0)'::geometry, 'SPHEROID[\"s\",6378137,298.257223563]'::spheroid)", 111319.49079327358),
+        ("ST_asEWKT(ST_ConvexHull('MULTIPOINT(0 0, 2 0, 1 1, 2 2, 0 2)'::geometry))", "POLYGON((0 0,2 0,2 2,0 2,0 0))"), ("ST_azimuth('POINT(0 0)'::geometry, 'POINT(1 0)'::geometry)", 1.5707963267948966), ("ST_FrechetDistance('LINESTRING(0 0, 2 0)'::geometry, 'LINESTRING(0 1, 2 3)'::geometry)", 3.0),
+        ("tointmultirange('{[1,3),[5,8)}') @> 2", True), ("build_edge(3, 1, 2, 'E', {w: 1}).end_id", 2), ("ST_DistanceCPA('LINESTRING(0 0 0 0, 10 0 0 10)'::geometry, 'LINESTRING(0 5 0 0, 10 1 0 10)'::geometry)", 1.0),
         ("extract(year FROM '2020-02-03'::timestamp)", 2020.0), ("extract(epoch FROM '1970-01-02'::timestamp)", 86400.0), ("date_part('dow', '2024-01-07'::date)", 0.0), ("isfinite('2020-01-01'::date)", True),
         ("age('2020-03-01'::timestamp, '2020-01-30'::timestamp).months", 1), ("justify_days('35 days'::interval).days", 5), ("make_date(2020, 2, 29)::string", "2020-02-29"), ("overlaps('2020-01-01'::date, '2020-02-01'::date, '2020-01-15'::date, '2020-03-01'::date)", True),
         ("{a: 1, b: 2} @> {a: 1}", True), ("{a: 1} ? 'b'", False), ("{a: {b: 7}}.a.b", 7), ("[1, 2, 3][-1]", 3), ("[1, 2, 3][5]", None), ("[1, 2, 3][1..]", [2, 3]), ("[1, 2, 3][..-1]", [1, 2]), ("2 IN [1, 2]", True), ("'{\"a\": 5}' ->> 'a'", "5"),
