@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import geometry, network, ranges, temporal, textsearch, vectors
+from . import dynamic, geometry, network, ranges, temporal, textsearch, vectors
 
 AGGREGATES = frozenset(
     "count sum avg min max stdev stdevp collect percentilecont percentiledisc percentile_cont percentile_disc corr covar_pop covar_samp "
@@ -212,6 +212,10 @@ STRINGS = {
 
 def binary(op: str, a: Column, b: Column, type_of: TypeOf, lists: tuple[bool, bool] = (False, False)) -> Column:
     if op in COMPARE:
+        if op not in ("and", "or"):
+            ta, tb = type_of(a), type_of(b)
+            if not dynamic.comparable(ta, tb):
+                a, b = dynamic.sort_key(a, ta), dynamic.sort_key(b, tb)
         return COMPARE[op](a, b)
     if op == "xor":
         return (a | b) & ~(a & b)
@@ -226,6 +230,8 @@ def binary(op: str, a: Column, b: Column, type_of: TypeOf, lists: tuple[bool, bo
             return got
     if op == "+":
         if isinstance(ta, T.ArrayType) and isinstance(tb, T.ArrayType):
+            if dynamic.mixed([ta.elementType, tb.elementType]):
+                return F.concat(F.transform(a, lambda x: dynamic.encode(x, ta.elementType)), F.transform(b, lambda x: dynamic.encode(x, tb.elementType)))
             return F.zip_with(a, b, lambda x, y: x + y) if is_vector(ta, lists[0]) and is_vector(tb, lists[1]) else F.concat(a, b)
         if isinstance(ta, T.ArrayType):
             return F.concat(a, F.array(b.cast(ta.elementType)))
@@ -247,7 +253,10 @@ def binary(op: str, a: Column, b: Column, type_of: TypeOf, lists: tuple[bool, bo
     if op == "||":
         return F.concat(a, b)
     if op == "@=":
-        return F.array_contains(b, a)
+        if isinstance(tb, T.ArrayType) and (dynamic.is_dynamic(tb.elementType) or not dynamic.same_tag(ta, tb.elementType)):
+            key = dynamic.sort_key(a, ta)
+            return F.when(a.isNotNull() & b.isNotNull(), F.exists(b, lambda x: F.coalesce(dynamic.sort_key(x, tb.elementType) == key, F.lit(False))))
+        return F.array_contains(F.array_compact(b), a)
     if op in ("->", "->>"):
         return field(a, ta, b, op == "->>")
     if op in ("@>", "<@"):
@@ -307,6 +316,9 @@ def cast(x: Column, name: str, type_of: TypeOf) -> Column:
         kind = type_of(x)
         return F.transform(x, lambda v: cast(v, name[:-2], lambda _: kind.elementType))
     kind = type_of(x)
+    if dynamic.is_dynamic(kind):
+        # A text loses its quotes.
+        x, kind = F.when(x.getField("sort").getField("rank") == 2, x.getField("sort").getField("text")).otherwise(x.getField("json")), T.StringType()
     if name in ("int", "integer"):
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             return F.bround(x).cast("bigint")
@@ -314,6 +326,8 @@ def cast(x: Column, name: str, type_of: TypeOf) -> Column:
     if name == "timestamp" and isinstance(kind, T.IntegralType):
         # Microseconds since 2000-01-01.
         return F.timestamp_micros(x + 946684800000000).cast("timestamp_ntz")
+    if isinstance(kind, T.StringType) and name in ("timestamp", "timestamptz", "date"):
+        return temporal.parse(x, CASTS[name])
     if name in CASTS:
         return x.cast(CASTS[name])
     for m in MODULES:

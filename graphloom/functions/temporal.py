@@ -18,6 +18,26 @@ def literal(x: Column) -> str:
     return x._jc.toString() if hasattr(x, "_jc") else str(x)
 
 
+#: Forms of dates and times besides the standard one.
+FORMS = ("EEE MMM d HH:mm:ss[.SSS][.SS] yyyy[X]", "EEE MMM d yyyy", "MM/dd/yyyy HH:mm:ss[.SSS][.SS][X]", "MM/dd/yyyy")
+
+
+def parse(x: Column, kind: str) -> Column:
+    """From text in the standard form or one of FORMS; anything else is an error."""
+    plain = F.regexp_replace(F.trim(x), r"^[A-Za-z]{3} (?=[A-Za-z]{3} )", "")
+    forms = [F.try_to_timestamp(plain, F.lit(f.removeprefix("EEE "))) for f in FORMS]
+    return F.when(F.rlike(x, F.lit(r"^\s*\d{4}-")) | x.isNull(), x.cast(kind)).otherwise(F.coalesce(*forms, x.cast("timestamp")).cast(kind))
+
+
+def interval(x: Column, kind: T.DataType) -> Column:
+    """From text such as "3 days 2 hours"; "ago" at the end turns it round."""
+    if not isinstance(kind, T.StringType):
+        return x.cast("interval")
+    t = F.lower(F.trim(x))
+    back = F.regexp_replace(F.regexp_replace(t, r"\s*ago$", ""), r"(?<![\d.-])(\d)", "-$1")
+    return F.when(t.endswith("ago"), back.cast("interval")).otherwise(t.cast("interval"))
+
+
 def extract(c, type_of) -> Column:
     """A field of a date or timestamp; the field may be a text column's constant."""
     field, x = literal(c[0]).strip("'\"").lower(), c[1]
@@ -108,7 +128,7 @@ FUNCTIONS = {
     "make_time": lambda c, t: F.concat_ws(":", *[F.lpad(x.cast("int").cast("string"), 2, "0") for x in c[:2]], F.format_string("%09.6f", c[2].cast("double"))),
 }
 PREFIX: dict = {}
-CASTS = {"interval": lambda x, k: x.cast("interval"), "time": lambda x, k: F.date_format(x.cast("timestamp"), "HH:mm:ss.SSSSSS"), "timetz": lambda x, k: F.date_format(x.cast("timestamp"), "HH:mm:ss.SSSSSSxxx")}
+CASTS = {"interval": interval, "time": lambda x, k: F.date_format(x.cast("timestamp"), "HH:mm:ss.SSSSSS"), "timetz": lambda x, k: F.date_format(x.cast("timestamp"), "HH:mm:ss.SSSSSSxxx")}
 
 
 def operator(op, a, b, ta, tb):

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Label, entity_id
+from ..functions import dynamic
+from ..sources.catalog import Label, entity_id, union_all
 from .trails import keep
 
 
@@ -31,7 +32,7 @@ def apply(compiler, clause: tuple, rows):
 def _grow(graph, name: str, kind: str, new: DataFrame) -> None:
     """Adds rows (with _id) to a label, which is made if it is new."""
     old = graph.labels.get(name)
-    df = keep(old.df.drop(*[c for c in old.df.columns if c[0] == "^"]).unionByName(new, allowMissingColumns=True)) if old else keep(new)
+    df = keep(union_all([old.df.drop(*[c for c in old.df.columns if c[0] == "^"]), new]) if old else new)
     number = old.number if old else graph.next_number()
     graph.replace(Label(name, number, kind, df, parents=old.parents if old else (), start=None, end=None))
 
@@ -131,8 +132,12 @@ def set_props(compiler, rows, items: list):
             if str(kind) == "NullType()" or kind.typeName() == "void":
                 if prop not in label.props:
                     continue
-            df = label.df.join(changed, F.col("_id") == F.col("@id"), "left")
-            df = df.withColumn(prop, F.when(F.col("@id").isNotNull(), F.col("@new").cast(kind)).otherwise(old.cast(kind))).drop("@id", "@new")
+            df, fresh = label.df.join(changed, F.col("_id") == F.col("@id"), "left"), changed.schema["@new"].dataType
+            if dynamic.mixed([kind, fresh]):
+                here, before = dynamic.encode(F.col("@new"), fresh), dynamic.encode(old, kind)
+            else:
+                here, before = F.col("@new").cast(kind), old.cast(kind)
+            df = df.withColumn(prop, F.when(F.col("@id").isNotNull(), here).otherwise(before)).drop("@id", "@new")
             graph.replace(_plain(label, keep(df)))
         rows = Rows(rows.df.withColumn(f"{var}@{prop}", new), rows.vars | {var: Var(v.kind, tuple(dict.fromkeys([*v.props, prop])), v.label)})
     return rows

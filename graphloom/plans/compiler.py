@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import dynamic
 from ..functions import registry as functions
 from ..operators import trails
 from ..sources.catalog import Graph, union_all
@@ -149,7 +150,11 @@ class Compiler:
         a, b = self.returned(self.query(left, outer)), self.returned(self.query(right, outer))
         if len(a.columns) != len(b.columns):
             raise Fault(f"each {kind.upper()} query must have the same number of columns")
-        for x, y in zip(a.schema, b.schema, strict=True):
+        for k, (x, y) in enumerate(zip(a.schema, b.schema, strict=True)):
+            entity = [isinstance(t.dataType, T.StructType) and t.dataType.names[:2] == ["id", "label"] for t in (x, y)]
+            if not any(entity) and dynamic.mixed([x.dataType, y.dataType]):
+                a, b = (d.select(*[dynamic.encode(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if i == k else F.col(f"`{f.name}`") for i, f in enumerate(d.schema)]) for d in (a, b))
+                continue
             if isinstance(x.dataType, T.StructType) != isinstance(y.dataType, T.StructType):
                 raise Fault(f"{kind.upper()} types of column {x.name} cannot be matched")
         b = b.toDF(*a.columns)
@@ -191,7 +196,9 @@ class Compiler:
             elif key not in rows.vars[name].props:
                 cond = F.lit(False)
             else:
-                cond = F.col(f"{name}@{key}") == self.expr(rows, value)
+                held, self.rows = self.rows, rows
+                cond = functions.binary("=", F.col(f"{name}@{key}"), self.expr(rows, value), self.type_of)
+                self.rows = held
             rows = Rows(rows.df.filter(cond), rows.vars)
         return rows
 
@@ -426,8 +433,11 @@ class Compiler:
         """The subquery's rows and the condition under which one belongs to an outer row: equal ids of shared variables, an inner WHERE that reads outer ones, and the value asked for."""
         clauses = q[1] if q[0] == "query" else None
         conds: list[Column] = []
-        if clauses and clauses[0][0] == "match" and all(c[0] == "return" and not is_aggregate(c[1].items) for c in clauses[1:]):
-            _, paths, where, _, _ = clauses[0]
+        matches = [c for c in clauses or [] if c[0] == "match" and not c[4]]
+        rest = [c for c in clauses or [] if c not in matches]
+        if matches and all(c[0] == "return" and not is_aggregate(c[1].items) for c in rest):
+            paths = [p for c in matches for p in c[1]]
+            where = reduce(lambda a, b: ("bin", "and", a, b), [c[2] for c in matches if c[2] is not None]) if any(c[2] is not None for c in matches) else None
             self.used = self.used | names_in(clauses)
             right, shared = self.apart(rows, paths)
             both, other = self.beside(rows, right, shared)
@@ -438,7 +448,7 @@ class Compiler:
                 conds.append(self.across(rows, right, both, where))
             conds += [F.col(k) == F.col(o) for k, o in other.items()]
             if equal_to is not None:
-                item = clauses[1][1].items[0][0]
+                item = rest[0][1].items[0][0]
                 conds.append(equal_to == self.across(rows, right, both, item))
             df = right.df
         else:
@@ -500,8 +510,20 @@ class Compiler:
             if lax:
                 return Rows(base.withColumn(name, col), rows.vars | {name: Var("value")})
             raise Fault("UNWIND needs a list")
+        item = kind.elementType
+        if isinstance(item, T.StructType) and item.names[:2] == ["id", "label"]:
+            return self.unpacked(base.select("*", F.explode(col).alias("@entity")), rows, name, item)
         return Rows(base.select("*", F.explode(col).alias(name)), rows.vars | {name: Var("value")})
 
+    def unpacked(self, df: DataFrame, rows: Rows, name: str, kind: T.StructType) -> Rows:
+        """An entity that came out of a list is one again: its columns from the struct's fields."""
+        edge = "start_id" in kind.names
+        cols = {"_id": "id", "_label": "label"} | ({"_start": "start_id", "_end": "end_id"} if edge else {})
+        made = {f"{name}@{c}": F.col("@entity").getField(f) for c, f in cols.items()}
+        props = kind["properties"].dataType.names if "properties" in kind.names else []
+        made |= {f"{name}@{p}": F.col("@entity").getField("properties").getField(p) for p in props}
+        return Rows(df.withColumns(made).drop("@entity"), rows.vars | {name: Var("edge" if edge else "node", (*cols, *props))})
+
     def sort(self, rows: Rows, order: list) -> Rows:
         if not order:
             return rows
@@ -722,7 +744,11 @@ class Compiler:
         return F.slice(col, a + 1, F.greatest(b - a, F.lit(0)))
 
     def _list(self, rows, e):
-        return F.array(*[self.expr(rows, x) for x in e[1]])
+        cols = [self.expr(rows, x) for x in e[1]]
+        if len({x[0] for x in e[1]} - {"lit"}) == 0 and len({type(x[1]) for x in e[1] if x[1] is not None} ) < 2:
+            return F.array(*cols)
+        types = [self.type_of(c) for c in cols]
+        return F.array(*[dynamic.encode(c, t) for c, t in zip(cols, types, strict=True)]) if dynamic.mixed(types) else F.array(*cols)
 
     def _map(self, rows, e):
         return F.struct(*[self.expr(rows, v).alias(k) for k, v in sorted(e[1])]) if e[1] else F.create_map()
@@ -767,7 +793,10 @@ class Compiler:
         if op in ENTITY_OPERATORS:
             left, right = (("call", "properties", [x], {}) if x[0] == "var" and x[1] in rows.vars and rows.vars[x[1]].kind in ("node", "edge") and k in ENTITY_OPERATORS[op] else x for k, x in enumerate((left, right)))
         if op == "@=" and right[0] == "list":
-            return self.expr(rows, left).isin(*[self.expr(rows, x) for x in right[1]]) if right[1] else F.lit(False)
+            col, kind = self.typed(rows, left)
+            items = [self.expr(rows, x) for x in right[1] if x != ("lit", None)]
+            items = [x for x in items if dynamic.same_tag(kind, self.type_of(x))]
+            return F.when(col.isNotNull(), col.isin(*items) if items else F.lit(False))
         return functions.binary(op, self.expr(rows, left), self.expr(rows, right), self.type_of, lists=(left[0] == "list", right[0] == "list"))
 
     def trail_operator(self, rows: Rows, op: str, left, right) -> Column | None:

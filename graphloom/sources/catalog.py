@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dynamic
+
 ENTRY_BITS = 48
 
 
@@ -137,6 +139,14 @@ class Graph:
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames; a column of types that do not fit together becomes one of dynamic values."""
+    types: dict[str, list] = {}
+    for f in frames:
+        for x in f.schema:
+            types.setdefault(x.name, []).append(x.dataType)
+    odd = [c for c, t in types.items() if dynamic.mixed(t)]
+    if odd:
+        frames = [f.withColumns({c: dynamic.encode(F.col(c), f.schema[c].dataType) for c in odd if c in f.columns}) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
