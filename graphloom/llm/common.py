@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -82,6 +83,14 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
     return docs.withColumn("grp", F.array(*[F.lit(k) for k in keys])[at] if groups <= 4096 else at).repartition(groups, "grp")
 
 
+def release() -> None:
+    """Gives memory that earlier groups of a worker left unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_partition(fn: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
     """A mapInArrow function that calls fn for each group in the partition."""
 
@@ -93,6 +102,7 @@ def per_partition(fn: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callabl
         grp = table.column("grp").to_numpy()
         for g in np.unique(grp):
             yield from fn(table if (same := grp == g).all() else table.filter(pa.array(same)))
+            release()
 
     return run
 

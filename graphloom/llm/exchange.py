@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 SHORT_BITS = 46
 HEAD_BITS = SHORT_BITS - 32
 ASK = "grp int, bucket int, kind string, heads binary, keys binary, small binary, large binary"
@@ -70,6 +72,7 @@ def _keys(kind: str, heads: bytes, low: bytes) -> np.ndarray:
 
 
 def _answer(t: pa.Table) -> pa.Table:
+    release()
     out = []
     names = ("grp", "bucket", "kind", "heads", "keys", "small", "large")
     rows = list(zip(*(t.column(n).to_pylist() for n in names), strict=True))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, materialize, mix, per_partition, prepare, text_bytes, words_of
+from .common import group_count, group_keys, grouped, materialize, mix, per_partition, prepare, release, text_bytes, words_of
 from .exchange import ASK, answers, ask, pack_counts, short, totals, unpack_counts
 
 START, STOP = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,6 +63,7 @@ _STATS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def _stats(buckets: list[int]):
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         if not t.num_rows:
             return _STATS.empty_table()
         ids, pairs, n = _tokens(t)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, prepare, ramp, text_buffers, window_hashes, words_of
+from .common import materialize, mix, powers, prepare, ramp, release, text_buffers, window_hashes, words_of
 from .components import components
 
 SEED = 42
@@ -235,6 +235,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches):
+        release()
         for b in batches:
             ids, n = words_of(b.column("text"), lower=True)
             row = np.repeat(np.arange(len(n)), n)
@@ -276,6 +277,7 @@ def _similar(words: int, threshold: float):
     """In each cluster of the group: a spanning forest of the pairs with a Jaccard similarity of shingle sets of at least threshold."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         node, cluster = t.column("node").to_numpy(), t.column("component").to_numpy()
         ids, n = words_of(t.column("text"), lower=True)
         grams, many = window_hashes(ids, words), np.maximum(n - words + 1, 0)

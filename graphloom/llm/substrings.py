@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, per_partition, prepare, ramp, text_bytes, window_hashes, words_of
+from .common import group_count, group_keys, grouped, per_partition, prepare, ramp, release, text_bytes, window_hashes, words_of
 from .exchange import ASK, answers, ask, short, totals
 
 WINDOW, PREFIX, HEAVY = 13, 5, 64
@@ -104,6 +104,7 @@ def _records(buckets, window, prefix, heavy):
     span = window - prefix
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         if not t.num_rows:
             return _RECORD.empty_table()
         grp = t.column("grp")[0].as_py()
@@ -160,6 +161,7 @@ def _subtrees(window):
     """A bucket's subtrees: the windows of its records, sorted; nodes of depth `window`; what their smallest documents cover."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         done = pc.is_null(t.column("words"))
         known = t.filter(done)
         known = pa.Table.from_arrays([known.column("grp"), known.column("row"), known.column("at"), known.column("doc_id").cast(pa.int32())], schema=_COVER)
@@ -201,6 +203,7 @@ def _kept(window, prefix, original, schema):
     """Each document with the words that no covered window holds."""
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         if not t.num_rows:
             return schema.empty_table()
         w = Windows(t, window, prefix)
