@@ -12,7 +12,8 @@ itself.
 4. decontamination: documents with a passage of `benchmark` go.
 5. packing: the pieces of the documents and their places in sequences of 2048 tokens.
 
-Rows with one doc_id count as one document: they stay or go together. Null texts are empty ones; they stay until texts without
+Rows with one doc_id count as one document: they stay or go together, but of rows with the same text too, one stays. Rows with a null
+doc_id cannot be named; they are judged by stages 1 and 3 only. Null texts are empty ones; they stay until texts without
 words are found to be equal, and one of them stays. Extra columns are kept by the filtering stages.
 """
 
@@ -35,30 +36,39 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from graphloom.llm.toxicity import fit, score
+    from graphloom.llm.toxicity import fit, score_of
 
     prepare(spark)
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return score(docs, model).where("predicted = 0").select(*columns)
+    return docs.where(score_of(F.col("text"), model) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import similar_groups
 
     prepare(spark)
-    return without(docs, similar_groups(docs).where("doc_id <> group_id"))
+    kept = without(docs, similar_groups(docs).where("doc_id <> group_id"))
+    # Rows that repeat a doc_id and its text are copies too; only rows of doc_ids that occur twice are compared.
+    twice = materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    return without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from graphloom.llm.substrings import remove_repeats
 
     prepare(spark)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = remove_repeats(docs, keep=tuple(rest), original=True).where("n_removed = 0 OR n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    n_chars = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in rest else None
-    return kept.select(*[F.col("kept_text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # The other columns travel under names that meet none of the operator's.
+    rest = {c: f"rest@{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = remove_repeats(docs.withColumnsRenamed(rest), keep=tuple(rest.values()), original=True).where("n_removed = 0 OR n_removed < n_words")
+
+    def column(c: str):
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(F.col(rest[c]))
+        return F.col("kept_text" if c == "text" else rest.get(c, c))
+
+    return kept.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

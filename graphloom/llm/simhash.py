@@ -10,7 +10,8 @@ more than `block` fingerprints share are dealt as blocks of askers against block
 two blocks of one half. A task returns a spanning forest of the links that it finds, not all pairs, which keeps every
 component whole.
 
-Null texts count as empty; texts without words have fingerprint zero. Repeated rows with one doc_id each get a row.
+Null texts count as empty; texts without words have fingerprint zero. Repeated rows with one doc_id each get a row. A null doc_id
+names no component: such a row gets that of an equal text that has one, else null.
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, block: i
         raise ValueError("one half within one bit is certain only for distances up to 3")
     own = materialize(fingerprints(docs, words))
     reps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    part = components(links(halves(reps), distance, 32, block))
+    part = components(links(halves(reps.where("rep IS NOT NULL")), distance, 32, block))
     named = materialize(reps.join(part, reps["rep"] == part["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -336,7 +337,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bloc
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = materialize(sketches(docs))
     reps = materialize(own.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "size", "fp", "parts"), "doc_id").alias("r")).select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.fp").alias("fp"), F.col("r.parts").alias("parts")))
-    coarse = components(links(reps, LOOSE, PART_BITS, block))
+    coarse = components(links(reps.where("rep IS NOT NULL"), LOOSE, PART_BITS, block))
     member = materialize(coarse.join(reps.select(F.col("rep").alias("node"), "size"), "node"))
     sums = member.groupBy("component").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("bytes") / (SMALL_BYTES // 2)), F.ceil(F.col("n") / (SMALL_COUNT // 2))).cast("int")

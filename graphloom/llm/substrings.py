@@ -15,7 +15,7 @@ of that text's suffix tree; the node's leaves name the documents. The tree is ne
 
 Words are 64-bit hashes inside a group and 32-bit ones in records; windows that seem equal are compared word for word.
 
-Null texts have no words. Rows that repeat a doc_id are judged each on its own and do not cover each other (no smaller doc_id).
+Null texts have no words. A row with a null doc_id covers no other and is covered by all. Rows that repeat a doc_id are judged each on its own and do not cover each other (no smaller doc_id).
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ class Windows:
 
     def __init__(self, t: pa.Table, window: int, prefix: int):
         ids, n = words_of(t.column("text"))
-        doc = t.column("doc_id").to_numpy()
+        # A null doc_id stands after all others.
+        doc = t.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
         # A row is known by its place in this order, which does not hang on the order of arrival.
         ends = np.cumsum(n)
         sums = np.concatenate(([np.uint64(0)], np.cumsum(ids * (np.uint64(2) * np.arange(len(ids), dtype=np.uint64) + np.uint64(1)))))

@@ -23,7 +23,7 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -181,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> D
         part = labels.where(F.col(column) == value).select(F.col("doc_id").alias("label_id"), F.lit(value).alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     # 2 x per_class rows at most.
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2)).cast("int").alias("half"))
 
 
 def _stem_counts(batches):
@@ -256,12 +256,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: dict[int, float], ridge: floa
     return tuple(beta.tolist())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5)."""
-    prepare(docs.sparkSession)
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text column, 0 to 1."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return texts.map(model.score, na_action=None).astype(float)
 
-    return docs.withColumn("score", scored(F.coalesce(F.col("text"), F.lit("")))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score and predicted (1 if score >= 0.5); columns of these names in docs are replaced."""
+    prepare(docs.sparkSession)
+    return docs.withColumn("score", score_of(F.col("text"), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -412,6 +412,17 @@ def test_substrings_keeps_columns(spark, none):
     assert (r.lang, r.n_chars, r.kept_text) == ("en", 5, "a  b\n c")
 
 
+def test_null_numbers(spark):
+    p = " ".join(f"w{i}" for i in range(15))
+    df = spark.createDataFrame([(None, p), (5, p), (None, p), (None, "z"), (7, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_removed) for r in substrings.remove_repeats(df).collect()) == [(-1, 0), (-1, 15), (-1, 15), (5, 0), (7, 0)]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(df).collect()) == [(-1, -1), (-1, 5), (-1, 5), (5, 5), (7, 7)]
+    assert simhash.similar_groups(df).count() == 5
+    assert lm.score(df, simhash.F.col("doc_id") == 5).count() == 5
+    bench = spark.createDataFrame([(1, p)], "item_id long, text string")
+    assert sorted((r.doc_id or -1, r.contaminated) for r in decontaminate.decontaminate(df, bench).collect() if r.doc_id) == [(5, True), (7, False)]
+
+
 # -- 8 --
 
 

@@ -55,6 +55,22 @@ def test_planted(spark, tmp_path):
     assert texts[102].endswith(passage) and passage.split()[30] not in texts[103].split() and texts[5] == clean[5][1]
 
 
+def test_clashing_names_nulls_and_repeats(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, "other text of the same number"), (None, text), (None, None), (2, None), (3, "you idiot")]
+    names = ("score", "predicted", "grp", "label", "half", "n_words", "rest", "rep", "component", "hs", "items", "salt", "kept_text")
+    extra = ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(i, t, "en", *range(len(names))) for i, t in rows], f"doc_id long, text string, lang string, {extra}")
+    spark.createDataFrame([(3, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in docs.where("doc_id IS NOT NULL").collect())
+    assert got == [(1, "other text of the same number"), (1, text), (2, None)] and {r.salt for r in docs.collect()} == {11}
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
