@@ -243,7 +243,11 @@ def binary(op: str, a: Column, b: Column, type_of: TypeOf, lists: tuple[bool, bo
     if op == "-":
         return F.zip_with(a, b, lambda x, y: x - y) if is_vector(ta) and is_vector(tb) else a - b
     if op == "*":
-        return F.zip_with(a, b, lambda x, y: x * y) if is_vector(ta) and is_vector(tb) else a * b
+        if is_vector(ta) and is_vector(tb):
+            return F.zip_with(a, b, lambda x, y: x * y)
+        if is_vector(ta) and is_number(tb):
+            return F.transform(a, lambda x: x * b)
+        return F.transform(b, lambda x: x * a) if is_vector(tb) and is_number(ta) else a * b
     if op == "/":
         return F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(_div(a, b)) if isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType) else a / b
     if op == "%":
@@ -336,6 +340,15 @@ def cast(x: Column, name: str, type_of: TypeOf) -> Column:
     raise ValueError(f"type {name} does not exist")
 
 
+def needs_showing(t: T.DataType) -> bool:
+    return isinstance(t, T.CalendarIntervalType) or textsearch.is_query(t)
+
+
+def shown(x: Column, t: T.DataType) -> Column:
+    """Results that users cannot read as they are: intervals as months, days and microseconds, text queries as text."""
+    return temporal.parts(x, t) if isinstance(t, T.CalendarIntervalType) else x.getField("query")
+
+
 # -- aggregates and windows --
 
 

@@ -34,6 +34,8 @@ def interval(x: Column, kind: T.DataType) -> Column:
     if not isinstance(kind, T.StringType):
         return x.cast("interval")
     t = F.lower(F.trim(x))
+    for short, whole in (("mons?", "months"), ("yrs?", "years"), ("hrs?", "hours"), ("mins?", "minutes"), ("secs?", "seconds")):
+        t = F.regexp_replace(t, rf"(?<=\d) *{short}\b", f" {whole}")
     back = F.regexp_replace(F.regexp_replace(t, r"\s*ago$", ""), r"(?<![\d.-])(\d)", "-$1")
     return F.when(t.endswith("ago"), back.cast("interval")).otherwise(t.cast("interval"))
 
@@ -132,4 +134,8 @@ CASTS = {"interval": interval, "time": lambda x, k: F.date_format(x.cast("timest
 
 
 def operator(op, a, b, ta, tb):
+    if isinstance(ta, T.StringType) and isinstance(tb, T.CalendarIntervalType) and op in ("+", "-"):
+        # A time of day is a text; it wraps at midnight.
+        at = F.concat(F.lit("2000-01-02 "), a).cast("timestamp")
+        return F.date_format(at + b if op == "+" else at - b, "HH:mm:ss.SSSSSS")
     return None

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .temporal import literal
-
 
 def words(x: Column) -> Column:
     """Lower-case words in order; a word's place is its index."""
@@ -20,12 +19,24 @@ def to_tsvector(x: Column, kind: T.DataType) -> Column:
     return x if isinstance(kind, T.ArrayType) else words(x)
 
 
+def is_query(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and t.names == ["query"]
+
+
+def query(x: Column) -> Column:
+    return F.struct(x.alias("query"))
+
+
+def text_of(x: Column, kind: T.DataType) -> Column:
+    return x.getField("query") if is_query(kind) else x
+
+
 def plain(c, type_of) -> Column:
-    return F.array_join(words(c[0]), " & ")
+    return query(F.array_join(words(c[0]), " & "))
 
 
 def phrase(c, type_of) -> Column:
-    return F.array_join(words(c[0]), " <-> ")
+    return query(F.array_join(words(c[0]), " <-> "))
 
 
 def websearch(c, type_of) -> Column:
@@ -34,16 +45,18 @@ def websearch(c, type_of) -> Column:
     parts = F.filter(F.regexp_extract_all(t, F.lit("(-?\u0001[^\u0002]*\u0002|\\S+)"), F.lit(1)), lambda w: w != "")
     made = F.transform(parts, lambda w: F.concat(F.when(w.startswith("-"), "!").otherwise(""), F.when(F.contains(w, F.lit("\u0001")), F.concat(F.lit("("), F.array_join(words(w), " <-> "), F.lit(")"))).otherwise(F.array_join(words(w), " & "))))
     joined = F.array_join(made, " & ")
-    return F.regexp_replace(joined, " & or & ", " | ")
+    return query(F.regexp_replace(joined, " & or & ", " | "))
 
 
-def joiner(op: str):
-    return lambda c, t: F.concat(F.lit("("), c[0], F.lit(f") {op} ("), c[1], F.lit(")"))
+def joined(a: Column, op: Column | str, b: Column) -> Column:
+    """Two queries with an operator between; brackets only where they are needed."""
+    part = lambda x: F.when(F.rlike(x, F.lit(r"[\s&|<]")), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)
+    return query(F.concat(part(a), F.lit(" "), F.lit(op) if isinstance(op, str) else op, F.lit(" "), part(b)))
 
 
 def tsquery_phrase(c, type_of) -> Column:
     n = F.concat(F.lit("<"), c[2].cast("int").cast("string"), F.lit(">")) if len(c) == 3 else F.lit("<->")
-    return F.concat(F.lit("("), c[0], F.lit(") "), n, F.lit(" ("), c[1], F.lit(")"))
+    return joined(text_of(c[0], type_of(c[0])), n, text_of(c[1], type_of(c[1])))
 
 
 TOKEN = re.compile(r"\s*(<->|<\d+>|[&|!()]|'[^']*'|[^\s&|!()<>]+)")
@@ -123,22 +136,34 @@ def compile_query(text: str):
 
 
 def matches(doc: Column, kind: T.DataType, query: Column) -> Column:
-    """The query must be a text that is written in the statement."""
-    text = literal(query)
-    return compile_query(text.strip("'"))(to_tsvector(doc, kind))
+    """The query must not read rows: it is computed once, and compiled."""
+    try:
+        text = SparkSession.getActiveSession().range(1).select(query.alias("q")).first()[0]
+    except AnalysisException:
+        raise ValueError("a text query must be the same for all rows") from None
+    return compile_query(text)(to_tsvector(doc, kind)) if text is not None else F.lit(None).cast("boolean")
 
 
 FUNCTIONS = {
     "to_tsvector": lambda c, t: words(c[0]), "plainto_tsquery": plain, "phraseto_tsquery": phrase, "websearch_to_tsquery": websearch, "tsquery_phrase": tsquery_phrase,
     "ts_delete": lambda c, t: F.array_except(c[0], c[1] if isinstance(t(c[1]), T.ArrayType) else F.array(c[1])), "strip": lambda c, t: F.array_sort(F.array_distinct(c[0])),
 }
-PREFIX = {"!!": lambda x, t: F.concat(F.lit("!("), x, F.lit(")"))}
-CASTS = {"tsvector": to_tsvector, "tsquery": lambda x, k: x}
+PREFIX = {"!!": lambda x, t: query(F.concat(F.lit("!("), text_of(x, t(x)), F.lit(")")))}
+CASTS = {"tsvector": to_tsvector, "tsquery": lambda x, k: x if is_query(k) else query(x)}
 
 
 def operator(op, a, b, ta, tb):
-    if op == "@@" and isinstance(tb, T.StringType):
-        return matches(a, ta, b)
-    if op == "@@" and isinstance(tb, T.ArrayType) and isinstance(ta, T.StringType):
-        return matches(b, tb, a)
+    if op == "@@" and (is_query(tb) or isinstance(tb, T.StringType) and not is_query(ta)):
+        return matches(a, ta, text_of(b, tb))
+    if op == "@@" and (is_query(ta) or isinstance(tb, T.ArrayType)):
+        return matches(b, tb, text_of(a, ta))
+    if is_query(ta) and is_query(tb):
+        x, y = text_of(a, ta), text_of(b, tb)
+        if op in ("||", "&&", "|", "&"):
+            return joined(x, op[0], y)
+        if op == "<->":
+            return joined(x, "<->", y)
+        if op in ("@>", "<@"):
+            whole, part = (x, y) if op == "@>" else (y, x)
+            return F.size(F.array_except(words(part), words(whole))) == 0
     return None

@@ -46,7 +46,8 @@ def spherical(a: Column, b: Column) -> Column:
 
 def parse(x: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
-        return F.transform(F.split(F.regexp_replace(x, r"[\[\]\s]", ""), ","), lambda v: v.cast("double"))
+        parts = F.split(F.regexp_replace(x, r"[\[\]\s\"]", ""), ",")
+        return F.transform(F.filter(parts, lambda v: v != ""), lambda v: v.cast("double"))
     return F.transform(x, lambda v: v.cast("double"))
 
 

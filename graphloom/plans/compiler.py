@@ -169,7 +169,10 @@ class Compiler:
 
     def returned(self, rows: Rows) -> DataFrame:
         """The rows as users see them: entities as structs."""
-        return rows.df.select(*[self.entity(rows, n).alias(n) for n in rows.vars])
+        df = rows.df.select(*[self.entity(rows, n).alias(n) for n in rows.vars])
+        # Intervals and text queries show their parts.
+        odd = {f.name: functions.shown(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if functions.needs_showing(f.dataType)}
+        return df.select(*[odd[c].alias(c) if c in odd else F.col(f"`{c}`") for c in df.columns]) if odd else df
 
     # -- patterns --
     def scan_node(self, n: NodePattern, name: str) -> Rows:
