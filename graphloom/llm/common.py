@@ -25,6 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a few files give fewer; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepare(spark: SparkSession) -> None:
     """Bounds the Arrow batches by bytes too, and lets local workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

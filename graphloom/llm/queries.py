@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table
+from .common import prepare, read_table, spread
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexed, near_duplicates
 
     prepare(spark)
-    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    return near_duplicates(spread(read_table(spark, sf_dir, "documents"))).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def held_out(modulus: int, *rest: int):
@@ -23,7 +23,7 @@ def held_out(modulus: int, *rest: int):
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     out = held_out(5, 0)
     model = fit(docs, read_table(spark, sf_dir, "labels").where(~out))
     return score(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
@@ -46,14 +46,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
     out = held_out(3, 1)
-    scored = score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where(~out))
+    scored = score(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels").where(~out))
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     prepare(spark)
-    return pack(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(spread(read_table(spark, sf_dir, "documents")), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_lm, op4_warc, op5_quality, op6_decontaminate, op7_substrings, op8_topk, op9_urlrules, op10_packing)}
