@@ -231,9 +231,60 @@ PARTS, PART_BITS, LOOSE = 8, 24, 14
 SMALL_BYTES, SMALL_COUNT = 4 << 20, 1024
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (128 bits for the sequence of words, A-Z lower-cased), size, fp and parts: a 64-bit and a 192-bit SimHash of the set of words."""
+#: Of one document in so many, at least of HOT_DOCS documents, shingles are counted; at most HOT_MOST frequent ones go last in the order of shingles.
+HOT_EVERY, HOT_DOCS, HOT_LEAST, HOT_MOST = 16, 10_000, 4, 500_000
+
+
+def _shingles(column, words: int, hot: np.ndarray | None = None, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row with their rows, in the order of (rank of a hot shingle, else 0; hash), and how many a row has. Fewer words than a shingle has: the whole sequence is one."""
+    ids, n = words_of(column, lower=True)
+    grams, many = window_hashes(ids, words), np.maximum(n - words + 1, 0)
+    start = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), many)
+    grams = grams[start[row] + ramp(many)]
+    for i in np.flatnonzero((n > 0) & (n < words)):
+        grams, row = np.append(grams, mix(np.array([hash(tuple(ids[start[i] : start[i] + n[i]].tolist())) % (1 << 64)], np.uint64))), np.append(row, i)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+        order = np.lexsort((grams, np.where(hot[at] == grams, rank[at], 0).astype(np.uint8), row))
+    else:
+        order = np.lexsort((grams, row))
+    grams, row = grams[order], row[order]
+    one = np.concatenate(([True], (grams[1:] != grams[:-1]) | (row[1:] != row[:-1]))) if len(grams) else np.zeros(0, bool)
+    grams, row = grams[one], row[one]
+    return grams, row, np.bincount(row, minlength=len(n))
+
+
+def hot_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ascending, and their ranks: the logarithm of the number of sampled documents. Any choice keeps the index exact; a good one keeps common passages out of it."""
     prepare(docs.sparkSession)
+    every = max(1, min(HOT_EVERY, docs.count() // HOT_DOCS))
+
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(_shingles(b.column("text"), words)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0).select("text").mapInArrow(run, "h long, n long")
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h").limit(HOT_MOST).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], np.log2(np.maximum(n[order], 2)).astype(np.uint8)
+
+
+def _overlap(a, b, threshold: float):
+    """The least number of common shingles of sets of a and b shingles with a similarity of threshold."""
+    return np.ceil(threshold * (a + b) / (1 + threshold) - 1e-6).astype(np.int64)
+
+
+def sketches(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, s1, s2 (128 bits for the sequence of words, A-Z lower-cased), size, fp and parts: a 64-bit and a 192-bit SimHash of the set of words.
+
+    Also of the set of shingles: their number, prefix (the first ones in the order, of which two sets with the similarity have
+    one in common) and parity (a bit for each remainder of hashes, set if an odd number of shingles has it).
+    """
+    prepare(docs.sparkSession)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, words))
 
     def run(batches):
         release()
@@ -269,9 +320,105 @@ def sketches(docs: DataFrame) -> DataFrame:
             triples = bits[:, 8:].reshape(len(n), PARTS, 3).astype("<u4")
             parts = (triples[:, :, 0] | triples[:, :, 1] << 8 | triples[:, :, 2] << 16).astype("<u4")
             size = np.concatenate([np.diff(off) for _, off in text_buffers(b.column("text"))]) if len(n) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts"])
+            grams, _, many = _shingles(b.column("text"), words, *hot.value)
+            first = np.cumsum(many) - many
+            head = np.where(many > 0, many - np.ceil(threshold * many - 1e-6).astype(np.int64) + 1, 0)
+            # Texts shorter than a shingle are similar to equal ones only.
+            head[n < words] = 0
+            prefix = [grams[s : s + k].tobytes() for s, k in zip(first.tolist(), head.tolist(), strict=True)]
+            parity = [_parity(grams[s : s + k]) for s, k in zip(first.tolist(), many.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(many), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts", "shingles", "prefix", "parity"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, size long, fp long, parts binary, shingles long, prefix binary, parity binary")
+
+
+def _parity(grams: np.ndarray) -> bytes:
+    width = max(64, 1 << int(len(grams) - 1).bit_length()) if len(grams) else 64
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _met(threshold: float):
+    """From rows h, node, component, shingles, place, sorted by h: pairs of nodes of different components that share h and can have the similarity by their sizes and the places of h."""
+
+    def found(t: pa.Table):
+        h, node, part, size, place = (t.column(c).to_numpy() for c in ("h", "node", "component", "shingles", "place"))
+        number = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
+        keep = mixed[number]
+        if not keep.any():
+            return
+        number, node, part, size, place = (x[keep] for x in (number, node, part, size, place))
+        order = np.lexsort((size, number))
+        number, node, part, size, place = (x[order] for x in (number, node, part, size, place))
+        # Each row meets those after it in its run that are not too large.
+        key = number << 32 | size
+        meets = np.searchsorted(key, number << 32 | np.floor(size / threshold + 1e-6).astype(np.int64), side="right") - np.arange(len(key)) - 1
+        ends, at = np.cumsum(meets), 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            n = meets[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + ramp(n)
+            near = (part[i] != part[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _overlap(size[i], size[j], threshold))
+            if near.any():
+                x, y = node[i[near]], node[j[near]]
+                two = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+            at = to
+
+    def run(batches):
+        left: pa.Table | None = None
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            h = t.column("h").to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            left = t.slice(last)
+            if last:
+                yield from found(t.slice(0, last))
+        if left is not None:
+            yield from found(left)
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, size long, fp long, parts binary")
+
+def missed(own: DataFrame, reps: DataFrame, coarse: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of different components of `coarse` that may have the similarity; no pair that has it is missing.
+
+    Sets with the similarity share a shingle of their prefixes; of pairs that do, those stay whose parities differ in no more
+    bits than the sets may differ in shingles.
+    """
+    named = reps.join(coarse, reps["rep"] == coarse["node"], "left").select("rep", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    heads = own.join(named, (own["doc_id"] == named["rep"]) & (own["s1"] == named["s1"]) & (own["s2"] == named["s2"])).groupBy("rep", own["s1"], own["s2"]).agg(F.first("component").alias("component"), F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix"))
+
+    def deal(batches):
+        for b in batches:
+            prefix = b.column("prefix").to_pylist()
+            n = np.fromiter((len(x) // 8 for x in prefix), np.int64, len(prefix))
+            h = np.frombuffer(b"".join(prefix), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("rep", "component", "shingles")), pa.array(ramp(n))], names=["h", "node", "component", "shingles", "place"])
+
+    schema = "h long, node long, component long, shingles long, place long"
+    heads = heads.select("rep", "component", "shingles", "prefix").mapInArrow(deal, schema)
+    pairs = materialize(heads.repartition("h").sortWithinPartitions("h").mapInArrow(_met(threshold), "a long, b long").distinct())
+    bits = own.join(reps.select("rep", "s1", "s2"), ["s1", "s2"]).where("doc_id = rep").select("rep", "shingles", "parity")
+    both = pairs.join(bits.toDF("a", "na", "pa"), "a").join(bits.toDF("b", "nb", "pb"), "b")
+
+    def check(batches):
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            most = na + nb - 2 * _overlap(na, nb, threshold)
+            ok = np.zeros(len(b), bool)
+            for i, (x, y) in enumerate(zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True)):
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                # A wider one folds onto the narrower: remainders of powers of two.
+                ok[i] = np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum() <= most[i]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(check, "a long, b long").distinct()
 
 
 def _similar(words: int, threshold: float):
@@ -280,23 +427,11 @@ def _similar(words: int, threshold: float):
     def run(t: pa.Table) -> pa.Table:
         release()
         node, cluster = t.column("node").to_numpy(), t.column("component").to_numpy()
-        ids, n = words_of(t.column("text"), lower=True)
-        grams, many = window_hashes(ids, words), np.maximum(n - words + 1, 0)
-        start = np.cumsum(n) - n
-        row = np.repeat(np.arange(len(n)), many)
-        grams = grams[start[row] + ramp(many)]
-        # Fewer words than a shingle has: the whole sequence is one.
-        for i in np.flatnonzero((n > 0) & (n < words)):
-            grams, row = np.append(grams, mix(np.array([hash(tuple(ids[start[i] : start[i] + n[i]].tolist())) % (1 << 64)], np.uint64))), np.append(row, i)
-        order = np.lexsort((grams, row))
-        grams, row = grams[order], row[order]
-        one = np.concatenate(([True], (grams[1:] != grams[:-1]) | (row[1:] != row[:-1]))) if len(grams) else np.zeros(0, bool)
-        grams, row = grams[one], row[one]
-        size = np.bincount(row, minlength=len(n))
+        grams, row, size = _shingles(t.column("text"), words)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         by = np.argsort(cluster, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(cluster[by]) != 0, [True])))
-        begin = np.searchsorted(row, np.arange(len(n) + 1))
+        begin = np.searchsorted(row, np.arange(len(size) + 1))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             own = by[s:e]
             if len(own) < 2:
@@ -329,15 +464,19 @@ def _similar(words: int, threshold: float):
 def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block: int = 4096) -> DataFrame:
     """doc_id, group_id: the smallest doc_id that is reached over pairs of texts whose sets of word shingles have a Jaccard similarity of at least threshold.
 
-    The index finds candidates: texts whose SimHashes of word sets agree within one bit in one of eight 24-bit parts and in all
-    but 14 of 64 further bits. Texts in one component of candidates are then compared exactly, components of many or long
-    texts in blocks against blocks. Texts with the same words are one text here, as are texts without words.
+    The index finds most candidates: texts whose SimHashes of word sets agree within one bit in one of eight 24-bit parts and in
+    all but 14 of 64 further bits. Prefixes of the shingle sets then find every pair across its components that it may have missed
+    (`missed`). Texts in one component of candidates are compared exactly, components of many or long texts in blocks against
+    blocks. Texts with the same words are one text here, as are texts without words.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = materialize(sketches(docs))
+    own = materialize(sketches(docs, words, threshold))
     reps = materialize(own.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "size", "fp", "parts"), "doc_id").alias("r")).select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.fp").alias("fp"), F.col("r.parts").alias("parts")))
     coarse = components(links(reps.where("rep IS NOT NULL"), LOOSE, PART_BITS, block))
+    more = materialize(missed(own, reps.where("rep IS NOT NULL").select("rep", "s1", "s2"), coarse, threshold))
+    if not more.isEmpty():
+        coarse = components(coarse.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     member = materialize(coarse.join(reps.select(F.col("rep").alias("node"), "size"), "node"))
     sums = member.groupBy("component").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("bytes") / (SMALL_BYTES // 2)), F.ceil(F.col("n") / (SMALL_COUNT // 2))).cast("int")

@@ -162,6 +162,25 @@ def test_similar_groups(docs, rows, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_similar_groups_finds_appended_cut_and_replaced_copies(spark):
+    """Pairs just over the threshold, which word-set SimHashes mostly miss."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("bcdfghklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(5))
+    data, sets = [], []
+    for i in range(90):
+        n = (60, 200, 600)[i % 3]
+        a, goal = [word() for _ in range(n)], (0.79, 0.8, 0.82, 0.85, 0.88)[i % 5]
+        k = math.ceil((n - 4) / goal) - (n - 4)
+        b = a + [word() for _ in range(k)] if i % 2 else a[: math.ceil((n - 4) * goal) + 4] if i % 4 else a[: n // 2] + [word() for _ in range(n // 20)] + a[n // 2 + n // 20 :]
+        for w in (a, b):
+            data.append((len(data), " ".join(w)))
+            sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    want = [i - 1 if i % 2 and len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1]) else i for i in range(len(data))]
+    assert 90 < sum(w == i for i, w in enumerate(want)) < 130
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(data))] == want
+
+
 # -- 2 --
 
 
