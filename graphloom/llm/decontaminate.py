@@ -1,12 +1,16 @@
-"""Benchmark decontamination by template windows, in DataFrame operations only.
+"""Benchmark decontamination by windows of words, in DataFrame operations only.
 
-Texts are made canonical: numbers, capitalised names inside sentences and units after numbers become typed placeholders,
-everything else lower-case words without punctuation. Windows of `window` canonical words are hash-joined between documents and
-benchmark items. Windows of one document and one item on one diagonal (the same distance between their places) belong to one
-alignment; a document is contaminated by an item if an alignment has enough different windows (`enough`, or `share` of the
-item's windows if that is less). Then the slots are checked: within the alignment, placeholders of one value in the item must
-have one value in the document, as in a question asked again with other numbers, names or units; a chance meeting of templates
-does not. Items shorter than a window are joined as one window of their own length.
+Texts are read in two forms. The literal form is their lower-case words and numbers. In the template form numbers, capitalised
+names and units after numbers become typed placeholders, everything else lower-case words without punctuation; a run of names
+is one placeholder, and a capitalised word at a sentence's start is a name unless it is one of STARTERS.
+
+Windows of `window` words of one form are hash-joined between documents and benchmark items; template windows with under half
+literal words say nothing and are left out. Windows of one document and one item whose distances between their places differ by
+less than half of BAND belong to one alignment; a document is contaminated by an item if an alignment has enough different windows
+(`enough`, or `share` of those the item has in this form if that is less). An alignment of templates is then checked for its slots:
+inside the matched windows, placeholders of one value in the item must have one value in the document, as in a question asked again
+with other numbers, names or units, or most values must be unchanged; a chance meeting of templates does neither. Items shorter
+than a window are joined as one window of their own length.
 
 Null texts have no words and match nothing. Items whose canonical text is empty or all placeholders match nothing. Repeated
 rows each get the same answer.
@@ -28,25 +32,42 @@ UNITS = "km|kilometers|kilometres|miles|mi|m|meters|metres|cm|mm|feet|ft|inches|
 MARK = "\u0002"
 
 
+#: Distances within half of this belong to one alignment: words put in or left out shift what follows.
+BAND = 8
+#: Joins the words of a name.
+GLUE = "\u0003"
+STARTERS = "a|about|according|add|after|all|although|an|and|any|are|as|assume|at|before|besides|both|but|by|calculate|can|choose|compute|consider|could|define|describe|determine|did|do|does|during|each|estimate|every|evaluate|explain|express|find|first|five|for|four|from|give|given|has|have|he|hence|her|here|his|how|however|if|in|is|it|its|last|let|list|many|may|more|most|my|name|next|no|not|now|of|on|once|one|or|our|over|please|prove|she|should|show|simplify|since|so|solve|some|state|suppose|that|the|their|then|there|these|they|this|those|three|thus|to|today|two|under|until|use|was|we|were|what|when|where|which|while|who|whose|why|will|with|without|would|write|yes|you|your"
+CAPITAL = rf"\p{{Lu}}[\p{{L}}{GLUE}]*\p{{Ll}}[\p{{L}}{GLUE}]*"
+COMMON = rf"(?i:{STARTERS})(?!\p{{L}})"
+RUN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!{COMMON})({CAPITAL}) +(?=\p{{Lu}}\p{{L}}*\p{{Ll}})(?!{COMMON})"
 NAME = r"(\p{Lu}(?<=[\p{Ll}\p{N},] .)\p{L}*\p{Ll}\p{L}*)"
 NUMBER = r"(\d+(?:[.,:/]\d+)*)"
 UNIT = rf"({UNITS})(?![\p{{L}}\p{{N}}])"
 
 
+def _joined(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def literal_words(text: Column) -> Column:
+    """Lower-case words and numbers."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def canonical(text: Column) -> Column:
     """The canonical words of a text; a placeholder is the mark and its type (n number, p name, u unit)."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, f"{MARK}p")
+    t = F.regexp_replace(_joined(text), NAME, f"{MARK}p")
     t = F.lower(F.regexp_replace(t, NUMBER, f" {MARK}n "))
     t = F.regexp_replace(t, rf"{MARK}n +{UNIT}", f"{MARK}n {MARK}u")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: w != "")
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}{GLUE}]+"), lambda w: w != "")
 
 
 def raw_words(text: Column) -> Column:
     """As canonical(), but placeholders also carry their values."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, f"{MARK}p$1")
+    t = F.regexp_replace(_joined(text), NAME, f"{MARK}p$1")
     t = F.lower(F.regexp_replace(t, NUMBER, f" {MARK}n$1 "))
     t = F.regexp_replace(t, rf"({MARK}n\S+) +{UNIT}", f"$1 {MARK}u$2")
-    return F.filter(F.split(t, rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+"), lambda w: w != "")
+    return F.filter(F.split(t, rf"(?:[^\p{{L}}\p{{N}}{MARK}{GLUE}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+"), lambda w: w != "")
 
 
 def _windows(hashes: Column, n: int) -> Column:
@@ -60,52 +81,61 @@ def _hashes(words: Column) -> Column:
 
 
 def canonical_items(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, words, hs (their hashes) and n, the words of a window: `window`, or all of a shorter item."""
-    items = benchmark.select("item_id", canonical(F.col("text")).alias("words")).select("item_id", "words", _hashes(F.col("words")).alias("hs"))
+    """item_id, exact (whether in literal form), words, hs (their hashes) and n, the words of a window: `window`, or all of a shorter item."""
+    items = benchmark.select("item_id", canonical(F.col("text")).alias("words"), literal_words(F.col("text")).alias("plain"))
     items = items.where(F.exists("words", lambda w: ~w.startswith(MARK) & (w != "")))
-    items = items.withColumn("n", F.least(F.lit(window), F.size("words")))
-    return items
+    items = items.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("plain").alias("words")), F.struct(F.lit(False).alias("exact"), F.col("words")))).alias("form"))
+    items = items.select("item_id", "form.exact", "form.words").select("item_id", "exact", "words", _hashes(F.col("words")).alias("hs"))
+    return items.withColumn("n", F.least(F.lit(window), F.size("words")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, shift (place in the document less that in the item), lo, hi (first and last matching window in the item), windows, checked slots agree."""
-    items = canonical_items(benchmark, window)
-    lengths = sorted(r[0] for r in items.select("n").distinct().collect())
-    parts = [items.where(F.col("n") == n).select("item_id", "n", "words", F.posexplode(_windows(F.col("hs"), n)).alias("at", "h")) for n in lengths]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, lo int, hi int, windows long")
-    wins = reduce(DataFrame.unionByName, parts)
-    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("n")), lambda w: ~w.startswith(MARK)))
-    need = F.least(F.lit(enough), F.ceil(F.lit(share) * (F.size("words") - F.col("n") + 1))).cast("int")
-    # A window of placeholders only says nothing.
-    wins = wins.where(literal * 2 >= F.col("n")).select("item_id", "n", "at", "h", need.alias("need"))
+    """doc_id, item_id, exact, n, band, windows, lines: of each shift (place in the document less that in the item) of the alignment the number and places (ats) of its windows, most first."""
+    items = materialize(canonical_items(benchmark, window))
+    forms = sorted((r[0], r[1]) for r in items.select("exact", "n").distinct().collect())
+    if not forms:
+        return docs.select("doc_id").where("false").crossJoin(benchmark.select("item_id").where("false")).select("doc_id", "item_id", F.lit(True).alias("exact"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("band"), F.lit(0).alias("windows"), F.lit(None).cast("array<struct<many:int,shift:int,ats:array<int>>>").alias("lines"))
+    # A template of placeholders only says nothing; its literal window does.
+    literal = lambda at: F.size(F.filter(F.slice("words", at + 1, F.col("n")), lambda w: ~w.startswith(MARK)))
+    items = items.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda at: F.col("exact") | (literal(at) * 2 >= F.col("n"))))
+    need = F.least(F.lit(enough), F.ceil(F.lit(share) * F.size("kept"))).cast("int")
+    items = items.withColumn("need", need)
+    wins = reduce(DataFrame.unionByName, [items.where((F.col("exact") == F.lit(e)) & (F.col("n") == n)).withColumn("all", _windows(F.col("hs"), n)).select("item_id", "exact", "n", "need", "all", F.explode("kept").alias("at")).select("item_id", "exact", "n", "need", "at", F.get("all", F.col("at")).alias("h")) for e, n in forms])
     wins = materialize(wins)
     small = wins.count() <= BROADCAST_ROWS
-    words = docs.select("doc_id", canonical(F.col("text")).alias("words")).select("doc_id", _hashes(F.col("words")).alias("hs"))
     found = None
-    for n in lengths:
-        own = wins.where(F.col("n") == n).drop("n")
+    for e, n in forms:
+        own = wins.where((F.col("exact") == F.lit(e)) & (F.col("n") == n)).drop("n", "exact")
+        words = docs.select("doc_id", (literal_words if e else canonical)(F.col("text")).alias("words")).select("doc_id", _hashes(F.col("words")).alias("hs"))
         mine = words.select("doc_id", F.posexplode(_windows(F.col("hs"), n)).alias("place", "h"))
-        part = mine.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "need", F.lit(n).alias("n"))
+        part = mine.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id", F.lit(e).alias("exact"), (F.col("place") - F.col("at")).alias("shift"), "at", "need", F.lit(n).alias("n"))
         found = part if found is None else found.unionByName(part)
-    lined = found.groupBy("doc_id", "item_id", "shift", "n", "need").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count_distinct("at").alias("windows"))
-    return lined.where(F.col("windows") >= F.col("need")).select("doc_id", "item_id", "shift", "lo", (F.col("hi") + F.col("n") - 1).alias("hi"), "windows")
+    lined = found.groupBy("doc_id", "item_id", "exact", "n", "need", "shift").agg(F.collect_set("at").alias("ats"))
+    # Bands in two places, so that shifts within half a band meet in one of them.
+    bands = F.array(F.col("shift").cast("long"))
+    lined = lined.select("doc_id", "item_id", "exact", "n", "need", F.explode(bands).alias("band"), F.struct(F.size("ats").alias("many"), "shift", "ats").alias("line"))
+    lined = lined.groupBy("doc_id", "item_id", "exact", "n", "need", "band").agg(F.sort_array(F.collect_list("line"), asc=False).alias("lines"))
+    lined = lined.withColumn("windows", F.size(F.array_distinct(F.flatten("lines.ats"))))
+    return lined.where(F.col("windows") >= F.col("need")).select("doc_id", "item_id", "exact", "n", "band", "windows", "lines")
 
 
 def agree(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of matches() whose slots agree. Texts are read again only if an item has slots."""
+    """The rows of matches() that are literal or whose slots agree. Texts are read again only if an item has slots."""
     items = benchmark.select("item_id", raw_words(F.col("text")).alias("item")).where(F.exists("item", lambda w: w.startswith(MARK)))
     found = materialize(found)
     if items.isEmpty():
         return found
-    slotted = found.join(items, "item_id", "left_semi")
+    slotted = found.where("NOT exact").join(items, "item_id", "left_semi")
     texts = docs.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("words"))
     both = slotted.join(items, "item_id").join(texts, "doc_id")
-    places = F.filter(F.sequence("lo", "hi"), lambda i: F.get("item", i).startswith(MARK))
-    pairs = F.array_distinct(F.transform(places, lambda i: F.struct(F.get("item", i).alias("a"), F.get("words", i + F.col("shift")).alias("b"))))
-    values = F.array_distinct(F.transform(places, lambda i: F.get("item", i)))
-    bad = both.where(F.size(pairs) != F.size(values)).select("doc_id", "item_id", "shift")
-    return found.join(bad, ["doc_id", "item_id", "shift"], "left_anti")
+    slots = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get("item", i).startswith(MARK))
+    # A place is where the shift with the most windows has it, of those with a window over it.
+    over = lambda i: F.filter("lines", lambda x: (F.array_min(x.ats) <= i) & (i < F.array_max(x.ats) + F.col("n")))
+    placed = F.filter(F.transform(slots, lambda i: F.struct(F.get("item", i).alias("a"), F.get("words", i + F.get(over(i), F.lit(0)).shift).alias("b"))), lambda p: p.b.isNotNull())
+    both = both.select("doc_id", "item_id", "band", placed.alias("placed"))
+    pairs, values = F.array_distinct("placed"), F.array_distinct("placed.a")
+    bad = both.where((F.size(pairs) != F.size(values))).select("doc_id", "item_id", "band", F.lit(False).alias("exact"))
+    return found.join(bad, ["doc_id", "item_id", "exact", "band"], "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:

@@ -373,6 +373,20 @@ def test_decontaminate(spark, none):
     assert decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_decontaminate_numbers_verbatim(spark):
+    """Items of mostly numbers: verbatim copies are found, other numbers alone are not enough."""
+    items = ["What is 12 + 7 * 3 - 5 / 2 ?", "Compute 12 + 7 * 3 - 5 / 2 and give 4 digits", "The sequence is 2, 4, 8, 16, 32, 64. What comes next?", "Find the mean of 3, 7, 9, 12, 15 and 20."]
+    texts = [f"Some words stand before. {t} Some words stand after." for t in items] + ["Some 99 + 98 * 97 - 96 / 95 and no more", "nothing here"]
+    assert leaks(spark, items, texts) == [[0], [1], [2], [3], [], []]
+
+
 def test_decontaminate_like_brute_force(spark, rows):
     """Plain passages: an item leaks if enough of its windows stand in a row in a text."""
     rng = np.random.default_rng(9)
