@@ -40,13 +40,13 @@ STARTERS = "a|about|according|add|after|all|although|an|and|any|are|as|assume|at
 CAPITAL = rf"\p{{Lu}}[\p{{L}}{GLUE}]*\p{{Ll}}[\p{{L}}{GLUE}]*"
 COMMON = rf"(?i:{STARTERS})(?!\p{{L}})"
 RUN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!{COMMON})({CAPITAL}) +(?=\p{{Lu}}\p{{L}}*\p{{Ll}})(?!{COMMON})"
-NAME = r"(\p{Lu}(?<=[\p{Ll}\p{N},] .)\p{L}*\p{Ll}\p{L}*)"
+NAME = rf"(?=\p{{Lu}})(?<=^|[\p{{Ll}}\p{{N}},.!?;:] |\n)(?!{COMMON})({CAPITAL})"
 NUMBER = r"(\d+(?:[.,:/]\d+)*)"
 UNIT = rf"({UNITS})(?![\p{{L}}\p{{N}}])"
 
 
 def _joined(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK + GLUE, "  "), RUN, f"$1{GLUE}")
 
 
 def literal_words(text: Column) -> Column:
@@ -112,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough:
         found = part if found is None else found.unionByName(part)
     lined = found.groupBy("doc_id", "item_id", "exact", "n", "need", "shift").agg(F.collect_set("at").alias("ats"))
     # Bands in two places, so that shifts within half a band meet in one of them.
-    bands = F.array(F.col("shift").cast("long"))
+    bands = F.array(2 * F.floor(F.col("shift") / BAND), 2 * F.floor((F.col("shift") + BAND // 2) / BAND) + 1)
     lined = lined.select("doc_id", "item_id", "exact", "n", "need", F.explode(bands).alias("band"), F.struct(F.size("ats").alias("many"), "shift", "ats").alias("line"))
     lined = lined.groupBy("doc_id", "item_id", "exact", "n", "need", "band").agg(F.sort_array(F.collect_list("line"), asc=False).alias("lines"))
     lined = lined.withColumn("windows", F.size(F.array_distinct(F.flatten("lines.ats"))))

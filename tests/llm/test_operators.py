@@ -387,6 +387,16 @@ def test_decontaminate_numbers_verbatim(spark):
     assert leaks(spark, items, texts) == [[0], [1], [2], [3], [], []]
 
 
+def test_decontaminate_other_names_and_case(spark):
+    items = ["On the way home Alice gave Tom half of the apples that she had bought at the small market near the bridge over the river", "Alice has 5 apples. Tom gives her 7 more apples. How many apples does Alice have in all now?"]
+    texts = [
+        items[0].replace("Alice", "Bob").replace("Tom", "Ann"), items[0].replace("Alice", "Mary Jane").replace("Tom", "Uncle Sam"), items[0].lower(), items[0].upper(),
+        items[1].replace("Alice", "Maria").replace("Tom", "Peter"), items[1].replace("Alice", "Maria Luz").replace("Tom", "Peter").replace("5", "11"),
+        items[0].replace("Alice", "Bob").replace("she had", "just yesterday she had"),
+    ]
+    assert leaks(spark, items, texts) == [[0], [0], [0], [0], [1], [1], [0]]
+
+
 def test_decontaminate_like_brute_force(spark, rows):
     """Plain passages: an item leaks if enough of its windows stand in a row in a text."""
     rng = np.random.default_rng(9)
