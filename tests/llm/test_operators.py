@@ -397,6 +397,15 @@ def test_decontaminate_other_names_and_case(spark):
     assert leaks(spark, items, texts) == [[0], [0], [0], [0], [1], [1], [0]]
 
 
+def test_decontaminate_edit_between_windows(spark):
+    """An edited stretch with a name that occurs elsewhere does not clear the windows around it."""
+    first, middle, last = "early that day Anna took the old road along the river to the far mill and rested", "then Anna slept beside the wall", "because rain had come over the hills and nobody would cross the wide ford before dawn with 3 carts"
+    item = f"{first} {middle} {last}"
+    doc = f"{first} then Boris slept beside his wall {last}".replace("3 carts", "4 carts").replace("took the old road", "took some old road")
+    other = item.replace("3 carts", "4 carts").replace("then Anna", "then Boris")
+    assert leaks(spark, [item], [item, doc, other]) == [[0], [0], [0]]
+
+
 def test_decontaminate_like_brute_force(spark, rows):
     """Plain passages: an item leaks if enough of its windows stand in a row in a text."""
     rng = np.random.default_rng(9)
