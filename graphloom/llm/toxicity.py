@@ -7,8 +7,8 @@ in the clause raises it, a threat counts when a target follows. A text's feature
 counts by where it stands; a logistic layer fitted on labelled rows turns them into a score.
 
 Insults are stems: word beginnings (any inflection matches). A few are given; the rest are learned from labelled rows as
-beginnings much more frequent in one half of the toxic rows than in the clean ones, and confirmed on the other half. Only a
-bounded sample of labelled rows is used: at most `per_class` rows of each class, those with the smallest hashes of doc_id.
+beginnings much more frequent in one half of the toxic rows than in the clean ones, and confirmed on the other half; they come
+before the given ones, which stay. Only a bounded sample of labelled rows is used: at most `per_class` rows of each class, those with the smallest hashes of doc_id.
 
 Null and empty texts match no clause and get the score of the bias alone. Repeated rows are scored each on its own. Without
 labels the given stems and weights hold. An Aho-Corasick automaton finds the clauses that can match in one pass of a text.
@@ -30,7 +30,8 @@ from .common import prepare
 
 PER_CLASS = 3000
 SHORTEST, LONGEST = 3, 10
-MOST_STEMS = 400
+#: Texts of each half in which a learned stem occurs at least.
+LEAST_TEXTS = 3
 GIVEN = ("asshole", "bastard", "bitch", "clown", "coward", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "vermin", "worthless")
 THREATS = frozenset("kill hurt destroy beat shoot stab burn punish crush smash hang strangle töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 TARGETS = frozenset("you your yours yourself they them their he she him her people du dich dir ihr euch dein deine tu toi te vous votre ils tú ti usted ustedes ellos".split())
@@ -207,11 +208,16 @@ def chosen_stems(found: list[tuple[str, float, int]], same: float = 0.9) -> dict
     stems: dict[str, float] = {}
     for stem in sorted(known, key=lambda x: (len(x), x)):
         stem = longest.get(stem, stem)
-        if len(stems) < MOST_STEMS and not any(stem[:k] in stems for k in range(SHORTEST, len(stem) + 1)):
+        if not any(stem[:k] in stems for k in range(SHORTEST, len(stem) + 1)):
             stems[stem] = known[stem][0]
     return stems
 
 
+def with_given(given: dict[str, float], learned: dict[str, float]) -> dict[str, float]:
+    """Learned stems, and the given ones that do not begin with one of them."""
+    return {s: w for s, w in given.items() if not any(s[:k] in learned for k in range(1, len(s) + 1))} | learned
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from the rows of labels(doc_id, toxic) whose documents are in docs."""
     prepare(docs.sparkSession)
@@ -223,10 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return Model(given)
     counts = rows.select("text", "label", "half").mapInArrow(_stem_counts, "stem string, c0 long, t0 long, c1 long, t1 long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     odds = lambda h: F.log((F.col(f"t{h}") + 0.5) / (n[h, 1] + 1)) - F.log((F.col(f"c{h}") + 0.5) / (n[h, 0] + 1))
-    least = lambda h: F.lit(max(3, n[h, 1] // 250))
-    good = counts.where((F.col("t0") >= least(0)) & (F.col("t1") >= least(1))).withColumn("o", F.least(odds(0), odds(1))).where("o > 2.2").withColumn("seen", F.col("t0") + F.col("t1"))
-    found = [(r["stem"], r["o"], r["seen"]) for r in good.orderBy(F.desc("seen"), F.desc("o"), F.length("stem"), "stem").limit(10 * MOST_STEMS).collect()]
-    model = Model(chosen_stems(found) or given)
+    good = counts.where((F.col("t0") >= LEAST_TEXTS) & (F.col("t1") >= LEAST_TEXTS)).withColumn("o", F.least(odds(0), odds(1))).where("o > 2.2").withColumn("seen", F.col("t0") + F.col("t1"))
+    # Bounded by the sample.
+    learned = chosen_stems([(r["stem"], r["o"], r["seen"]) for r in good.select("stem", "o", "seen").collect()])
+    model = Model(with_given(given, learned))
 
     def features(batches):
         for b in batches:

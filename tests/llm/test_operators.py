@@ -218,6 +218,19 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.fit(docs, lab.where("false")).stems
 
 
+def test_toxicity_keeps_given_and_rare_stems(spark):
+    """Given stems hold when others are learned; many or rare learned stems all stay."""
+    assert len(toxicity.chosen_stems([(f"s{i:03d}", 3.0, 9) for i in range(700)])) == 700
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join(f"n{chr(97 + x // 26)}{chr(97 + x % 26)}o" for x in rng.integers(0, 600, 40))
+    data = [(i, plain() + (" zorgal you" if i % 2 else "") + (" quibbex you" if i % 2 and i < 80 else "")) for i in range(4400)]
+    labels = [(i, i % 2) for i in range(4400)]
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bias = model.score("")
+    assert model.stem("zorgal") and all(model.score(f"you {w}") > bias for w in (*toxicity.GIVEN, "zorgal", "quibbex"))
+    assert toxicity.with_given({"idiot": 3.0, "scum": 3.0}, {"idi": 5.0}) == {"idi": 5.0, "scum": 3.0}
+
+
 def test_toxicity_null_and_empty(spark, none):
     m = toxicity.Model({"idiot": 4.0})
     got = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "idiot " * 50000)], "doc_id long, text string"), m).collect()
