@@ -36,8 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
-#: Headers longer than this are taken for damage.
-HEAD_MAX = 1 << 16
+#: Where headers end, or the version line of the next record shows that they do not.
+_HEAD = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")
 
 
 def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -71,7 +71,7 @@ def record_text(rows: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str | None = None, least: int = LEAST) -> str:
     """Writes one record for each page; returns the folder of archives."""
     path = path or scratch_dir(pages.sparkSession)
-    mean = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    mean = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
     files = record_text(classified(pages, least)).write.mode("overwrite").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES // (mean + 600))))
     files.option("lineSep", END).option("compression", "none").text(path)
     return path
@@ -84,9 +84,10 @@ def gzip_member(record: bytes) -> bytes:
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | str:
     """Headers, start and end of the block of the record at a version line, or what is wrong with it."""
-    head = data.find(b"\r\n\r\n", at, at + HEAD_MAX)
-    if head < 0:
+    stop = _HEAD.search(data, at + len(VERSION))
+    if not stop or stop.group() != b"\r\n\r\n":
         return "headers without end"
+    head = stop.start()
     fields = {}
     for line in data[at:head].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

@@ -285,6 +285,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_long_urls(spark):
+    """Headers have no greatest length; a url that ends like a version line ends no header."""
+    urls = ["http://a/" + "x" * 70_000, "http://b/" + "ü" * 3_000_000, "http://c/WARC/1.1", "u"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.read(spark, warc.write(df)).collect()
+    assert sorted((r.kind, r.record_id, r.url) for r in got) == [("record", f"urn:page:{i}", u) for i, u in enumerate(urls)]
+    broken = record(0, "x")[:-50].partition(b"\r\n\r\n")[0] + b"\r\n" + record(1, "y")
+    assert [x[0] for x in warc.salvage(broken)] == ["gap", "record"]
+
+
 def record(i, payload):
     body = payload.encode()
     return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
