@@ -13,7 +13,7 @@ itself.
 5. packing: the pieces of the documents and their places in sequences of 2048 tokens.
 
 Rows with one doc_id count as one document: they stay or go together, but of rows with the same text too, one stays. Rows with a null
-doc_id cannot be named; they are judged by stages 1 and 3 only. Null texts are empty ones; they stay until texts without
+doc_id are told apart by their texts and come after all others. Null texts are empty ones; they stay until texts without
 words are found to be equal, and one of them stays. Extra columns are kept by the filtering stages.
 """
 
@@ -22,17 +22,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, prepare, read_table, scratch_dir
+from graphloom.llm.common import materialize, prepare, read_table, row_key, scratch_dir
 
 #: SQL cannot express the stages; tests compare each with a brute-force version.
 ORACLE_SQL = None
 BROADCAST_ROWS = 1_000_000
 
 
+KEY = "row@key"
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """The keys of docs as doc_id, and their texts."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the doc_ids in gone; these are sent to the documents while they are few, else both are dealt by doc_id."""
-    gone = materialize(gone.select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs less the rows whose keys are doc_ids in gone; these are sent to the documents while they are few, else both are dealt by key."""
+    gone = materialize(gone.select(F.col("doc_id").alias(KEY)).distinct())
+    return docs.withColumn(KEY, row_key()).join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, KEY, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +55,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from graphloom.llm.simhash import similar_groups
 
     prepare(spark)
-    kept = without(docs, similar_groups(docs).where("doc_id <> group_id"))
+    kept = without(docs, similar_groups(named(docs)).where("doc_id <> group_id"))
     # Rows that repeat a doc_id and its text are copies too; only rows of doc_ids that occur twice are compared.
-    twice = materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    twice = materialize(named(kept).groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
-    return without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    own = kept.withColumn(KEY, row_key())
+    return without(kept, twice).unionByName(own.join(twice.toDF(KEY), KEY, "left_semi").dropDuplicates([KEY, "text"]).select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +84,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from graphloom.llm.decontaminate import agree, matches
 
     benchmark = read_table(spark, sf_dir, "benchmark")
-    return without(docs, agree(matches(docs, benchmark), docs, benchmark))
+    return without(docs, agree(matches(named(docs), benchmark), named(docs), benchmark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

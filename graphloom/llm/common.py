@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds; a Python worker keeps a few times as much.
@@ -25,6 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> Column:
+    """doc_id, or for a null doc_id a long from 2**62 on by the text's hash."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), hashed)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if a few files give fewer; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -13,7 +13,7 @@ with other numbers, names or units, or most values must be unchanged; a chance m
 than a window are joined as one window of their own length.
 
 Null texts have no words and match nothing. Items whose canonical text is empty or all placeholders match nothing. Repeated
-rows each get the same answer.
+rows each get the same answer. Rows with a null doc_id are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 
 WINDOW, ENOUGH, SHARE = 8, 6, 0.6
 #: Windows of the benchmark that are sent to every executor; more are joined by a shuffle.
@@ -141,8 +141,8 @@ def agree(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), windows (the most of one alignment) of each row of docs."""
-    docs = docs.select("doc_id", "text")
-    good = agree(matches(docs, benchmark, window, enough, share), docs, benchmark)
-    hit = good.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("windows").alias("windows"))
-    marked = docs.select("doc_id").join(hit, "doc_id", "left")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    good = agree(matches(keyed, benchmark, window, enough, share), keyed, benchmark)
+    hit = good.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("windows").alias("windows"))
+    marked = docs.select("doc_id", row_key().alias("key")).join(hit, "key", "left")
     return marked.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("windows", F.lit(0)).alias("windows"))

@@ -71,6 +71,20 @@ def test_clashing_names_nulls_and_repeats(spark, tmp_path):
     assert got == [(1, "other text of the same number"), (1, text), (2, None)] and {r.salt for r in docs.collect()} == {11}
 
 
+def test_null_ids(spark, tmp_path):
+    """Copies and leaks under null doc_ids go too, rows with other texts stay."""
+    from graphloom.llm import decontaminate
+
+    text, item, other = (" ".join(f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)) for c in "abc")
+    docs = spark.createDataFrame([(1, text), (None, text), (None, other), (None, other), (None, item), (2, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id is None, r.contaminated) for r in got) == [(False, False)] * 2 + [(True, False)] * 3 + [(True, True)]
+    kept = corpus_pipeline.decontamination(spark, corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)), str(tmp_path))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text), (2, "x y"), (None, other)], key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
