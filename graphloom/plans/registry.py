@@ -54,6 +54,7 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "match_undirected": ("MATCH (n:Nation)-[:IN_REGION]-(x) RETURN label(x) AS kind, count(*) AS n", "SELECT 'Region' AS kind, count(*) AS n FROM nation"),
     "match_cycle_same_nation": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)<-[:BASED_IN]-(s:Supplier) WHERE s.s_acctbal > c.c_acctbal RETURN n.n_nationkey AS nation, count(*) AS n", "SELECT n_nationkey AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > c_acctbal GROUP BY 1"),
     "match_edge_unique": ("MATCH (o:Orders)-[a:CONTAINS]->(p:Part)<-[b:CONTAINS]-(q:Orders) WHERE p.p_partkey < 50 RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND (a.l_orderkey, a.l_suppkey, a.l_linenumber) <> (b.l_orderkey, b.l_suppkey, b.l_linenumber) WHERE a.l_partkey < 50"),
+    "match_edge_unique_whole": ("MATCH (o:Orders)-[a:CONTAINS]->(p:Part)<-[b:CONTAINS]-(q:Orders) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND (a.l_orderkey, a.l_suppkey, a.l_linenumber) <> (b.l_orderkey, b.l_suppkey, b.l_linenumber)"),
     "comma_paths": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation), (s:Supplier)-[:BASED_IN]->(n) RETURN n.n_name AS nation, count(DISTINCT c) AS customers, count(DISTINCT s) AS suppliers", "SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
     "comma_cartesian_small": ("MATCH (r:Region), (n:Nation) RETURN r.r_name AS region, n.n_name AS nation", "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation"),
     "multi_match": ("MATCH (n:Nation) WHERE n.n_nationkey < 5 MATCH (c:Customer)-[:LIVES_IN]->(n) RETURN n.n_nationkey AS nation, count(*) AS n", "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_nationkey < 5 GROUP BY 1"),
@@ -102,6 +103,7 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "vle_1_3": ("MATCH (a:Event)-[e:NEXT*1..3]->(b:Event) RETURN length(e) AS hops, count(*) AS n", "WITH nx AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nid FROM events), e AS (SELECT * FROM nx WHERE nid IS NOT NULL) SELECT 1 AS hops, count(*) AS n FROM e UNION ALL SELECT 2, count(*) FROM e a JOIN e b ON a.nid = b.event_id UNION ALL SELECT 3, count(*) FROM e a JOIN e b ON a.nid = b.event_id JOIN e c ON b.nid = c.event_id"),
     "vle_bound_start": ("MATCH (a:Event {event_id: 7})-[e:NEXT*2..5]->(b:Event) RETURN b.event_id AS id, length(e) AS hops", "WITH RECURSIVE nx AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nid FROM events), t(id, hops) AS (SELECT nid, 1 FROM nx WHERE event_id = 7 AND nid IS NOT NULL UNION ALL SELECT nid, hops + 1 FROM t JOIN nx ON nx.event_id = t.id WHERE hops < 5 AND nid IS NOT NULL) SELECT id, hops FROM t WHERE hops >= 2"),
     "vle_unbounded": ("MATCH (s:Supplier)-[e*]->(x) WHERE s.s_suppkey < 20 RETURN s.s_suppkey AS k, label(x) AS kind, length(e) AS hops", "SELECT s_suppkey AS k, 'Nation' AS kind, 1 AS hops FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT s_suppkey, 'Region', 2 FROM supplier WHERE s_suppkey < 20"),
+    "vle_unbounded_whole": ("MATCH (s:Supplier)-[e*]->(x) RETURN s.s_suppkey AS k, label(x) AS kind, length(e) AS hops", "SELECT s_suppkey AS k, 'Nation' AS kind, 1 AS hops FROM supplier UNION ALL SELECT s_suppkey, 'Region', 2 FROM supplier"),
     "vle_undirected": ("MATCH (r:Region {r_regionkey: 1})-[e:IN_REGION*1..3]-(x) RETURN length(e) AS hops, count(*) AS n", "SELECT 1 AS hops, count(*) AS n FROM nation WHERE n_regionkey = 1"),
     # -- expressions --
     "str_funcs": ("MATCH (c:Customer) RETURN c.c_custkey AS k, toupper(c.c_name) AS u, tolower(c.c_mktsegment) AS l, substring(c.c_name, 2, 5) AS s, left(c.c_name, 3) AS a, right(c.c_name, 4) AS b, left(c.c_name, -2) AS d, reverse(c.c_name) AS r, replace(c.c_name, '0', '#') AS p, size(c.c_name) AS n, initcap(c.c_mktsegment) AS i, c.c_name + '/' + c.c_mktsegment AS j, md5(c.c_name) AS m", "SELECT c_custkey AS k, upper(c_name) AS u, lower(c_mktsegment) AS l, substring(c_name, 2, 5) AS s, left(c_name, 3) AS a, right(c_name, 4) AS b, left(c_name, length(c_name) - 2) AS d, reverse(c_name) AS r, replace(c_name, '0', '#') AS p, length(c_name) AS n, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS i, c_name || '/' || c_mktsegment AS j, md5(c_name) AS m FROM customer"),
