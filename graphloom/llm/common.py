@@ -31,6 +31,15 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), hashed)
 
 
+#: What is sent to every executor has at most so many bytes.
+BROADCAST_BYTES = 48 << 20
+
+
+def fits_broadcast(rows: int, width: int) -> bool:
+    """Whether a table of so many rows of `width` bytes (as a hash table in memory) may be sent to every executor."""
+    return rows * width <= BROADCAST_BYTES
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if a few files give fewer; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -295,6 +295,50 @@ def test_warc_long_urls(spark):
     assert [x[0] for x in warc.salvage(broken)] == ["gap", "record"]
 
 
+def test_warc_repeated_pages(spark):
+    """Of rows with one page_id and payload, one is the response; null page_ids come last."""
+    a, b, c = "<p>" + "x" * 200, "<p>" + "y" * 200, "<p>" + "z" * 200
+    rows = [(1, "u", a), (1, "u", a), (1, "v", a), (2, "u", a), (3, "w", b), (3, "w", c), (None, "n", b), (None, "n", c), (None, None, None), (None, "q", "<p>" + "q" * 300), (None, "q", "<p>" + "q" * 300), (5, "s", "s"), (5, "s", "s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
+    assert got == {(1, 203, "response", None): 1, (1, 203, "revisit", 1): 2, (2, 203, "revisit", 1): 1, (3, 203, "response", None): 2, (None, 203, "revisit", 3): 2, (None, 0, "response", None): 1, (None, 303, "response", None): 1, (None, 303, "revisit", None): 1, (5, 1, "response", None): 2}
+
+
+def test_warc_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 60_000)
+    monkeypatch.setattr(warc, "CLASSES", (2_000, 20_000, 1 << 40))
+    df = spark.createDataFrame([(i, "u", "x" * (100 if i % 10 else 15_000) + str(i)) for i in range(300)] + [(300, "u", "y" * 200_000)], "page_id long, url string, html string")
+    path = f"{tmp_path}/w"
+    warc.write(df, path)
+    sizes = [p.stat().st_size for p in __import__("pathlib").Path(path).glob("part-*")]
+    assert len(sizes) > 8 and [x for x in sizes if x > 60_000] == [max(sizes)]
+    assert warc.read(spark, path).where("kind = 'record'").count() == 301
+
+
+def test_warc_gaps_are_logged(spark, tmp_path):
+    """A damaged archive in a folder of sound ones: later records come back, lost bytes are in the log."""
+    whole = [record(i, f"payload {i} " * 30) for i in range(6)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(whole[:3]) + b"torn" + whole[3][40:] + whole[4])
+    (tmp_path / "w" / "b.warc").write_bytes(whole[5])
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert sorted(r.record_id for r in got.where("kind = 'record'").collect()) == [f"urn:x:{i}" for i in (0, 1, 2, 4, 5)]
+    start = len(b"".join(whole[:3]))
+    assert [(r.file[-6:], r["at"], r.until) for r in warc.gaps(got).collect()] == [("a.warc", start, start + 4 + len(whole[3]) - 40)]
+
+
+def test_salvage_members_in_linear_time():
+    import time
+
+    member = warc.gzip_member(record(0, "payload " * 150))
+    took = []
+    for n in (1000, 8000):
+        start = time.time()
+        assert sum(x[0] == "record" for x in warc.salvage(member * n)) == n
+        took.append(time.time() - start)
+    assert took[1] < 24 * took[0]
+
+
 def record(i, payload):
     body = payload.encode()
     return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
