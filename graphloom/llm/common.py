@@ -31,6 +31,11 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), hashed)
 
 
+def text_key() -> Column:
+    """A struct of two longs that tells rows of different doc_ids or texts apart, null doc_ids included."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("t"))
+
+
 #: What is sent to every executor has at most so many bytes.
 BROADCAST_BYTES = 48 << 20
 

@@ -5,15 +5,20 @@ names and units after numbers become typed placeholders, everything else lower-c
 is one placeholder, and a capitalised word at a sentence's start is a name unless it is one of STARTERS.
 
 Windows of `window` words of one form are hash-joined between documents and benchmark items; template windows with under half
-literal words say nothing and are left out. Windows of one document and one item whose distances between their places differ by
-less than half of BAND belong to one alignment; a document is contaminated by an item if an alignment has enough different windows
-(`enough`, or `share` of those the item has in this form if that is less). An alignment of templates is then checked for its slots:
-inside the matched windows, placeholders of one value in the item must have one value in the document, as in a question asked again
-with other numbers, names or units, or most values must be unchanged; a chance meeting of templates does neither. Items shorter
-than a window are joined as one window of their own length.
-
-Null texts have no words and match nothing. Items whose canonical text is empty or all placeholders match nothing. Repeated
-rows each get the same answer. Rows with a null doc_id are told apart by their texts.
+literal words say nothing and are left out, as are windows that over COMMON different items share while LEFT others remain of an
+item. Windows of one document and one item whose distances between their places differ by less than half of BAND belong to one
+alignment; a document is contaminated by an item if an alignment has enough different windows (`enough`, or `share` of those the
+item has in this form if that is less). An alignment of templates is then checked for its slots: inside the matched windows,
+placeholders of one value in the item must have one value in the document, as in a question asked again with other numbers, names
+or units, or most values must be unchanged; a chance meeting of templates does neither. Items shorter than a window are joined as
+one window of their own length, and those under FEW words only with texts that have no other words.
+
+Each text is read once: its windows of all lengths and both forms are made from one pair of word lists and meet one table.
+
+Null texts have no words and match nothing, as do empty ones; texts of any length are read whole. Items whose canonical text is
+empty or all placeholders match nothing. Items with the same words count as one and are all named. Repeated rows each get the same
+answer; rows that repeat a doc_id with another text, or have none, are judged each by its own text. Columns other than doc_id, text
+and item_id are ignored. Without documents the result is empty, without items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -23,11 +28,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import fits_broadcast, materialize, text_key
 
 WINDOW, ENOUGH, SHARE = 8, 6, 0.6
-#: Windows of the benchmark that are sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Items of fewer words are looked for as whole texts.
+FEW = 5
+#: Windows of more items than this are left out of an item that has LEFT others.
+COMMON_ITEMS, LEFT = 16, 3
 UNITS = "km|kilometers|kilometres|miles|mi|m|meters|metres|cm|mm|feet|ft|inches|kg|kilograms|g|grams|mg|lb|lbs|pounds|tons|oz|l|liters|litres|ml|gallons|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|km/h|mph|usd|eur|dollars|euros|cents|percent|degrees|watts|kw|kwh|hz|bytes|kb|mb|gb"
 MARK = "\u0002"
 
@@ -38,8 +45,9 @@ BAND = 8
 GLUE = "\u0003"
 STARTERS = "a|about|according|add|after|all|although|an|and|any|are|as|assume|at|before|besides|both|but|by|calculate|can|choose|compute|consider|could|define|describe|determine|did|do|does|during|each|estimate|every|evaluate|explain|express|find|first|five|for|four|from|give|given|has|have|he|hence|her|here|his|how|however|if|in|is|it|its|last|let|list|many|may|more|most|my|name|next|no|not|now|of|on|once|one|or|our|over|please|prove|she|should|show|simplify|since|so|solve|some|state|suppose|that|the|their|then|there|these|they|this|those|three|thus|to|today|two|under|until|use|was|we|were|what|when|where|which|while|who|whose|why|will|with|without|would|write|yes|you|your"
 CAPITAL = rf"\p{{Lu}}[\p{{L}}{GLUE}]*\p{{Ll}}[\p{{L}}{GLUE}]*"
-COMMON = rf"(?i:{STARTERS})(?!\p{{L}})"
-RUN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!{COMMON})({CAPITAL}) +(?=\p{{Lu}}\p{{L}}*\p{{Ll}})(?!{COMMON})"
+#: The starters by first letter, which is read first.
+COMMON = "(?i:" + "|".join(f"{k}(?:{'|'.join(w[1:] for w in STARTERS.split('|') if w[0] == k)})" for k in sorted({w[0] for w in STARTERS.split("|")})) + r")(?!\p{L})"
+RUN = rf"(?=\p{{Lu}}[\p{{L}}{GLUE}]*+ ++\p{{Lu}})(?<!\p{{L}})(?!{COMMON})({CAPITAL}) +(?=\p{{Lu}}\p{{L}}*\p{{Ll}})(?!{COMMON})"
 NAME = rf"(?=\p{{Lu}})(?<=^|[\p{{Ll}}\p{{N}},.!?;:] |\n)(?!{COMMON})({CAPITAL})"
 NUMBER = r"(\d+(?:[.,:/]\d+)*)"
 UNIT = rf"({UNITS})(?![\p{{L}}\p{{N}}])"
@@ -70,53 +78,77 @@ def raw_words(text: Column) -> Column:
     return F.filter(F.split(t, rf"(?:[^\p{{L}}\p{{N}}{MARK}{GLUE}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+"), lambda w: w != "")
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    """Hashes of n consecutive word hashes."""
-    at = F.sequence(F.lit(0), F.size(hashes) - n)
-    return F.when(F.size(hashes) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+def _windows(hashes: Column, n: int, code: int) -> Column:
+    """Hashes of n consecutive word hashes and the code, from pairs, pairs of pairs and so on."""
+
+    def two(a: Column, by: int) -> Column:
+        most = F.greatest(F.size(a) - by, F.lit(0))
+        return F.zip_with(F.slice(a, 1, most), F.slice(a, 1 + by, most), lambda x, y: F.xxhash64(x, y, F.lit(code)))
+
+    width, level = 1, hashes
+    while 2 * width <= n:
+        level, width = two(level, width), 2 * width
+    return two(level, n - width) if width < n else F.transform(level, lambda x: F.xxhash64(x, F.lit(code))) if n == 1 else level
 
 
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _code(exact: bool, n: int, whole: bool) -> int:
+    return 4 * n + 2 * whole + exact
+
+
 def canonical_items(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, exact (whether in literal form), words, hs (their hashes) and n, the words of a window: `window`, or all of a shorter item."""
+    """item_id (the smallest of those with the same words), twins (all of them), exact (whether in literal form), words, hs (their hashes), n, the words of a window: `window`, or all of a shorter item, and whole: whether only a whole text can match."""
     items = benchmark.select("item_id", canonical(F.col("text")).alias("words"), literal_words(F.col("text")).alias("plain"))
     items = items.where(F.exists("words", lambda w: ~w.startswith(MARK) & (w != "")))
-    items = items.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("plain").alias("words")), F.struct(F.lit(False).alias("exact"), F.col("words")))).alias("form"))
-    items = items.select("item_id", "form.exact", "form.words").select("item_id", "exact", "words", _hashes(F.col("words")).alias("hs"))
+    items = items.groupBy("words", "plain").agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_set("item_id")).alias("twins"))
+    items = items.select("item_id", "twins", (F.size("plain") < FEW).alias("whole"), F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("plain").alias("words")), F.struct(F.lit(False).alias("exact"), F.col("words")))).alias("form"))
+    items = items.select("item_id", "twins", "whole", "form.exact", "form.words").where("exact OR NOT whole").withColumn("hs", _hashes(F.col("words")))
     return items.withColumn("n", F.least(F.lit(window), F.size("words")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, exact, n, band, windows, lines: of each shift (place in the document less that in the item) of the alignment the number and places (ats) of its windows, most first."""
-    items = materialize(canonical_items(benchmark, window))
-    forms = sorted((r[0], r[1]) for r in items.select("exact", "n").distinct().collect())
-    if not forms:
-        return docs.select("doc_id").where("false").crossJoin(benchmark.select("item_id").where("false")).select("doc_id", "item_id", F.lit(True).alias("exact"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("band"), F.lit(0).alias("windows"), F.lit(None).cast("array<struct<many:int,shift:int,ats:array<int>>>").alias("lines"))
+def item_windows(items: DataFrame, forms: list[tuple[bool, int, bool]], enough: int, share: float) -> DataFrame:
+    """item_id, exact, n, need, at, h: the windows that count of each item, and how many of them an alignment needs."""
     # A template of placeholders only says nothing; its literal window does.
     literal = lambda at: F.size(F.filter(F.slice("words", at + 1, F.col("n")), lambda w: ~w.startswith(MARK)))
     items = items.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda at: F.col("exact") | (literal(at) * 2 >= F.col("n"))))
-    need = F.least(F.lit(enough), F.ceil(F.lit(share) * F.size("kept"))).cast("int")
-    items = items.withColumn("need", need)
-    wins = reduce(DataFrame.unionByName, [items.where((F.col("exact") == F.lit(e)) & (F.col("n") == n)).withColumn("all", _windows(F.col("hs"), n)).select("item_id", "exact", "n", "need", "all", F.explode("kept").alias("at")).select("item_id", "exact", "n", "need", "at", F.get("all", F.col("at")).alias("h")) for e, n in forms])
-    wins = materialize(wins)
-    small = wins.count() <= BROADCAST_ROWS
-    found = None
-    for e, n in forms:
-        own = wins.where((F.col("exact") == F.lit(e)) & (F.col("n") == n)).drop("n", "exact")
-        words = docs.select("doc_id", (literal_words if e else canonical)(F.col("text")).alias("words")).select("doc_id", _hashes(F.col("words")).alias("hs"))
-        mine = words.select("doc_id", F.posexplode(_windows(F.col("hs"), n)).alias("place", "h"))
-        part = mine.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id", F.lit(e).alias("exact"), (F.col("place") - F.col("at")).alias("shift"), "at", "need", F.lit(n).alias("n"))
-        found = part if found is None else found.unionByName(part)
+    of = lambda e, n, w: items.where((F.col("exact") == F.lit(e)) & (F.col("n") == n) & (F.col("whole") == F.lit(w))).withColumn("all", _windows(F.col("hs"), n, _code(e, n, w)))
+    wins = reduce(DataFrame.unionByName, [of(*f).select("item_id", "exact", "n", "all", F.explode("kept").alias("at")) for f in forms])
+    wins = wins.select("item_id", "exact", "n", "at", F.get("all", F.col("at")).alias("h"))
+    common = wins.groupBy("h").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") > COMMON_ITEMS).select("h", F.lit(True).alias("common"))
+    wins = wins.join(common, "h", "left").withColumn("rare", F.col("common").isNull().cast("int"))
+    own = wins.groupBy("item_id", "exact").agg(F.sum("rare").alias("rares"), F.count("*").alias("many"))
+    own = own.select("item_id", "exact", (F.col("rares") >= LEFT).alias("pick"), F.when(F.col("rares") >= LEFT, F.col("rares")).otherwise(F.col("many")).alias("counted"))
+    wins = wins.join(own, ["item_id", "exact"]).where("rare = 1 OR NOT pick")
+    return wins.select("item_id", "exact", "n", F.least(F.lit(enough), F.ceil(F.lit(share) * F.col("counted"))).cast("int").alias("need"), "at", "h")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, twins, exact, n, band, windows, lines: of each shift (place in the document less that in the item) of the alignment the number and places (ats) of its windows, most first. doc_id may be of any type."""
+    items = materialize(canonical_items(benchmark, window))
+    forms = sorted((r[0], r[1], r[2]) for r in items.select("exact", "n", "whole").distinct().collect())
+    if not forms:
+        return docs.select("doc_id").where("false").crossJoin(benchmark.select("item_id").where("false")).select("doc_id", "item_id", F.array("item_id").alias("twins"), F.lit(True).alias("exact"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("band"), F.lit(0).alias("windows"), F.lit(None).cast("array<struct<many:int,shift:int,ats:array<int>>>").alias("lines"))
+    wins = materialize(item_windows(items, forms, enough, share))
+    words = docs.select("doc_id", _hashes(literal_words(F.col("text"))).alias("plain"), _hashes(canonical(F.col("text"))).alias("template"))
+
+    def of(exact: bool, n: int, whole: bool) -> Column:
+        hs = F.col("plain" if exact else "template")
+        found = _windows(hs, n, _code(exact, n, whole))
+        return F.when(F.size(hs) == n, found).otherwise(F.array().cast("array<bigint>")) if whole else found
+
+    mine = words.select("doc_id", F.explode(F.array(*[of(*f) for f in forms])).alias("hs")).select("doc_id", F.posexplode("hs").alias("place", "h"))
+    found = mine.join(F.broadcast(wins) if fits_broadcast(wins.count(), 120) else wins, "h").select("doc_id", "item_id", "exact", (F.col("place") - F.col("at")).alias("shift"), "at", "need", "n")
     lined = found.groupBy("doc_id", "item_id", "exact", "n", "need", "shift").agg(F.collect_set("at").alias("ats"))
     # Bands in two places, so that shifts within half a band meet in one of them.
     bands = F.array(2 * F.floor(F.col("shift") / BAND), 2 * F.floor((F.col("shift") + BAND // 2) / BAND) + 1)
     lined = lined.select("doc_id", "item_id", "exact", "n", "need", F.explode(bands).alias("band"), F.struct(F.size("ats").alias("many"), "shift", "ats").alias("line"))
     lined = lined.groupBy("doc_id", "item_id", "exact", "n", "need", "band").agg(F.sort_array(F.collect_list("line"), asc=False).alias("lines"))
-    lined = lined.withColumn("windows", F.size(F.array_distinct(F.flatten("lines.ats"))))
-    return lined.where(F.col("windows") >= F.col("need")).select("doc_id", "item_id", "exact", "n", "band", "windows", "lines")
+    lined = lined.withColumn("windows", F.size(F.array_distinct(F.flatten("lines.ats")))).where(F.col("windows") >= F.col("need"))
+    twins = items.select("item_id", "twins", "exact")
+    return lined.join(twins, ["item_id", "exact"]).select("doc_id", "item_id", "twins", "exact", "n", "band", "windows", "lines")
 
 
 def agree(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -141,8 +173,8 @@ def agree(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, share: float = SHARE) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), windows (the most of one alignment) of each row of docs."""
-    keyed = docs.select(row_key().alias("doc_id"), "text")
+    keyed = docs.select(text_key().alias("doc_id"), "text")
     good = agree(matches(keyed, benchmark, window, enough, share), keyed, benchmark)
-    hit = good.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("windows").alias("windows"))
-    marked = docs.select("doc_id", row_key().alias("key")).join(hit, "key", "left")
+    hit = good.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("twins")))).alias("items"), F.max("windows").alias("windows"))
+    marked = docs.select("doc_id", text_key().alias("key")).join(hit, "key", "left")
     return marked.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("windows", F.lit(0)).alias("windows"))

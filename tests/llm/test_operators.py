@@ -485,6 +485,136 @@ def test_decontaminate_like_brute_force(spark, rows):
         assert got[100 + k] == ([k % 6] if windows >= min(6, math.ceil(0.6 * 13)) else [])
 
 
+def brute_decontaminate(texts, items):
+    """The rules once more, text by text: words and placeholders by small state machines over tokens, alignments by loops."""
+    import regex
+
+    starters, units = set(decontaminate.STARTERS.split("|")), set(decontaminate.UNITS.split("|"))
+
+    def template(t):
+        out, values = [], []
+        tokens = regex.findall(r"\d+(?:[.,:/]\d+)*|\p{L}+|[^\p{L}\d]+", t)
+        k = 0
+        while k < len(tokens):
+            x = tokens[k]
+            before = tokens[k - 1] if k else ""
+            capital = lambda y: bool(regex.fullmatch(r"\p{Lu}\p{L}*\p{Ll}\p{L}*", y)) and y.lower() not in starters
+            if regex.match(r"\d", x):
+                out.append("<n>")
+                values.append(x)
+                if k + 2 < len(tokens) and tokens[k + 1].strip(" ") == "" and tokens[k + 2].lower() in units and not (k + 3 < len(tokens) and regex.match(r"\d", tokens[k + 3])):
+                    out.append("<u>")
+                    values.append(tokens[k + 2].lower())
+                    k += 2
+            elif capital(x) and (k == 0 or before.endswith((" ", "\n")) and (len(before) > 1 and before[-2] in ",.!?;:" or before == " " and regex.fullmatch(r"[\p{Ll}\d]", tokens[k - 2][-1]) or before.endswith("\n"))):
+                name = [x.lower()]
+                while k + 2 < len(tokens) and tokens[k + 1].strip(" ") == "" and capital(tokens[k + 2]):
+                    k += 2
+                    name.append(tokens[k].lower())
+                out.append("<p>")
+                values.append(" ".join(name))
+            elif regex.match(r"\p{L}", x):
+                out.append(x.lower())
+                values.append(x.lower())
+            k += 1
+        return out, values
+
+    plain = lambda t: regex.findall(r"[\p{L}\p{N}]+", t.lower())
+    answers = []
+    for t in texts:
+        hit = []
+        for k, item in enumerate(items):
+            words = template(item)[0]
+            if all(w[0] == "<" for w in words):
+                continue
+            whole = len(plain(item)) < 5
+            for exact in (True, False):
+                a, b = (plain(item), plain(t)) if exact else (words, template(t)[0])
+                n = min(8, len(a))
+                if whole:
+                    if exact and a == b:
+                        hit.append(k)
+                    continue
+                kept = [i for i in range(len(a) - n + 1) if exact or 2 * sum(w[0] != "<" for w in a[i : i + n]) >= n]
+                need = min(6, math.ceil(0.6 * len(kept)))
+                pairs = [(j - i, i) for i in kept for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]]
+                for low in {8 * ((s + off) // 8) - off for s, _ in pairs for off in (0, 4)}:
+                    line = [(s, i) for s, i in pairs if low <= s < low + 8]
+                    if len({i for _, i in line}) < max(need, 1):
+                        continue
+                    if not exact:
+                        ats = collections.defaultdict(set)
+                        for s, i in line:
+                            ats[s].add(i)
+                        order = sorted(ats, key=lambda s: (-len(ats[s]), -s))
+                        placed = []
+                        for i, w in enumerate(a):
+                            if w[0] == "<":
+                                s = next((s for s in order if any(x <= i < x + n for x in ats[s])), None)
+                                if s is not None:
+                                    placed.append((template(item)[1][i], template(t)[1][i + s]))
+                        if len(set(placed)) != len({x for x, _ in placed}) and 2 * sum(x == y for x, y in placed) <= len(placed):
+                            continue
+                    hit.append(k)
+        answers.append(sorted(set(hit)))
+    return answers
+
+
+def test_decontaminate_like_brute_force_over_templates(spark):
+    """Generated questions with numbers, units and names, asked again with other values, cut, shifted, in other case, or inconsistently."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 4))))
+    names, units = ["Alice", "Tom", "Maria", "Uncle Sam", "Bob", "Anna"], ["km", "hours", "kg", "apples"]
+
+    def fill(shape, same=True):
+        number = {i: int(rng.integers(2, 99)) for i in range(3)}
+        who = {i: names[int(x)] for i, x in enumerate(rng.permutation(6)[:3])}
+        out = []
+        for kind, v in shape:
+            if kind == "n":
+                out.append(f"{number[v] if same else int(rng.integers(100, 999))} {units[v]}")
+            elif kind == "p":
+                out.append(who[v] if same else names[int(rng.integers(6))])
+            else:
+                out.append(v)
+        return " ".join(out)
+
+    shapes = []
+    for _ in range(24):
+        shape = [("w", word()) for _ in range(int(rng.integers(4, 26)))]
+        for p in sorted(rng.integers(1, len(shape), len(shape) // 5).tolist(), reverse=True):
+            shape.insert(p, (("n", "p")[int(rng.integers(2))], int(rng.integers(3))))
+        shapes.append(shape)
+    items = [fill(s) for s in shapes] + ["yes", "one two", "Solve 3 now", "7 8 9 10 11 12", ""]
+    texts = []
+    for s, item in zip(shapes, items, strict=False):
+        pad = " ".join(word() for _ in range(6))
+        for t in (item, fill(s), fill(s, False), item.lower(), " ".join(item.split()[: len(item.split()) // 2]), item.replace(" ", "  ", 2)):
+            texts.append(f"{pad} {t} and {pad}.")
+    texts += ["well yes indeed", "Yes!", "one two", "one two three", "solve 3 now", "solve 4 now", "", "7 8 9 10 11 12"]
+    want = brute_decontaminate(texts, items)
+    assert leaks(spark, items, texts) == want
+    assert sum(map(bool, want)) > 60 and sum(not w for w in want) > 20
+
+
+def test_decontaminate_rows_and_twins(spark):
+    """Rows of one doc_id are judged by their texts, null doc_ids too; items with the same words are all named."""
+    item = "the old mill stood by the river for years before the flood carried its wheel to the sea"
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (1, "well yes indeed"), (None, f"so {item}"), (None, "clean"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r["items"]) for r in decontaminate.decontaminate(docs, bench).collect())
+    assert got == [(0, []), (0, [1, 2]), (1, []), (1, [1, 2]), (2, [])]
+
+
+def test_decontaminate_common_windows(spark):
+    """What many items share names none of them; what is their own does."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(3))
+    head = "choose the right answer from the four options that are given below this line of text"
+    items = [f"{head} {' '.join(word() for _ in range(12))}" for _ in range(30)]
+    assert leaks(spark, items, [f"{head} and nothing else at all", f"so {items[7]}", items[7][len(head) :]]) == [[], [7], [7]]
+
+
 def test_decontaminate_plan_is_native(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, t, _ in LEAKS], "doc_id long, text string")
