@@ -221,6 +221,27 @@ def words_of(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(counts)
 
 
+def words_with_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words_of, and the words' bytes: word i is data[at[i] : at[i + 1] - 1], with one space after each word."""
+    ids, counts, parts, ats, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], 0
+    for data, off in text_buffers(column):
+        start, end, n = spans(data, off)
+        ids.append(word_hashes(data, start, end))
+        counts.append(n)
+        size = end - start + 1
+        at = np.cumsum(size) - size
+        flat = np.full(int(size.sum()), 0x20, np.uint8)
+        inside = np.ones(len(flat), bool)
+        inside[at + size - 1] = False
+        keep = ~SPACE[data]
+        flat[inside] = data[keep]
+        parts.append(flat)
+        ats.append(at + base)
+        base += len(flat)
+    ats.append(np.array([base]))
+    return np.concatenate(ids), np.concatenate(counts), np.concatenate(parts), np.concatenate(ats)
+
+
 def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive ids."""
     n = max(0, len(ids) - k + 1)

@@ -1,21 +1,24 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
-Word sequences of all documents are suffixes of one long text. A window of `window` words repeats if it lies on an internal node
-of that text's suffix tree; the node's leaves name the documents. The tree is never built whole:
+Word sequences of all documents are suffixes of one long text. A window of `window` words repeats if it ends on or below an internal
+node of that depth in the text's suffix tree; the node's leaves name the documents. The tree is never built whole:
 
 1. Suffixes are sampled and dealt by prefix. Each window has an anchor, the `prefix` consecutive words in it with the smallest
    hash, the same wherever the window occurs. Groups of documents ask how many groups have each anchor (exchange.py, about five
    bytes each); a window whose anchor no other group has can only repeat inside its group, where it is found directly.
-2. For the others, a record of the anchor and the words around it (all windows that have it as their anchor) goes to the subtree of
-   the anchor's words. Where more than `heavy` groups share an anchor, the prefix is too short: each window is dealt by all of
-   its words instead. Before that a group keeps only the smallest doc_id of each window, so a passage reaches its subtree once
-   for each group, however many copies it has.
-3. A subtree's suffixes are sorted; runs of suffixes equal over `window` words are its deep internal nodes, and the smallest
-   doc_id of a node covers the windows of all its other documents.
-
-Words are 64-bit hashes inside a group and 32-bit ones in records; windows that seem equal are compared word for word.
-
-Null texts have no words. A row with a null doc_id covers no other and is covered by all. Rows that repeat a doc_id are judged each on its own and do not cover each other (no smaller doc_id).
+2. For the others, a record of the anchor and the words around it (all windows that have it as their anchor) goes to the subtrees of
+   its bucket. Prefixes have one of two lengths: where more than `heavy` groups share an anchor it is too short a prefix, and each
+   window is dealt by all of its words. Before that a group keeps only the smallest doc_id of each window.
+3. Windows dealt by all their words pass two levels: parts of the groups, as many as the root of the groups that share the anchor,
+   keep the smallest document of each window, and these meet. So no task reads a record from every group that has a passage.
+4. A bucket's subtrees are built top down, word by word: the suffixes of a node are split by the next words, and nodes of one suffix
+   are left alone. Internal nodes of depth `window` remain; the smallest doc_id below one covers the windows of its other leaves.
+
+Records carry the words themselves, compared as 64-bit hashes.
+
+Null texts have no words; texts of any length are read whole. A row with a null doc_id covers no other and is covered by all. Rows that
+repeat a doc_id are judged each on its own and do not cover each other (no smaller doc_id). Columns other than doc_id, text and those
+of `keep` are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, per_partition, prepare, ramp, release, text_bytes, window_hashes, words_of
+from .common import group_count, group_keys, grouped, mix, per_partition, prepare, ramp, release, text_bytes, window_hashes, words_of, words_with_bytes
 from .exchange import ASK, answers, ask, short, totals
 
 WINDOW, PREFIX, HEAVY = 13, 5, 64
@@ -39,8 +42,11 @@ _RECORD = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.
 class Windows:
     """The windows of a group's documents, in order of doc_id (rows that are equal in it in order of their texts' hashes)."""
 
-    def __init__(self, t: pa.Table, window: int, prefix: int):
-        ids, n = words_of(t.column("text"))
+    def __init__(self, t: pa.Table, window: int, prefix: int, bytes_: bool = False):
+        if bytes_:
+            ids, n, self.data, at = words_with_bytes(t.column("text"))
+        else:
+            ids, n = words_of(t.column("text"))
         # A null doc_id stands after all others.
         doc = t.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
         # A row is known by its place in this order, which does not hang on the order of arrival.
@@ -48,7 +54,10 @@ class Windows:
         sums = np.concatenate(([np.uint64(0)], np.cumsum(ids * (np.uint64(2) * np.arange(len(ids), dtype=np.uint64) + np.uint64(1)))))
         self.order = np.lexsort((sums[ends] - sums[ends - n], n, doc))
         self.n, self.doc = n[self.order], doc[self.order]
-        self.ids = ids[np.repeat((ends - n)[self.order], self.n) + ramp(self.n)]
+        of = np.repeat((ends - n)[self.order], self.n) + ramp(self.n)
+        self.ids = ids[of]
+        if bytes_:
+            self.byte, self.size = at[of], np.diff(at)[of]
         self.first = np.cumsum(self.n) - self.n
         self.window, self.prefix = window, prefix
         many = np.maximum(self.n - window + 1, 0)
@@ -101,34 +110,54 @@ def _runs(row: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     return [row[cut], at[cut], at[last] + 1]
 
 
-def _records(buckets, window, prefix, heavy):
-    span = window - prefix
+def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """data[start : start + size] of each row, as binary; some rows at a time, so that no index of all bytes is made."""
+    off = np.concatenate(([0], np.cumsum(size)))
+    if off[-1] >= 1 << 31:
+        raise ValueError("a group's records exceed 2 GB: use smaller groups")
+    out = np.empty(off[-1], np.uint8)
+    for s in range(0, len(start), 8192):
+        n = size[s : s + 8192]
+        out[off[s] : off[min(s + 8192, len(start))]] = data[np.repeat(start[s : s + 8192], n) + ramp(n)]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(out)])
+
+
+def _bucket(key: np.ndarray, buckets: list[int]) -> np.ndarray:
+    return np.array(buckets)[((key.astype(np.uint64) * np.uint64(R32)) >> np.uint64(40)).astype(np.int64) % len(buckets)]
+
 
+def _covers(grp: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: list[int]) -> pa.Table:
+    """Runs of covered window starts as records without words (doc_id holds their ends); they pass through any subtree's task."""
+    none = np.zeros(len(row), np.int64)
+    place = np.array(buckets)[grp % len(buckets)]
+    return pa.Table.from_arrays([pa.array(place, pa.int32()), pa.array(none), pa.array(hi.astype(np.int64)), pa.array(grp, pa.int32()), pa.array(row, pa.int32()), pa.array(lo, pa.int32()), pa.array(none), pa.nulls(len(row), pa.binary())], schema=_RECORD)
+
+
+def _records(buckets, window, prefix, heavy):
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
         release()
         if not t.num_rows:
             return _RECORD.empty_table()
         grp = t.column("grp")[0].as_py()
-        w = Windows(t, window, prefix)
-        parts = []
+        w = Windows(t, window, prefix, True)
         distinct, at = np.unique(w.anchor, return_inverse=True)
         shared = totals(got, "short", buckets)[at] if len(distinct) else np.zeros(0, np.int64)
         first = w.first_in_group() if len(at) else np.zeros(0, np.int64)
         local = w.doc[w.row[first]] < w.doc[w.row]
-        # What the group covers by itself passes through any subtree's task, as runs of window starts (doc_id holds their ends).
         row, lo, hi = _runs(w.row[local], w.at[local]) or (np.zeros(0, np.int64),) * 3
-        parts.append(pa.Table.from_arrays([pa.array(np.full(len(row), buckets[grp % len(buckets)]), pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.array(hi.astype(np.int64)), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(lo, pa.int32()), pa.array(np.zeros(len(row), np.int64)), pa.nulls(len(row), pa.binary())], schema=_RECORD))
+        parts = [_covers(np.full(len(row), grp), row, lo, hi, buckets)]
         # A window that a document repeats is asked for at each place, since each is to go.
         ask_for = np.flatnonzero((shared > 1) & ~local)
-        words = w.ids.astype(np.uint32)
-        place = np.array(buckets)
         for deep in (False, True):
             own = ask_for[(shared[ask_for] > heavy) == deep]
             if not len(own):
                 continue
             if deep:
-                start, row, at_, mask, key = w.start[own], w.row[own], w.at[own], np.ones(len(own), np.int64), w.hash[own] | np.uint64(1 << 63)
+                start, row, at_, mask, key = w.start[own], w.row[own], w.at[own], np.ones(len(own), np.int64), w.hash[own] | DEEP
                 have = np.full(len(own), window)
+                # The parts of a window's first level; a smaller document of the same part is enough to cover it.
+                part = grp * 2654435761 % (1 << 32) % np.ceil(np.sqrt(shared[own])).astype(np.int64)
+                place = _bucket(mix(key + part.astype(np.uint64)), buckets)
             else:
                 spot = w.start[own] + w.offset[own]
                 new = np.concatenate(([True], spot[1:] != spot[:-1]))
@@ -140,61 +169,73 @@ def _records(buckets, window, prefix, heavy):
                 np.bitwise_or.at(mask, of, np.int64(1) << (w.start[own] - start[of]))
                 have = np.maximum.reduceat(w.start[own], lead) - start + window
                 key = w.anchor[own][lead]
-            flat = np.repeat(start, have) + ramp(have)
-            off = np.concatenate(([0], np.cumsum(have))) * 4
-            if off[-1] >= 1 << 31:
-                raise ValueError("a group's records exceed 2 GB: use smaller groups")
-            blob = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(words[flat].tobytes())])
-            key = key.astype(np.uint64)
-            of_bucket = place[((key * np.uint64(R32)) >> np.uint64(40)).astype(np.int64) % len(place)]
-            parts.append(pa.Table.from_arrays([pa.array(of_bucket, pa.int32()), pa.array(key.view(np.int64)), pa.array(w.doc[row]), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(at_, pa.int32()), pa.array(mask), blob], schema=_RECORD))
+                place = _bucket(key, buckets)
+            last = start + have - 1
+            blob = _slices(w.data, w.byte[start], w.byte[last] + w.size[last] - 1 - w.byte[start])
+            parts.append(pa.Table.from_arrays([pa.array(place, pa.int32()), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(w.doc[row]), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(at_, pa.int32()), pa.array(mask), blob], schema=_RECORD))
         return pa.concat_tables(parts).combine_chunks()
 
     return run
 
 
 R32 = 0x9E3779B97F4A7C15
-COVER = "grp int, row int, lo int, hi int"
-_COVER = pa.schema([("grp", pa.int32()), ("row", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-
-def _subtrees(window):
-    """A bucket's subtrees: the windows of its records, sorted; nodes of depth `window`; what their smallest documents cover."""
+#: Marks keys of windows that are dealt by all their words.
+DEEP = np.uint64(1 << 63)
+
+
+def deep_nodes(ids: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The internal nodes at a depth of the tree of the suffixes of ids that start at `start`: their suffixes, node by node in the order of their words, and the number of each one's node.
+
+    Nodes are split top down by one or two words at a time, as many as fit into one number with the node's; suffixes alone in a node end in a leaf above the depth.
+    """
+    words, rank = np.unique(ids, return_inverse=True)
+    bits = max(1, int(len(words)).bit_length())
+    rank = rank.astype(np.uint64)
+    live, node, at = np.arange(len(start)), np.zeros(len(start), np.uint64), 0
+    while at < depth and len(live):
+        key = node << np.uint64(bits) | rank[start[live] + at]
+        at += 1
+        if at < depth and int(node[-1]).bit_length() + 2 * bits <= 64:
+            key = key << np.uint64(bits) | rank[start[live] + at]
+            at += 1
+        order = np.argsort(key)
+        key, live = key[order], live[order]
+        number = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+        more = np.bincount(number)[number] > 1
+        live, node = live[more], number[more]
+        node = np.cumsum(np.concatenate(([False], node[1:] != node[:-1]))).astype(np.uint64) if len(node) else node
+    return live, node.astype(np.int64)
+
+
+def _subtrees(window, buckets, level):
+    """The subtrees of a bucket's records: nodes of depth `window`, and what their smallest documents cover. On level 1 the smallest documents of windows that are dealt by all their words go on to level 2."""
 
     def run(t: pa.Table) -> pa.Table:
         release()
         done = pc.is_null(t.column("words"))
-        known = t.filter(done)
-        known = pa.Table.from_arrays([known.column("grp"), known.column("row"), known.column("at"), known.column("doc_id").cast(pa.int32())], schema=_COVER)
+        out = [t.filter(done)]
         t = t.filter(pc.invert(done))
         if not t.num_rows:
-            return known.combine_chunks()
-        blob = t.column("words").combine_chunks()
-        off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64) // 4
-        words = np.frombuffer(blob.buffers()[2], np.uint32)[: off[-1]].astype(np.uint64)
-        mask = t.column("mask").to_numpy()
-        record, shift = np.nonzero((mask[:, None] >> np.arange(window)) & 1)
-        start = off[record] + shift
-        h = window_hashes(words * np.uint64(0x2545F4914F6CDD1D), window)[start]
+            return out[0].combine_chunks()
+        ids, n = words_of(t.column("words").cast(pa.string()))
+        begin = np.cumsum(n) - n
+        record, shift = np.nonzero((t.column("mask").to_numpy()[:, None] >> np.arange(window)) & 1)
         doc = t.column("doc_id").to_numpy()[record]
-        # Leaves in the order of their suffixes; hashes stand for the words, which are compared below.
-        order = np.lexsort((doc, h))
-        h, doc, start, record, shift = h[order], doc[order], start[order], record[order], shift[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        for j in range(window):
-            wrong = words[start + j] != words[start[lead] + j]
-            if wrong.any():
-                for x in np.flatnonzero(wrong):
-                    mine = words[start[x] : start[x] + window]
-                    lead[x] = next(y for y in range(lead[x], len(h)) if (words[start[y] : start[y] + window] == mine).all())
-        covered = doc[lead] < doc
-        grp, row, at = (t.column(n).to_numpy()[record[covered]] for n in ("grp", "row", "at"))
+        live, node = deep_nodes(ids, begin[record] + shift, window)
+        least = doc.copy()
+        if len(live):
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            least[live] = np.minimum.reduceat(doc[live], first)[node]
+        covered = least < doc
+        grp, row, at = (t.column(c).to_numpy()[record[covered]] for c in ("grp", "row", "at"))
         at = at + shift[covered]
-        out = [known]
-        for g in np.unique(grp):
-            r, lo, hi = _runs(row[grp == g], at[grp == g])
-            out.append(pa.Table.from_arrays([pa.array(np.full(len(r), g), pa.int32()), pa.array(r, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=_COVER))
+        # Runs within a group's row: both in one number.
+        r, lo, hi = _runs(grp.astype(np.int64) << 32 | row, at) or (np.zeros(0, np.int64),) * 3
+        out.append(_covers(r >> 32, r & 0xFFFFFFFF, lo, hi, buckets))
+        if level == 1:
+            go = np.flatnonzero((t.column("key").to_numpy().view(np.uint64)[record] >= DEEP) & ~covered)
+            rest = t.take(pa.array(record[go]))
+            out.append(rest.set_column(0, _RECORD.field("bucket"), pa.array(_bucket(rest.column("key").to_numpy().view(np.uint64), buckets), pa.int32())))
         return pa.concat_tables(out).combine_chunks()
 
     return run
@@ -253,7 +294,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     buckets = group_keys(spark, groups)
     got = answers(text.mapInArrow(_asks(buckets, window, prefix), ASK), groups).repartition(groups, "grp")
     records = text.groupBy("grp").cogroup(got.groupBy("grp")).applyInArrow(_records(buckets, window, prefix, heavy), RECORD)
-    covers = records.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_subtrees(window), COVER).repartition(groups, "grp")
+    for level in (1, 2):
+        records = records.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_subtrees(window, buckets, level), RECORD)
+    covers = records.select("grp", "row", F.col("at").alias("lo"), F.col("doc_id").cast("int").alias("hi")).repartition(groups, "grp")
     fields = [("doc_id", pa.int64())] + [(c, _arrow(docs.schema[c].dataType)) for c in keep] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text" if texts else "kept_sha256", pa.string())]
     names = [n for n, _ in fields]
     types = {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string", "doc_id": "long"}

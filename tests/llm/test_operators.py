@@ -647,6 +647,26 @@ def test_substrings(docs, rows, small_groups, heavy):
     assert got == brute_repeats(rows)
 
 
+def test_deep_nodes_are_those_of_the_suffix_tree():
+    """Suffixes below one internal node of the depth, in the order of their words; against a dictionary."""
+    rng = np.random.default_rng(12)
+    for kinds, depth in ((3, 4), (3, 13), (40, 2), (70_000, 3)):
+        ids = rng.integers(0, kinds, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ids[2000:2400] = ids[100:500]
+        start = np.sort(rng.choice(3000 - depth, 1500, replace=False))
+        by = collections.defaultdict(list)
+        for k, s in enumerate(start.tolist()):
+            by[tuple(ids[s : s + depth].tolist())].append(k)
+        live, node = substrings.deep_nodes(ids, start, depth)
+        assert (np.diff(node) >= 0).all()
+        got = collections.defaultdict(list)
+        for k, x in zip(live.tolist(), node.tolist(), strict=True):
+            got[x].append(k)
+        want = [sorted(by[k]) for k in sorted(by) if len(by[k]) > 1]
+        assert [sorted(x) for x in got.values()] == want
+    assert len(substrings.deep_nodes(np.zeros(0, np.uint64), np.zeros(0, np.int64), 13)[0]) == 0
+
+
 def test_substrings_repeats_inside_a_document(spark, small_groups):
     p = " ".join(f"w{i}" for i in range(15))
     data = [(1, p), (2, f"{p} x {p} y {p}"), (3, "of " * 400), (4, "of " * 300), (4, "of " * 20), (5, p), (6, None)]
