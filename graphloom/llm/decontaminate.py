@@ -78,17 +78,30 @@ def raw_words(text: Column) -> Column:
     return F.filter(F.split(t, rf"(?:[^\p{{L}}\p{{N}}{MARK}{GLUE}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+"), lambda w: w != "")
 
 
-def _windows(hashes: Column, n: int, code: int) -> Column:
-    """Hashes of n consecutive word hashes and the code, from pairs, pairs of pairs and so on."""
+def _pairs(a: Column, by: int, code: int | None = None) -> Column:
+    """A hash of each element, that `by` places on, and the code; a is to be a plain column, since it is read more than once."""
+    most = F.greatest(F.size(a) - by, F.lit(0))
+    return F.zip_with(F.slice(a, 1, most), F.slice(a, 1 + by, most), lambda x, y: F.xxhash64(x, y) if code is None else F.xxhash64(x, y, F.lit(code)))
 
-    def two(a: Column, by: int) -> Column:
-        most = F.greatest(F.size(a) - by, F.lit(0))
-        return F.zip_with(F.slice(a, 1, most), F.slice(a, 1 + by, most), lambda x, y: F.xxhash64(x, y, F.lit(code)))
 
-    width, level = 1, hashes
-    while 2 * width <= n:
-        level, width = two(level, width), 2 * width
-    return two(level, n - width) if width < n else F.transform(level, lambda x: F.xxhash64(x, F.lit(code))) if n == 1 else level
+def _widths(n: int) -> list[int]:
+    """1, 2, 4, ... below n."""
+    return [1 << k for k in range(max(1, (n - 1).bit_length()))]
+
+
+def _with_pairs(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df with column@2, column@4, ...: hashes of so many consecutive elements of column@1, each a projection of its own, so that none is computed twice."""
+    for w in _widths(n)[1:]:
+        df = df.withColumn(f"{column}@{w}", _pairs(F.col(f"{column}@{w // 2}"), w // 2))
+    return df
+
+
+def _windows(column: str, n: int, code: int) -> Column:
+    """Hashes of n consecutive elements and the code, from the columns of _with_pairs."""
+    if n == 1:
+        return F.transform(f"{column}@1", lambda x: F.xxhash64(x, F.lit(code)))
+    w = _widths(n)[-1]
+    return _pairs(F.col(f"{column}@{w}"), n - w, code)
 
 
 def _hashes(words: Column) -> Column:
@@ -100,12 +113,12 @@ def _code(exact: bool, n: int, whole: bool) -> int:
 
 
 def canonical_items(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id (the smallest of those with the same words), twins (all of them), exact (whether in literal form), words, hs (their hashes), n, the words of a window: `window`, or all of a shorter item, and whole: whether only a whole text can match."""
+    """item_id (the smallest of those with the same words), twins (all of them), exact (whether in literal form), words, hs@1 (their hashes), n, the words of a window: `window`, or all of a shorter item, and whole: whether only a whole text can match."""
     items = benchmark.select("item_id", canonical(F.col("text")).alias("words"), literal_words(F.col("text")).alias("plain"))
     items = items.where(F.exists("words", lambda w: ~w.startswith(MARK) & (w != "")))
     items = items.groupBy("words", "plain").agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_set("item_id")).alias("twins"))
     items = items.select("item_id", "twins", (F.size("plain") < FEW).alias("whole"), F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("plain").alias("words")), F.struct(F.lit(False).alias("exact"), F.col("words")))).alias("form"))
-    items = items.select("item_id", "twins", "whole", "form.exact", "form.words").where("exact OR NOT whole").withColumn("hs", _hashes(F.col("words")))
+    items = items.select("item_id", "twins", "whole", "form.exact", "form.words").where("exact OR NOT whole").withColumn("hs@1", _hashes(F.col("words")))
     return items.withColumn("n", F.least(F.lit(window), F.size("words")))
 
 
@@ -113,8 +126,9 @@ def item_windows(items: DataFrame, forms: list[tuple[bool, int, bool]], enough:
     """item_id, exact, n, need, at, h: the windows that count of each item, and how many of them an alignment needs."""
     # A template of placeholders only says nothing; its literal window does.
     literal = lambda at: F.size(F.filter(F.slice("words", at + 1, F.col("n")), lambda w: ~w.startswith(MARK)))
+    items = _with_pairs(items, "hs", max(n for _, n, _ in forms))
     items = items.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda at: F.col("exact") | (literal(at) * 2 >= F.col("n"))))
-    of = lambda e, n, w: items.where((F.col("exact") == F.lit(e)) & (F.col("n") == n) & (F.col("whole") == F.lit(w))).withColumn("all", _windows(F.col("hs"), n, _code(e, n, w)))
+    of = lambda e, n, w: items.where((F.col("exact") == F.lit(e)) & (F.col("n") == n) & (F.col("whole") == F.lit(w))).withColumn("all", _windows("hs", n, _code(e, n, w)))
     wins = reduce(DataFrame.unionByName, [of(*f).select("item_id", "exact", "n", "all", F.explode("kept").alias("at")) for f in forms])
     wins = wins.select("item_id", "exact", "n", "at", F.get("all", F.col("at")).alias("h"))
     common = wins.groupBy("h").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") > COMMON_ITEMS).select("h", F.lit(True).alias("common"))
@@ -132,14 +146,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough:
     if not forms:
         return docs.select("doc_id").where("false").crossJoin(benchmark.select("item_id").where("false")).select("doc_id", "item_id", F.array("item_id").alias("twins"), F.lit(True).alias("exact"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("band"), F.lit(0).alias("windows"), F.lit(None).cast("array<struct<many:int,shift:int,ats:array<int>>>").alias("lines"))
     wins = materialize(item_windows(items, forms, enough, share))
-    words = docs.select("doc_id", _hashes(literal_words(F.col("text"))).alias("plain"), _hashes(canonical(F.col("text"))).alias("template"))
+    words = docs.select("doc_id", _hashes(literal_words(F.col("text"))).alias("plain@1"), _hashes(canonical(F.col("text"))).alias("template@1"))
+    for column in ("plain", "template"):
+        words = _with_pairs(words, column, max((n for e, n, _ in forms if e == (column == "plain")), default=1))
 
     def of(exact: bool, n: int, whole: bool) -> Column:
-        hs = F.col("plain" if exact else "template")
-        found = _windows(hs, n, _code(exact, n, whole))
-        return F.when(F.size(hs) == n, found).otherwise(F.array().cast("array<bigint>")) if whole else found
+        column = "plain" if exact else "template"
+        found = _windows(column, n, _code(exact, n, whole))
+        return F.when(F.size(f"{column}@1") == n, found).otherwise(F.array().cast("array<bigint>")) if whole else found
 
-    mine = words.select("doc_id", F.explode(F.array(*[of(*f) for f in forms])).alias("hs")).select("doc_id", F.posexplode("hs").alias("place", "h"))
+    mine = words.select("doc_id", F.explode(F.array(*[of(*f) for f in forms])).alias("hs"))
+    mine = mine.select("doc_id", F.posexplode("hs").alias("place", "h"))
     found = mine.join(F.broadcast(wins) if fits_broadcast(wins.count(), 120) else wins, "h").select("doc_id", "item_id", "exact", (F.col("place") - F.col("at")).alias("shift"), "at", "need", "n")
     lined = found.groupBy("doc_id", "item_id", "exact", "n", "need", "shift").agg(F.collect_set("at").alias("ats"))
     # Bands in two places, so that shifts within half a band meet in one of them.
