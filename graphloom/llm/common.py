@@ -61,7 +61,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a temporary one only for a local session that names none."""
+    """A new path in the shared folder that the session names; a temporary one only for a local session that names none. What is left of them goes when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -70,7 +70,24 @@ def scratch_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    run = f"{base.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
+    if run not in _runs:
+        _runs.add(run)
+        atexit.register(_delete_if_running, spark, run)
+    return f"{run}/{uuid.uuid4().hex}"
+
+
+_runs: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_if_running(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        _delete(spark, path)
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -78,7 +95,15 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_dir(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more; other tables are left alone."""
+    if (path := getattr(df, "_written", None)) is not None:
+        _delete(df.sparkSession, path)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -90,22 +115,31 @@ def group_count(spark: SparkSession, size: int, group_bytes: int = GROUP_BYTES)
     return max(1, -(-size // group_bytes), min(spark.sparkContext.defaultParallelism, size >> 20))
 
 
-def group_keys(spark: SparkSession, n: int) -> list[int]:
+def _spark_hash(k: np.ndarray) -> np.ndarray:
+    """Spark's hash() of an int column: Murmur3 of four bytes, seed 42."""
+    turn = lambda x, n: x << np.uint32(n) | x >> np.uint32(32 - n)
+    h = turn(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(h ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+def group_keys(n: int) -> list[int]:
     """For each of n partitions an integer that hash partitioning into n sends there, so that one group fills one partition."""
-    found: dict[int, int] = {}
-    start, step = 0, 16 * n + 64
-    while len(found) < n:
-        rows = spark.range(start, start + step, 1, 1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-        for k, p in rows.collect():
-            found.setdefault(p, k)
+    found, start, step = np.full(n, -1, np.int64), 0, 16 * n + 64
+    while (found < 0).any():
+        k = np.arange(start, start + step)
+        p, first = np.unique(_spark_hash(k).astype(np.int64) % n, return_index=True)
+        found[p] = np.where(found[p] < 0, k[first], found[p])
         start += step
-    return [found[p] for p in range(n)]
+    return found.tolist()
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """docs with an int column grp, dealt out so that each group is whole in one partition. A group is a set of documents of bounded size, chosen by a hash of doc_id and text's length; a document is never split."""
-    keys = group_keys(docs.sparkSession, groups)
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(groups)).cast("int")
+    """docs with an int column grp, dealt out so that each group is whole in one partition. A group is a set of documents of bounded size, chosen by a hash of doc_id and text; a document is never split."""
+    keys = group_keys(groups)
+    at = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("int")
     return docs.withColumn("grp", F.array(*[F.lit(k) for k in keys])[at] if groups <= 4096 else at).repartition(groups, "grp")
 
 

@@ -3,7 +3,8 @@
 Each round joins every node's neighbours to the smallest among them, first the larger neighbours (large star), then the
 smaller ones (small star), until nothing changes. Rounds grow with the logarithm of the longest chain. Each round is written
 to the shared folder, so that a lost executor costs one round at most. Minima combine before the shuffle, and the joins are
-plain ones whose skewed partitions adaptive execution splits; nothing is gathered on the driver but counts.
+plain ones whose skewed partitions adaptive execution splits; nothing is gathered on the driver but counts. A round's tables are
+deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
+        before, edges = edges, materialize(small)
+        discard(before)
+        discard(large)
         if (now := _mark(edges)) == mark:
             break
         mark = now

@@ -10,7 +10,11 @@ its tokens are kept as two packed lists, from which everything else follows with
 histogram over bucket and the logarithms of both estimates, to a quarter and a half of a power of two, so it has a bounded
 size; scores use exact counts.
 
-Null texts count as empty: one token, the end. Repeated rows count and are scored each on its own.
+A text's first word is predicted from a start context, whose count is the number of training texts and whose bucket learns like others.
+
+Null texts count as empty: one token, the end; texts of any length are read whole. Repeated rows, and rows with a null doc_id, count and
+are scored each on its own; a null held_out counts as false. Columns other than doc_id and text are ignored. An empty table gives an
+empty result; without training texts every token has the share of an empty vocabulary.
 """
 
 from __future__ import annotations
@@ -130,31 +134,33 @@ def score(docs: DataFrame, held_out, alpha: float = ALPHA) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     groups = group_count(spark, text_bytes(docs))
     text = grouped(docs, groups)
-    buckets = group_keys(spark, groups)
+    buckets = group_keys(groups)
     asked = text.mapInArrow(_asks(buckets), ASK)
     got = answers(asked, groups).repartition(groups, "grp")
     stats = materialize(text.groupBy("grp").cogroup(got.groupBy("grp")).applyInArrow(_stats(buckets), STATS))
 
+    n_docs = stats.where("NOT held_out").count()
+
     # Each training token of a word with count c stands for 1/c of a distinct word, so V is the sum over training tokens.
     def summary(batches):
         for b in batches:
-            tokens, kinds, n_docs = 0, 0.0, 0
+            tokens, kinds = 0, 0.0
             parts = []
             for held, w, wl, p, pl in zip(*(b.column(c).to_pylist() for c in ("held_out", "words", "words_large", "pairs", "pairs_large")), strict=True):
                 if held:
                     continue
                 word, pair = unpack_words(w, wl), unpack_counts(p, pl)
-                tokens, n_docs, kinds = tokens + len(word), n_docs + 1, kinds + (1.0 / word).sum()
-                context = word[:-1] - 1
-                parts.append((bucket_of(context) << 20) + ((log_steps((pair[1:] - 1) / np.maximum(context, 1), 4) + 255) << 10) + log_steps(word[1:] - 1, 2) + 255)
+                tokens, kinds = tokens + len(word), kinds + (1.0 / word).sum()
+                context = np.concatenate(([n_docs], word[:-1])) - 1
+                parts.append((bucket_of(context) << 20) + ((log_steps((pair - 1) / np.maximum(context, 1), 4) + 255) << 10) + log_steps(word - 1, 2) + 255)
             codes, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-            # The code -1 carries the sums: training documents, tokens, and distinct words.
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, tokens)), pa.array(np.append(np.zeros(len(n), np.int64), n_docs)), pa.array(np.append(np.zeros(len(n)), kinds))], names=["code", "n", "docs", "kinds"])
+            # The code -1 carries the sums: tokens and distinct words.
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, tokens)), pa.array(np.append(np.zeros(len(n)), kinds))], names=["code", "n", "kinds"])
 
-    found = stats.mapInArrow(summary, "code long, n long, docs long, kinds double").groupBy("code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum("kinds").alias("kinds"))
+    found = stats.mapInArrow(summary, "code long, n long, kinds double").groupBy("code").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
     # At most BUCKETS x 120 x 120 rows.
     found = found.collect()
-    n_docs, tokens, kinds = next(((r["docs"], r["n"], round(r["kinds"])) for r in found if r["code"] == -1), (0, 0, 0))
+    tokens, kinds = next(((r["n"], round(r["kinds"])) for r in found if r["code"] == -1), (0, 0))
     code = np.array([(r["code"], r["n"]) for r in found if r["code"] >= 0], np.int64).reshape(-1, 2)
     rows = np.stack([code[:, 0] >> 20, (code[:, 0] >> 10 & 1023) - 255, (code[:, 0] & 1023) - 255, code[:, 1]], axis=1)
     weights = learn_weights(rows, tokens, kinds)

@@ -5,10 +5,11 @@ others fill a sequence. What the assignment needs is how many pieces have each l
 Spark. On these numbers the driver runs best-fit decreasing with a segment tree over remaining capacities: all pieces of one
 length that meet the same tightest capacity move together, with the result that placing them one by one gives, so the plan's
 size depends on `size`, not on the number of documents. Each piece finds its place by its length and its rank among pieces of
-that length; ranks come from counts by (length, salt), so no length is gathered in one task.
+that length; ranks come from counts by (length, salt), so no length is gathered in one task: full pieces have as many salts as
+their number asks for.
 
-Null texts count as empty (one piece, the end id only). Repeated rows are packed each on its own. Columns other than doc_id
-and text are ignored.
+Null texts count as empty (one piece, the end id only); texts of any length are read whole. Repeated rows, and rows with a null doc_id,
+are packed each on its own. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare
 
 SIZE = 2048
-SALTS = 64
+#: Parts in which pieces of one length are ranked, at least, and full pieces of one part at most.
+SALTS, PART = 64, 500_000
 #: How byte-level BPE vocabularies of this kind split a text before merging, for texts of Latin letters; other texts go whole to the tokenizer.
 PLAIN = re.compile(r"[\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\sA-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]+|\s+(?!\S)|\s+")
@@ -148,9 +150,9 @@ def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, in
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and a salt, for each piece of each document."""
+    """doc_id, piece, start, length and ids_crc32 for each piece of each document."""
     tail = np.array([end], "<u4").tobytes()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
         enc = encoder(path)
@@ -168,8 +170,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
                 coded += tail
                 for k, (at, n) in enumerate(cut(len(coded) // 4, size)):
                     crc = zlib.crc32(coded[4 * at : 4 * (at + n)])
-                    rows.append((doc, k, at, n, crc, (crc ^ (doc or 0)) % SALTS))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())]))
+                    rows.append((doc, k, at, n, crc))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -179,8 +181,10 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFram
     spark = docs.sparkSession
     prepare(spark)
     parts = materialize(pieces(docs, path, size, end))
+    full = max(SALTS, -(-parts.where(F.col("length") == size).count() // PART))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.when(F.col("length") == size, F.lit(full)).otherwise(F.lit(SALTS))).cast("int"))
     counted = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most size x SALTS rows, whatever the input.
+    # At most size x SALTS rows, and one for each PART full pieces.
     known = [(r["length"], r["salt"], r["n"]) for r in counted.collect()]
     counts: dict[int, int] = {}
     before = []

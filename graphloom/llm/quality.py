@@ -9,7 +9,9 @@ however large the corpus. A document is the mean of its units' vectors, centred
 The network learns from at most `per_class` labelled rows of each class, by smallest hash of doc_id; four fifths fit the
 weights, the rest a temperature.
 
-Null and empty texts are documents without units: the zero vector. Repeated rows are scored each on its own. If a class has no
+Null and empty texts are documents without units: the zero vector; texts of any length are read whole. Repeated rows, and rows with a null
+doc_id (whose labels teach nothing), are scored each on its own. Columns other than doc_id and text are ignored. An empty table gives an
+empty result. If a class has no
 labelled rows, every score is the share of ones among the labels (one half without labels).
 """
 

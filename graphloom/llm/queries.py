@@ -16,8 +16,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(modulus: int, *rest: int):
-    """Whether crc32(doc_id as text) modulo `modulus` is among rest."""
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus).isin(*rest)
+    """Whether crc32(doc_id as text) modulo `modulus` is among rest; false for a null doc_id."""
+    return F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus).isin(*rest), F.lit(False))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

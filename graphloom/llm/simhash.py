@@ -11,7 +11,8 @@ two blocks of one half. A task returns a spanning forest of the links that it fi
 component whole.
 
 Null texts count as empty; texts without words have fingerprint zero. Repeated rows with one doc_id each get a row. A null doc_id
-names no component: such a row gets that of an equal text that has one, else null.
+names no component: such a row gets that of an equal text that has one, else null. Texts of any length are read whole. Columns other than
+doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

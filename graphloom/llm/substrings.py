@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     groups = group_count(spark, text_bytes(docs))
     # One exchange of the texts, which the plan uses three times.
     text = grouped(docs, groups)
-    buckets = group_keys(spark, groups)
+    buckets = group_keys(groups)
     got = answers(text.mapInArrow(_asks(buckets, window, prefix), ASK), groups).repartition(groups, "grp")
     records = text.groupBy("grp").cogroup(got.groupBy("grp")).applyInArrow(_records(buckets, window, prefix, heavy), RECORD)
     for level in (1, 2):

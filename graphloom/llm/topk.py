@@ -1,14 +1,15 @@
 """Exact top-k inner products by an impact-ordered index, score at a time.
 
 Vectors are dealt into blocks and queries into blocks; each pair of blocks is one task's unit, so memory is bounded whatever
-the sizes. In a block each dimension has its postings (vector, value) sorted by value and cut into segments of one quantised
+the sizes. A block's index is built once for as many queries as vectors; tables within one block of queries build each index once. In a block each dimension has its postings (vector, value) sorted by value and cut into segments of one quantised
 value. For a query, segments of all dimensions are taken by descending impact (the query's component times the segment's
 limit, above the dimension's floor). Each unseen posting of a dimension adds at most that of the dimension's next segment, so
 floor + what a vector has + the sum of these limits bounds its score. Processing stops when the vectors whose bound reaches the
 k-th best assured score are few (or nothing is left); these are scored again exactly. No vector is left out without that proof.
 
 Vectors that are null, or hold null or non-finite components, take no part, as a vector of no components. Vectors meet only
-vectors with as many components. A vec_id that occurs more than once counts as several candidates, and once as a query.
+vectors with as many components. A vec_id that occurs more than once counts as several candidates, and once as a query: that with the
+smallest vector. Columns other than vec_id and vector are ignored; an empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ class Block:
         return may, scores
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, vector_block: int = 16384, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, vector_block: int = 16384, query_block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors(vec_id, vector array<long>) that is_query marks, against all others; ties go to the smaller vec_id."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -99,7 +100,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vector_block: int = 16384,
     nv, nq = max(1, -(-n // vector_block)), max(1, -(-nq // query_block))
     vb, qb = F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(nq)).cast("int")
     stored = table.select(F.lit(False).alias("q"), vb.alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "dims", "vec_id", "vector")
-    asked = table.where("q").dropDuplicates(["vec_id"]).select(F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), qb.alias("qb"), "dims", "vec_id", "vector")
+    asked = table.where("q").groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dims", F.size("vector")).select(F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), qb.alias("qb"), "dims", "vec_id", "vector")
 
     def cell(t: pa.Table) -> pa.Table:
         q = t.column("q").to_numpy()

@@ -8,10 +8,12 @@ counts by where it stands; a logistic layer fitted on labelled rows turns them i
 
 Insults are stems: word beginnings (any inflection matches). A few are given; the rest are learned from labelled rows as
 beginnings much more frequent in one half of the toxic rows than in the clean ones, and confirmed on the other half; they come
-before the given ones, which stay. Only a bounded sample of labelled rows is used: at most `per_class` rows of each class, those with the smallest hashes of doc_id.
+before the given ones, which stay. Learned stems have SHORTEST to LONGEST letters and occur in LEAST_TEXTS texts of each half. Only a bounded sample of labelled rows is used: at most `per_class` rows of each class, those with the smallest hashes of doc_id.
 
-Null and empty texts match no clause and get the score of the bias alone. Repeated rows are scored each on its own. Without
-labels the given stems and weights hold. An Aho-Corasick automaton finds the clauses that can match in one pass of a text.
+Null and empty texts match no clause and get the score of the bias alone; texts of any length are read whole. Repeated rows and rows
+with a null doc_id are scored each on its own (labels without a doc_id teach nothing; of equal labelled texts the smallest doc_id
+counts). Other columns stay, but score and predicted are replaced. An empty table gives an empty result. Without labels the given
+stems and weights hold. An Aho-Corasick automaton finds the clauses that can match in one pass of a text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialize, prepare
 
 PER_CLASS = 3000
 SHORTEST, LONGEST = 3, 10
@@ -221,7 +223,9 @@ def with_given(given: dict[str, float], learned: dict[str, float]) -> dict[str,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from the rows of labels(doc_id, toxic) whose documents are in docs."""
     prepare(docs.sparkSession)
-    rows = sample(docs, labels, "toxic", per_class).dropDuplicates(["text"])
+    # Of equal texts that with the smallest doc_id counts; the bounded sample is written once, so that all passes read the same rows.
+    rows = sample(docs, labels, "toxic", per_class).groupBy("text").agg(F.min(F.struct("doc_id", "label", "half")).alias("r"))
+    rows = materialize(rows.select("text", "r.label", "r.half"))
     size = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     n = {k: size.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
     given = dict.fromkeys(GIVEN, 3.0)

@@ -5,10 +5,10 @@ their labels reversed, so a host and its subdomains share a prefix; for each num
 is cut to so many labels, and (reversed cut host, path) turns each rule into an interval [path, path + 0xFF) of binary paths
 within one host. Intervals nest or are disjoint. One sort of rule openings, urls and rule ends sweeps each host: a running sum
 of +1 and -1 is the height of the stack of open rules, and the last rule opened at that height is its top, the longest that
-fits. Hosts with many urls are dealt over `salts` sweeps that each get the host's rules.
+fits. Hosts with many urls are dealt over `salts` sweeps that each get the host's rules, LEAST_SALTS or one for each SWEEP pages if not given.
 
-Rows with a null url, or one without "://", have an empty host and path and meet no rule. Repeated rows stay; other columns of
-the input are dropped.
+Rows with a null url, or one without "://", have an empty host and path and meet no rule. Repeated rows, and rows with a null page_id, stay; other
+columns of the input are dropped. Urls may have any length. An empty table gives an empty result; without rules all get `default`.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
+LEAST_SALTS, SWEEP = 256, 200_000
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty where there is no "://"."""
     at = F.instr(url, "://")
@@ -38,9 +41,10 @@ def _heights(rules: DataFrame) -> DataFrame:
     return lo.unionByName(hi).withColumn("level", F.sum("step").over(w))
 
 
-def match(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]] = RULES, default: str = "allow", salts: int = 256) -> DataFrame:
+def match(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]] = RULES, default: str = "allow", salts: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of each row. Longest rule wins, counted over host and path; of equal lengths that with the longer host. No rule: `default`."""
     spark = pages.sparkSession
+    salts = salts or max(LEAST_SALTS, -(-pages.count() // SWEEP))
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
     rules = rules.select("verdict", "host", "path", F.concat("host", "path").alias("rule")).groupBy("host", "path", "rule").agg(F.max("verdict").alias("verdict"))

@@ -99,6 +99,21 @@ def test_exchange_round_trip(spark):
             assert exchange.totals(own, kind, buckets).tolist() == [want[k] for k in p.tolist()]
 
 
+def test_group_keys_fill_each_partition(spark):
+    for n in (1, 5, 64):
+        keys = common.group_keys(n)
+        got = spark.createDataFrame([(k,) for k in keys], "k int").selectExpr("pmod(hash(k), %d) AS p" % n).collect()
+        assert [r.p for r in got] == list(range(n))
+
+
+def test_scratch_tables_are_deleted(spark):
+    df = common.materialize(spark.range(5))
+    files = df.inputFiles()
+    common.discard(df)
+    common.discard(spark.range(1))
+    assert files and not any(__import__("os").path.exists(f.removeprefix("file://")) for f in files)
+
+
 # -- 1 --
 
 
@@ -194,6 +209,50 @@ def test_grammar_reads_clauses_not_words():
     assert m.clauses("kidiotic") == []
 
 
+def test_grammar_like_brute_force():
+    """The composed transducers against one pass with plain variables, over random clauses."""
+    rng = np.random.default_rng(13)
+    t = toxicity
+    for _ in range(400):
+        tagged = [(int(rng.integers(6)), float(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 12)))]
+        insults = threats = 0.0
+        under = many = 0
+        told = aim = 0  # aim: 1 a target came first, 2 an insult or threat did, 3 a target after it
+        idle = 0  # 1 after a threat, 2 once a target followed
+        for tag, w in tagged:
+            f = 0.35 if under and tag in (t.INSULT, t.THREAT) else 1.0
+            f *= 0.5 if told and tag in (t.INSULT, t.THREAT) else 1.0
+            if tag == t.INSULT:
+                f *= (1.0, 0.8, 0.64)[many] * (1.3 if aim == 1 else 1.0)
+                many = min(2, many + 1)
+                insults += w * f
+            if tag == t.THREAT:
+                f *= {0: 0.2, 1: 1.0, 2: 1.5}[idle]
+                idle = idle or 1
+                threats += w * f
+            under = 3 if tag == t.NEGATION else max(0, under - 1)
+            told = told or tag == t.REPORT
+            if tag == t.TARGET:
+                aim = {0: 1, 2: 3}.get(aim, aim)
+                idle = 2 if idle == 1 else idle
+            elif aim == 0 and tag in (t.INSULT, t.THREAT):
+                aim = 2
+        after = 1.2 if aim == 3 else 1.0
+        want = insults * after + threats * after * (7.5 if idle == 2 else 1.0)
+        assert t.Grammar().score(tagged) == pytest.approx(want), tagged
+
+
+def test_toxicity_fit_is_one_for_equal_texts(spark):
+    """Equal texts with other labels: the smallest doc_id counts, in whatever order rows come."""
+    data = [(i, f"text {i % 40} zorgal" if i % 2 else f"text {i % 40}") for i in range(400)]
+    labels = [(i, int(i % 2 == 1) if i < 40 else 1) for i in range(400)]
+    fits = []
+    for k in (1, 5):
+        m = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string").repartition(k), spark.createDataFrame(labels, "doc_id long, toxic int").repartition(k))
+        fits.append((m.stems, tuple(round(w, 9) for w in m.weights)))
+    assert fits[0] == fits[1]
+
+
 def test_stems_are_chosen_long():
     assert toxicity.chosen_stems([("idi", 3.0, 100), ("idio", 3.0, 99), ("idiot", 3.0, 98), ("mor", 2.5, 50)]) == {"mor": 2.5, "idiot": 3.0}
 
@@ -258,6 +317,48 @@ def test_lm(docs, rows, none, small_groups):
     assert lm.score(none, held_out(10, 0)).count() == 0
 
 
+def test_lm_scores_like_brute_force(docs, rows, small_groups, monkeypatch):
+    """Scores are the interpolation with the learned weights; what EM reads is each training token once; rounding costs it little."""
+    from graphloom.llm.queries import held_out
+
+    seen = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda hist, n, v: seen.append((hist, learn(hist, n, v))) or seen[-1][1])
+    got = {r.doc_id: r.score for r in lm.score(docs, held_out(10, 0)).collect()}
+    hist, weights = seen[0]
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10}
+    tokens = {i: WORD.findall(lower(t)) + ["</s>"] for i, t in rows}
+    word, pair = collections.Counter(), collections.Counter()
+    for i in train:
+        word.update(tokens[i])
+        pair.update(zip(["<s>"] + tokens[i], tokens[i], strict=False))
+    total, kinds, before = sum(word.values()), len(word), collections.Counter(word)
+    before["<s>"] = len(train)
+    bucket = lambda c: c.bit_length()
+    parts = lambda u, w, less: (bucket(before[u] - less), (pair[u, w] - less) / max(before[u] - less, 1), (word[w] - less) / (total - less), 1 / (kinds + 1))
+    for i, ws in tokens.items():
+        want = 0.0
+        for u, w in zip(["<s>"] + ws, ws, strict=False):
+            b, *p = parts(u, w, 0)
+            want += math.log10(sum(x * y for x, y in zip(weights[b], p, strict=True)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    held = [parts(u, w, 1) for i in train for u, w in zip(["<s>"] + tokens[i], tokens[i], strict=False)]
+    assert hist[:, 3].sum() == len(held) == total
+    assert collections.Counter(b for b, *_ in held) == {b: hist[hist[:, 0] == b, 3].sum() for b in set(hist[:, 0].tolist())}
+    exact = np.tile((0.3, 0.6, 0.1), (lm.BUCKETS, 1))
+    exact[0] = (0.0, 0.9, 0.1)
+    b, p = np.array([x[0] for x in held]), np.array([x[1:] for x in held])
+    for _ in range(60):
+        share = exact[b] * p
+        share /= share.sum(axis=1, keepdims=True)
+        for k in set(b.tolist()):
+            new = share[b == k].sum(axis=0) + 1e-3
+            new[0] *= k > 0
+            exact[k] = new / new.sum()
+    quality = lambda w: np.log10((w[b] * p).sum(axis=1)).mean()
+    assert abs(quality(exact) - quality(weights)) < 0.005
+
+
 def test_lm_is_a_distribution():
     """The mixture sums to one over the vocabulary and one unknown word, whatever the weights."""
     weights = lm.learn_weights(np.array([[3, -4, 10, 50], [3, -255, 4, 20], [0, -255, -255, 5]]), 1000, 99)
@@ -417,6 +518,25 @@ def test_context_vectors_are_sums_of_neighbours(spark):
     assert (got == want).all()
 
 
+def test_quality_scores_like_brute_force(spark, monkeypatch):
+    """Each score is the network's probability of the mean of the text's unit vectors and its length."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    data = [(i, " ".join(f"{'ab'[i % 2]}{rng.integers(60)}" for _ in range(int(rng.integers(0, 40))))) for i in range(120)] + [(120, None)]
+    seen = {}
+    monkeypatch.setattr(quality, "word_vectors", lambda docs, f=quality.word_vectors: seen.setdefault("vectors", f(docs)))
+    monkeypatch.setattr(quality, "fit", lambda *a, f=quality.fit: seen.setdefault("net", f(*a)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(data, "doc_id long, text string"), labels).collect()}
+    (w1, b1, w2, b2), net = seen["net"].p, seen["net"]
+    for i, t in data:
+        row, n = quality.units(*next(common.text_buffers(pa.array([t or ""]))))
+        x = np.append(np.mean([seen["vectors"][r] for r in row], axis=0) if len(row) else np.zeros(quality.DIMS), math.log1p(len(row)) / 10)
+        z = sum(math.tanh(sum((x[d] - net.mean[d]) / net.scale[d] * w1[d, h] for d in range(len(x))) + b1[h]) * w2[h] for h in range(len(w2))) + b2[0]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z / net.temperature)), abs=1e-4) and got[i].predicted == int(got[i].score >= 0.5)
+
+
 # -- 6 --
 
 ITEMS = [(1, "A train leaves the station at 60 km per hour and meets Alice after 3 hours of travel on the long northern line"), (2, "short item of six words only"), (3, None), (4, "12 34 56"), (5, "he gave 5 apples to the old man and then 5 apples to the young man in the park")]
@@ -709,6 +829,8 @@ def test_top_k(spark):
         want.update({(q, k + 1): (i, -v) for k, (v, i) in enumerate(s)})
     assert got == want
     assert topk.top_k(df.where("false"), topk.F.lit(True)).count() == 0
+    twice = spark_of(df).createDataFrame([(0, [1, 2]), (0, [3, 1]), (1, [1, 1]), (1, [1, 1])], "vec_id long, vector array<long>")
+    assert [tuple(r) for r in topk.top_k(twice, topk.F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3), (0, 2, 1, 3)]
 
 
 def test_top_k_few_candidates_and_bad_values(spark):
@@ -842,6 +964,13 @@ def test_packing(docs, rows, none):
         assert at <= 64
     assert len(seqs) == len(brute_best_fit(lengths, 64))
     assert packing.pack(none, path).count() == 0
+    # Repeated rows and null doc_ids are packed each on its own.
+    again = packing.pack(spark_of(docs).createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string"), path, size=64).collect()
+    assert len(again) == 4 and len({(r.sequence_id, r.offset) for r in again}) == 4 and sum(r.doc_id is None for r in again) == 2
+
+
+def spark_of(df):
+    return df.sparkSession
 
 
 def test_encoder_splits_like_the_tokenizer():
