@@ -12,8 +12,8 @@ itself.
 4. decontamination: documents with a passage of `benchmark` go.
 5. packing: the pieces of the documents and their places in sequences of 2048 tokens.
 
-Rows with one doc_id count as one document: they stay or go together, but of rows with the same text too, one stays. Rows with a null
-doc_id are told apart by their texts and come after all others. Null texts are empty ones; they stay until texts without
+In stage 2 rows with one doc_id count as one document: they stay or go together, but of rows with the same text too, one stays; the
+other stages judge each row by its own text. Rows with a null doc_id are told apart by their texts and come after all others. Null texts are empty ones; they stay until texts without
 words are found to be equal, and one of them stays. Extra columns are kept by the filtering stages.
 """
 
@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, prepare, read_table, row_key, scratch_dir
+from graphloom.llm.common import discard, fits_broadcast, materialize, prepare, read_table, row_key, scratch_dir, text_key
 
 #: SQL cannot express the stages; tests compare each with a brute-force version.
 ORACLE_SQL = None
-BROADCAST_ROWS = 1_000_000
 
 
 KEY = "row@key"
@@ -37,10 +36,11 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("doc_id"), "text")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose keys are doc_ids in gone; these are sent to the documents while they are few, else both are dealt by key."""
+def without(docs: DataFrame, gone: DataFrame, key=None) -> DataFrame:
+    """docs less the rows whose keys (row_key() if not given) are doc_ids in gone; these are sent to the documents while they are few, else both are dealt by key."""
     gone = materialize(gone.select(F.col("doc_id").alias(KEY)).distinct())
-    return docs.withColumn(KEY, row_key()).join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, KEY, "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if fits_broadcast(gone.count(), 80) else gone
+    return docs.withColumn(KEY, row_key() if key is None else key).join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +84,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from graphloom.llm.decontaminate import agree, matches
 
     benchmark = read_table(spark, sf_dir, "benchmark")
-    return without(docs, agree(matches(named(docs), benchmark), named(docs), benchmark))
+    keyed = docs.select(text_key().alias("doc_id"), "text")
+    return without(docs, agree(matches(keyed, benchmark), keyed, benchmark), text_key())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,5 +103,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), scratch_dir(spark))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), scratch_dir(spark))
+        discard(before)
     return docs
