@@ -160,6 +160,10 @@ CONVERSIONS = {f"to{n}": n for n in "integer float boolean numeric string timest
 MODULES = (temporal, vectors, ranges, network, textsearch, geometry)
 
 
+#: Names of functions that CREATE FUNCTION made in the session.
+USER: set[str] = set()
+
+
 def call(name: str, args: list[Column], type_of: TypeOf) -> Column:
     if name in SIMPLE:
         return SIMPLE[name](args)
@@ -170,6 +174,8 @@ def call(name: str, args: list[Column], type_of: TypeOf) -> Column:
     for m in MODULES:
         if name in m.FUNCTIONS:
             return m.FUNCTIONS[name](args, type_of)
+    if name in USER:
+        return F.call_function(name, *args)
     raise ValueError(f"function {name} does not exist")
 
 
@@ -418,8 +424,24 @@ def excluding(name: str, c: list[Column], w, peers, what: str) -> Column:
     less_n = own_n if what == "current" else F.count(value).over(peers) - (own_n if what == "ties" else 0)
     less = own if what == "current" else F.coalesce(F.sum(value).over(peers), F.lit(0)) - (own if what == "ties" else 0)
     n, total = F.count(value).over(w) - less_n, F.sum(value).over(w) - less
+    return n if name == "count" else F.when(n > 0, total if name == "sum" else total / n)
+
+
+def excluding_rows(name: str, c: list[Column], w, row: Column, group: Column, what: str) -> Column:
+    """Other aggregates, and frames by rows: the frame's rows as a list of (row, group, value), less those that are excluded."""
+    value = c[0] if c else F.lit(1)
+    frame = F.collect_list(F.struct(row.alias("row"), group.alias("group"), value.alias("value"))).over(w)
+    kept = {"current": lambda x: x["row"] != row, "group": lambda x: x["group"] != group, "ties": lambda x: (x["group"] != group) | (x["row"] == row)}[what]
+    found = F.filter(F.transform(F.filter(frame, kept), lambda x: x["value"]), lambda v: v.isNotNull())
+    if name in ("collect", "array_agg"):
+        return found
     if name == "count":
-        return n
+        return F.size(found).cast("bigint")
+    if name in ("min", "max"):
+        return F.array_min(found) if name == "min" else F.array_max(found)
     if name in ("sum", "avg"):
-        return F.when(n > 0, total if name == "sum" else total / n)
+        total = F.aggregate(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), F.get(found, F.lit(0)), lambda a, v: a + v)
+        return F.when(F.size(found) > 0, total if name == "sum" else total / F.size(found))
+    if name in ("first_value", "last_value"):
+        return F.get(found, F.lit(0)) if name == "first_value" else F.try_element_at(found, F.lit(-1))
     raise ValueError(f"EXCLUDE is not supported for {name}")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
+from .trails import shared_folder
 
 DISTANCES = {"l2": vectors.l2, "ip": vectors.negative_inner, "cosine": vectors.cosine, "l1": vectors.l1}
 #: Rows that train centroids, as a floor and for each list.
@@ -20,23 +23,37 @@ def top_k(df: DataFrame, column: str, query: list[float], k: int, metric: str =
 
 
 class IvfIndex:
-    """Rows by their nearest of `lists` centroids, in a column "list". A search reads the lists of the nearest `probes` centroids."""
+    """Rows by their nearest of `lists` centroids. Rows are assigned once and written in one folder for each list; a search reads the folders of the nearest `probes` centroids."""
 
-    def __init__(self, df: DataFrame, column: str, lists: int = 100, metric: str = "l2", seed: int = 1, rounds: int = 10):
+    def __init__(self, df: DataFrame, column: str, lists: int = 100, metric: str = "l2", seed: int = 1, rounds: int = 10, path: str | None = None):
         if not 1 <= lists <= 32768:
             raise ValueError("lists must be between 1 and 32768")
-        self.column, self.metric = column, metric
+        self.column, self.metric, self.path = column, metric, path or shared_folder(df.sparkSession)
         want = max(SAMPLE, PER_LIST * lists)
         n = df.count()
         # A bounded sample trains the centroids; every row is indexed.
-        rows = df.select(column).sample(min(1.0, 1.2 * want / max(n, 1)), seed).limit(want).toPandas()[column]
+        rows = df.select(column).where(F.col(column).isNotNull()).sample(min(1.0, 1.2 * want / max(n, 1)), seed).limit(want).toPandas()[column]
         x = np.array(rows.tolist(), np.float64)
-        self.centroids = self._train(self._unit(x), lists, seed, rounds)
-        table = [[float(v) for v in c] for c in self.centroids]
-        cents = F.array(*[F.array(*[F.lit(v) for v in c]) for c in table])
-        scored = F.transform(cents, lambda c, i: F.struct(DISTANCES["l2"](F.col("@unit"), c).alias("d"), i.alias("i")))
-        unit = F.col(column) if metric in ("l2", "l1") else F.transform(column, lambda v: v / vectors.norm(F.col(column)))
-        self.df = df.withColumn("@unit", unit).withColumn("list", F.array_min(scored).getField("i")).drop("@unit")
+        self.centroids = self._train(self._unit(x), lists, seed, rounds) if len(x) else np.zeros((0, 1))
+        # At most 32768 centroids, whatever the input. Rows without a vector are in no list.
+        df.where(F.col(column).isNotNull()).withColumn("list", self._nearest(1)(F.col(column))[0]).write.mode("overwrite").partitionBy("list").parquet(self.path)
+        self.df = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("list", T.IntegerType())])).parquet(self.path)
+
+    def _nearest(self, probes: int):
+        """A function of vectors that gives the numbers of their nearest centroids."""
+        table, lengths = self.centroids, self.metric in ("l2", "l1")
+
+        @F.pandas_udf("array<int>")
+        def near(v: pd.Series) -> pd.Series:
+            x = np.array(v.tolist(), np.float64).reshape(len(v), -1)
+            x = x if lengths else x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            out = []
+            for s in range(0, len(x), 1024):
+                d = (table**2).sum(axis=1)[None] - 2 * x[s : s + 1024] @ table.T
+                out += np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist()
+            return pd.Series(out)
+
+        return near
 
     def _unit(self, x: np.ndarray) -> np.ndarray:
         """Directions only, where the metric has no lengths."""
@@ -46,8 +63,11 @@ class IvfIndex:
         rng = np.random.Generator(np.random.PCG64(seed))
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(rounds):
-            at = (((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) if len(x) * len(c) < 4e6 else (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]).argmin(axis=1)
-            c = self._unit(np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
+            at = np.concatenate([((c**2).sum(1)[None] - 2 * x[s : s + 4096] @ c.T).argmin(axis=1) for s in range(0, len(x), 4096)])
+            many = np.bincount(at, minlength=len(c))
+            sums = np.zeros_like(c)
+            np.add.at(sums, at, x)
+            c = self._unit(np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], c))
         return c
 
     def search(self, query: list[float], k: int, probes: int = 1, key: str = "vec_id") -> DataFrame:
@@ -55,6 +75,9 @@ class IvfIndex:
         near = np.argsort(((self.centroids - q) ** 2).sum(axis=1))[:probes].tolist()
         return top_k(self.df.where(F.col("list").isin(near)), self.column, query, k, self.metric, key)
 
-    def write(self, path: str) -> None:
-        """One folder for each list, so that a search reads only those it probes."""
-        self.df.write.mode("overwrite").partitionBy("list").parquet(path)
+    def search_all(self, queries: DataFrame, k: int, probes: int = 1, key: str = "vec_id") -> DataFrame:
+        """query_id, rank, key, distance for each row of queries(query_id, query): each meets the rows of its lists only, by a join on the list."""
+        asked = queries.withColumn("list", F.explode(self._nearest(probes)(F.col("query"))))
+        met = asked.join(self.df, "list").withColumn("distance", DISTANCES[self.metric](F.col(self.column), F.col("query")))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+        return met.select("query_id", key, "distance").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")

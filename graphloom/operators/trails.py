@@ -7,6 +7,10 @@ frontier to the session's checkpoint folder, and end when no trail can be extend
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +36,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def shared_folder(spark) -> str:
+    """A new path on the storage that the session names for checkpoints; a temporary one for a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def expand(starts: DataFrame, edges: DataFrame, low: int, high: int | None, cut: int = 3) -> DataFrame:
     """from, to, trail (edges, and nodes between them) of the trails of low to high edges that start at starts(from). Length 0 is never a trail."""
     low = max(low, 1)

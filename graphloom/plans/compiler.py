@@ -200,11 +200,17 @@ class Compiler:
                 cond = F.lit(False)
             else:
                 held, self.rows = self.rows, rows
-                cond = functions.binary("=", F.col(f"{name}@{key}"), self.expr(rows, value), self.type_of)
+                cond = self.held(F.col(f"{name}@{key}"), self.expr(rows, value))
                 self.rows = held
             rows = Rows(rows.df.filter(cond), rows.vars)
         return rows
 
+    def held(self, prop: Column, value: Column) -> Column:
+        """Whether a property meets a pattern's value: it is equal, or a list or map that contains the value's."""
+        a, b = self.type_of(prop), self.type_of(value)
+        nested = (isinstance(a, T.StructType) and isinstance(b, T.StructType) and not functions.dynamic.is_dynamic(a) and not functions.dynamic.is_dynamic(b)) or (isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType) and a.elementType == b.elementType)
+        return functions.contains(prop, a, value, b) if nested else functions.binary("=", prop, value, self.type_of)
+
     def idle(self, n: NodePattern, implied: str | None) -> bool:
         """Whether a vertex needs no table: nothing reads it, and its label follows from the edge."""
         return n.props is None and (n.label is None or n.label == implied) and (not n.named or (n.var not in self.used and "*" not in self.used))
@@ -897,8 +903,14 @@ class Compiler:
             cols = [F.when(cond, c) for c in cols] or [F.when(cond, F.lit(1))]
             opts = opts | {"star": False}
         if exclude in ("current", "group", "ties"):
-            if exclude != "current" and kind == "rows":
-                raise Fault(f"EXCLUDE {exclude.upper()} needs a frame by range or groups")
+            if name not in ("count", "sum", "avg") or (exclude != "current" and kind == "rows"):
+                row, group = f"{next(self.fresh)}@row", f"{next(self.fresh)}@group"
+                base = Window.partitionBy(*part).orderBy(*(order or [F.lit(1)]))
+                self.rows.df = self.rows.df.withColumns({row: F.row_number().over(base), group: F.dense_rank().over(base)})
+                if kind == "rows":
+                    # The frame counts rows in the order that numbered them.
+                    w = Window.partitionBy(*part).orderBy(row).rowsBetween(lo, hi)
+                return functions.excluding_rows(name, cols, w, F.col(row), F.col(group), exclude)
             peers = Window.partitionBy(*part).orderBy(*order).rangeBetween(Window.currentRow, Window.currentRow) if order else Window.partitionBy(*part)
             return functions.excluding(name, cols, w, peers, exclude)
         return functions.window(name, cols, opts).over(w)

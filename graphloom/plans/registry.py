@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nearest import IvfIndex, top_k
+from ..operators.trails import shared_folder
 from ..sources.catalog import trade_graph
 from ..sources.tables import folder_tables
 from .engine import Engine
@@ -53,8 +54,7 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "match_props": ("MATCH (n:Nation {n_regionkey: 2})<-[:BASED_IN]-(s:Supplier) RETURN n.n_name AS nation, s.s_suppkey AS supp", "SELECT n_name AS nation, s_suppkey AS supp FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 2"),
     "match_undirected": ("MATCH (n:Nation)-[:IN_REGION]-(x) RETURN label(x) AS kind, count(*) AS n", "SELECT 'Region' AS kind, count(*) AS n FROM nation"),
     "match_cycle_same_nation": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)<-[:BASED_IN]-(s:Supplier) WHERE s.s_acctbal > c.c_acctbal RETURN n.n_nationkey AS nation, count(*) AS n", "SELECT n_nationkey AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > c_acctbal GROUP BY 1"),
-    "match_edge_unique": ("MATCH (o:Orders)-[a:CONTAINS]->(p:Part)<-[b:CONTAINS]-(q:Orders) WHERE p.p_partkey < 50 RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND (a.l_orderkey, a.l_suppkey, a.l_linenumber) <> (b.l_orderkey, b.l_suppkey, b.l_linenumber) WHERE a.l_partkey < 50"),
-    "match_edge_unique_whole": ("MATCH (o:Orders)-[a:CONTAINS]->(p:Part)<-[b:CONTAINS]-(q:Orders) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND (a.l_orderkey, a.l_suppkey, a.l_linenumber) <> (b.l_orderkey, b.l_suppkey, b.l_linenumber)"),
+    "match_edge_unique": ("MATCH (o:Orders)-[a:CONTAINS]->(p:Part)<-[b:CONTAINS]-(q:Orders) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND (a.l_orderkey, a.l_suppkey, a.l_linenumber) <> (b.l_orderkey, b.l_suppkey, b.l_linenumber)"),
     "comma_paths": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation), (s:Supplier)-[:BASED_IN]->(n) RETURN n.n_name AS nation, count(DISTINCT c) AS customers, count(DISTINCT s) AS suppliers", "SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
     "comma_cartesian_small": ("MATCH (r:Region), (n:Nation) RETURN r.r_name AS region, n.n_name AS nation", "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation"),
     "multi_match": ("MATCH (n:Nation) WHERE n.n_nationkey < 5 MATCH (c:Customer)-[:LIVES_IN]->(n) RETURN n.n_nationkey AS nation, count(*) AS n", "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_nationkey < 5 GROUP BY 1"),
@@ -102,8 +102,7 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     # -- variable length --
     "vle_1_3": ("MATCH (a:Event)-[e:NEXT*1..3]->(b:Event) RETURN length(e) AS hops, count(*) AS n", "WITH nx AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nid FROM events), e AS (SELECT * FROM nx WHERE nid IS NOT NULL) SELECT 1 AS hops, count(*) AS n FROM e UNION ALL SELECT 2, count(*) FROM e a JOIN e b ON a.nid = b.event_id UNION ALL SELECT 3, count(*) FROM e a JOIN e b ON a.nid = b.event_id JOIN e c ON b.nid = c.event_id"),
     "vle_bound_start": ("MATCH (a:Event {event_id: 7})-[e:NEXT*2..5]->(b:Event) RETURN b.event_id AS id, length(e) AS hops", "WITH RECURSIVE nx AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nid FROM events), t(id, hops) AS (SELECT nid, 1 FROM nx WHERE event_id = 7 AND nid IS NOT NULL UNION ALL SELECT nid, hops + 1 FROM t JOIN nx ON nx.event_id = t.id WHERE hops < 5 AND nid IS NOT NULL) SELECT id, hops FROM t WHERE hops >= 2"),
-    "vle_unbounded": ("MATCH (s:Supplier)-[e*]->(x) WHERE s.s_suppkey < 20 RETURN s.s_suppkey AS k, label(x) AS kind, length(e) AS hops", "SELECT s_suppkey AS k, 'Nation' AS kind, 1 AS hops FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT s_suppkey, 'Region', 2 FROM supplier WHERE s_suppkey < 20"),
-    "vle_unbounded_whole": ("MATCH (s:Supplier)-[e*]->(x) RETURN s.s_suppkey AS k, label(x) AS kind, length(e) AS hops", "SELECT s_suppkey AS k, 'Nation' AS kind, 1 AS hops FROM supplier UNION ALL SELECT s_suppkey, 'Region', 2 FROM supplier"),
+    "vle_unbounded": ("MATCH (s:Supplier)-[e*]->(x) RETURN s.s_suppkey AS k, label(x) AS kind, length(e) AS hops", "SELECT s_suppkey AS k, 'Nation' AS kind, 1 AS hops FROM supplier UNION ALL SELECT s_suppkey, 'Region', 2 FROM supplier"),
     "vle_undirected": ("MATCH (r:Region {r_regionkey: 1})-[e:IN_REGION*1..3]-(x) RETURN length(e) AS hops, count(*) AS n", "SELECT 1 AS hops, count(*) AS n FROM nation WHERE n_regionkey = 1"),
     # -- expressions --
     "str_funcs": ("MATCH (c:Customer) RETURN c.c_custkey AS k, toupper(c.c_name) AS u, tolower(c.c_mktsegment) AS l, substring(c.c_name, 2, 5) AS s, left(c.c_name, 3) AS a, right(c.c_name, 4) AS b, left(c.c_name, -2) AS d, reverse(c.c_name) AS r, replace(c.c_name, '0', '#') AS p, size(c.c_name) AS n, initcap(c.c_mktsegment) AS i, c.c_name + '/' + c.c_mktsegment AS j, md5(c.c_name) AS m", "SELECT c_custkey AS k, upper(c_name) AS u, lower(c_mktsegment) AS l, substring(c_name, 2, 5) AS s, left(c_name, 3) AS a, right(c_name, 4) AS b, left(c_name, length(c_name) - 2) AS d, reverse(c_name) AS r, replace(c_name, '0', '#') AS p, length(c_name) AS n, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS i, c_name || '/' || c_mktsegment AS j, md5(c_name) AS m FROM customer"),
@@ -130,6 +129,21 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "vec_topk_ip": ("MATCH (a:Vec {vec_id: 1}), (v:Vec) RETURN v.vec_id AS id, round(v.embedding <#> a.embedding, 5) AS d ORDER BY v.embedding <#> a.embedding, id LIMIT 10", "SELECT v.vec_id AS id, round(-list_inner_product(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings v WHERE a.vec_id = 1 ORDER BY -list_inner_product(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), id LIMIT 10"),
     "vec_topk_cosine": ("MATCH (a:Vec {vec_id: 2}), (v:Vec) RETURN v.vec_id AS id, round(v.embedding <=> a.embedding, 5) AS d ORDER BY v.embedding <=> a.embedding, id LIMIT 10", "SELECT v.vec_id AS id, round(list_cosine_distance(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings v WHERE a.vec_id = 2 ORDER BY list_cosine_distance(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), id LIMIT 10"),
     "vec_norms": ("MATCH (v:Vec) RETURN v.vec_id AS id, dims(v.embedding) AS n, round(norm(v.embedding), 5) AS l2, round(l1_distance(v.embedding, v.embedding), 5) AS z", "SELECT vec_id AS id, len(embedding) AS n, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS l2, 0::DOUBLE AS z FROM embeddings"),
+    # -- further forms --
+    "leading_with": ("WITH 3 AS k MATCH (n:Nation) WHERE n.n_regionkey = k RETURN n.n_name AS nation", "SELECT n_name AS nation FROM nation WHERE n_regionkey = 3"),
+    "cypher_prefix": ("CYPHER MATCH (r:Region) RETURN r.r_name AS name", "SELECT r_name AS name FROM region"),
+    "label_by_id": ("MATCH (c:Customer)-[e]->(x:Nation) RETURN type(e) AS t, count(*) AS n", "SELECT 'LIVES_IN' AS t, count(*) AS n FROM customer"),
+    "vle_edge_property": ("MATCH (o:Orders)-[e:CONTAINS*1..2 {l_linenumber: 1}]->(x) RETURN length(e) AS hops, count(*) AS n", "SELECT 1 AS hops, count(*) AS n FROM lineitem WHERE l_linenumber = 1"),
+    "vle_zero_length": ("MATCH (r:Region)-[e:IN_REGION*0..1]-(x) RETURN r.r_regionkey AS r, length(e) AS hops, count(*) AS n", "SELECT n_regionkey AS r, 1 AS hops, count(*) AS n FROM nation GROUP BY 1"),
+    "group_by_distinct": ("MATCH (o:Orders) RETURN o.o_orderstatus AS s, count(*) AS n GROUP BY DISTINCT o.o_orderstatus", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1"),
+    "within_group": ("MATCH (c:Customer) RETURN c.c_mktsegment AS s, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY c.c_acctbal), 4) AS q, percentile_disc(0.5) WITHIN GROUP (ORDER BY c.c_acctbal) AS m", "SELECT c_mktsegment AS s, round(quantile_cont(c_acctbal, 0.25), 4) AS q, quantile_disc(c_acctbal, 0.5) AS m FROM customer GROUP BY 1"),
+    "aggs_lists": ("MATCH (n:Nation) RETURN n.n_regionkey AS r, size(array_agg(n.n_name)) AS a, size(collect(DISTINCT n.n_regionkey)) AS d, bool_and(n.n_nationkey < 20) AS b, bool_or(n.n_nationkey > 20) AS o, size(string_agg(n.n_name, ',')) AS l", "SELECT n_regionkey AS r, count(*) AS a, 1 AS d, bool_and(n_nationkey < 20) AS b, bool_or(n_nationkey > 20) AS o, length(string_agg(n_name, ',')) AS l FROM nation GROUP BY 1"),
+    "aggs_empty": ("MATCH (n:Nation) WHERE n.n_name = 'nowhere' RETURN count(*) AS n, sum(n.n_nationkey) AS s, min(n.n_name) AS m, avg(n.n_nationkey) AS a, size(collect(n.n_name)) AS c", "SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s, min(n_name) AS m, avg(n_nationkey) AS a, CAST(0 AS INTEGER) AS c FROM nation WHERE n_name = 'nowhere'"),
+    "window_shares": ("MATCH (p:Part) RETURN p.p_partkey AS k, round(percent_rank() OVER w, 6) AS r, round(cume_dist() OVER w, 6) AS c WINDOW w AS (PARTITION BY p.p_brand ORDER BY p.p_size)", "SELECT p_partkey AS k, round(percent_rank() OVER w, 6) AS r, round(cume_dist() OVER w, 6) AS c FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)"),
+    "window_nth": ("MATCH (o:Orders) RETURN o.o_orderkey AS k, nth_value(o.o_orderkey, 2) OVER w AS b, first_value(o.o_orderkey) OVER w AS a, last_value(o.o_orderkey) OVER w AS z WINDOW w AS (PARTITION BY o.o_custkey ORDER BY o.o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "SELECT o_orderkey AS k, nth_value(o_orderkey, 2) OVER w AS b, first_value(o_orderkey) OVER w AS a, last_value(o_orderkey) OVER w AS z FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    "window_range": ("MATCH (p:Part) RETURN p.p_partkey AS k, count(*) OVER (PARTITION BY p.p_brand ORDER BY p.p_size RANGE BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS n", "SELECT p_partkey AS k, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS n FROM part"),
+    "window_exclude_rows": ("MATCH (p:Part) RETURN p.p_partkey AS k, max(p.p_size) OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS a, min(p.p_size) OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS b, sum(p.p_size) OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS c", "SELECT p_partkey AS k, max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS a, min(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS b, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS BIGINT) AS c FROM part"),
+    "order_using": ("MATCH (n:Nation) RETURN n.n_name AS k ORDER BY n.n_name USING > LIMIT 5", "SELECT n_name AS k FROM nation ORDER BY n_name DESC LIMIT 5"),
 }
 
 #: name: (SQL for the engine, SQL for DuckDB)
@@ -140,6 +154,22 @@ SQL: dict[str, tuple[str, str]] = {
     "sql_joins": ("SELECT r_name AS r, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey FULL JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name", "SELECT r_name AS r, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey FULL JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name"),
     "sql_lateral": ("SELECT c_custkey AS k, t.o_orderkey AS o FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t", "SELECT c_custkey AS k, t.o_orderkey AS o FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t"),
     "sql_pricing_summary": ("SELECT l_returnflag AS f, l_linestatus AS s, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS d, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag AS f, l_linestatus AS s, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS d, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY l_returnflag, l_linestatus"),
+    "sql_values": ("SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)"),
+    "sql_tablesample": ("SELECT count(*) AS n FROM orders TABLESAMPLE BERNOULLI (100)", "SELECT count(*) AS n FROM orders"),
+    "sql_series": ("SELECT n, c FROM generate_series(2, 11, 3) WITH ORDINALITY AS g(n, c)", "SELECT * FROM (VALUES (2, 1), (5, 2), (8, 3), (11, 4)) AS t(n, c)"),
+    "sql_series_join": ("SELECT n_nationkey AS k, g AS g FROM nation, generate_series(1, 3) AS g WHERE g <> n_regionkey", "SELECT n_nationkey AS k, g::INTEGER AS g FROM nation, range(1, 4) AS t(g) WHERE g <> n_regionkey"),
+    "sql_rows_from": ("SELECT a, b FROM ROWS FROM (generate_series(1, 3), unnest(ARRAY['x', 'y'])) AS t(a, b)", "SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)"),
+    "sql_distinct_on": ("SELECT DISTINCT ON (c_nationkey) c_nationkey AS n, c_custkey AS k FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey", "SELECT DISTINCT ON (c_nationkey) c_nationkey AS n, c_custkey AS k FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey"),
+    "sql_with_ties": ("SELECT p_partkey AS k, p_size AS s FROM part ORDER BY s FETCH FIRST 5 ROWS WITH TIES", "SELECT p_partkey AS k, p_size AS s FROM part QUALIFY rank() OVER (ORDER BY p_size) <= 5"),
+    "sql_natural_using": ("SELECT n_nationkey AS k, r_name AS r, s.t FROM (SELECT n_nationkey, n_regionkey AS rk FROM nation) NATURAL JOIN (SELECT r_regionkey AS rk, r_name FROM region) LEFT JOIN (SELECT n_nationkey, count(*) AS t FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) s USING (n_nationkey)", "SELECT n_nationkey AS k, r_name AS r, s.t FROM (SELECT n_nationkey, n_regionkey AS rk FROM nation) NATURAL JOIN (SELECT r_regionkey AS rk, r_name FROM region) LEFT JOIN (SELECT n_nationkey, count(*) AS t FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) s USING (n_nationkey)"),
+    "sql_right_full": ("SELECT a.k AS a, b.k AS b FROM (SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3) a FULL JOIN (SELECT s.k, r_regionkey FROM (SELECT n_nationkey AS k, n_regionkey FROM nation WHERE n_nationkey > 9) s RIGHT JOIN region ON r_regionkey = s.n_regionkey) b ON a.k = b.k", "SELECT a.k AS a, b.k AS b FROM (SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3) a FULL JOIN (SELECT s.k, r_regionkey FROM (SELECT n_nationkey AS k, n_regionkey FROM nation WHERE n_nationkey > 9) s RIGHT JOIN region ON r_regionkey = s.n_regionkey) b ON a.k = b.k"),
+    "sql_any_all": ("SELECT c_custkey AS k, c_acctbal > ALL (SELECT s_acctbal FROM supplier) AS a, c_acctbal <= ANY (SELECT s_acctbal FROM supplier WHERE s_acctbal < 0) AS b, c_nationkey = ALL (SELECT n_nationkey FROM nation WHERE n_nationkey = 7) AS c, c_nationkey <> ANY (SELECT n_nationkey FROM nation WHERE n_nationkey = 7) AS d, c_nationkey < ALL (SELECT n_nationkey FROM nation WHERE n_nationkey > 99) AS e, c_nationkey > ANY (SELECT nullif(n_nationkey, 3) FROM nation) AS f FROM customer", "SELECT c_custkey AS k, c_acctbal > ALL (SELECT s_acctbal FROM supplier) AS a, c_acctbal <= ANY (SELECT s_acctbal FROM supplier WHERE s_acctbal < 0) AS b, c_nationkey = ALL (SELECT n_nationkey FROM nation WHERE n_nationkey = 7) AS c, c_nationkey <> ANY (SELECT n_nationkey FROM nation WHERE n_nationkey = 7) AS d, true AS e, CASE WHEN c_nationkey > 0 THEN true END AS f FROM customer"),
+    "sql_null_tests": ("SELECT event_id AS k, nullif(event_type, 'view') ISNULL AS a, nullif(event_type, 'view') NOTNULL AS b, (value > 50) IS NOT TRUE AS c, nullif(event_type, 'view') IS DISTINCT FROM 'error' AS d FROM events", "SELECT event_id AS k, nullif(event_type, 'view') IS NULL AS a, nullif(event_type, 'view') IS NOT NULL AS b, coalesce(value <= 50, true) AS c, nullif(event_type, 'view') IS DISTINCT FROM 'error' AS d FROM events"),
+    "sql_overlaps": ("SELECT o_orderkey AS k, (o_orderdate, o_orderdate) OVERLAPS (timestamp '1996-01-01', timestamp '1997-01-01') AS o FROM orders WHERE (date '2020-01-01', date '2020-02-01') OVERLAPS (date '2020-01-15', date '2020-03-01')", "SELECT o_orderkey AS k, o_orderdate < TIMESTAMP '1997-01-01' AND TIMESTAMP '1996-01-01' <= o_orderdate AS o FROM orders"),
+    "sql_time_zone": ("SELECT o_orderkey AS k, o_orderdate AT TIME ZONE '+05:00' AS t, timestamp '2020-06-01 12:00:00' AT TIME ZONE '+02:00' AS u FROM orders", "SELECT o_orderkey AS k, o_orderdate + INTERVAL 5 HOUR AS t, TIMESTAMP '2020-06-01 10:00:00' AS u FROM orders"),
+    "sql_current": ("SELECT current_date IS NOT NULL AS d, current_timestamp >= localtimestamp AS t, current_user IS NOT NULL AS u", "SELECT true AS d, true AS t, true AS u"),
+    "sql_scalar_row": ("SELECT r_regionkey AS k, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS m, size(ARRAY(SELECT n_name FROM nation)) AS a, (r_regionkey, r_name) = (1, 'AMERICA') AS w FROM region", "SELECT r_regionkey AS k, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS m, 25 AS a, r_regionkey = 1 AND r_name = 'AMERICA' AS w FROM region"),
+    "sql_collate_using": ("SELECT n_name AS n FROM nation ORDER BY n_name COLLATE \"C\" USING > LIMIT 3", "SELECT n_name AS n FROM nation ORDER BY n_name DESC LIMIT 3"),
 }
 
 
@@ -156,7 +186,38 @@ def updated(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def session(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
+    """As updated(), with the tables that the statements name as views."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if any(re.search(rf"\b{t}\b", s) for s in statements):
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return updated(*statements)(spark, sf_dir)
+
+    return run
+
+
+def copy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY TO and COPY FROM over the session's shared folder."""
+    path = shared_folder(spark)
+    return session("CREATE TABLE copied AS SELECT n_nationkey AS k, n_name AS v FROM nation", f"COPY (SELECT k + 100 AS k, v FROM copied) TO '{path}' WITH (FORMAT csv, HEADER)", f"COPY copied FROM '{path}' WITH (FORMAT csv, HEADER)", "SELECT k, v FROM copied")(spark, sf_dir)
+
+
 UPDATES: dict[str, tuple[Callable, str]] = {
+    "update_eager": (updated("MATCH (n:Nation) CREATE (:Copy {k: n.n_nationkey})", "MATCH (n:Copy) CREATE (:Copy {k: n.k + 100})", "MATCH (n:Copy) RETURN n.k AS k"), "SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation"),
+    "property_containment": (updated("MATCH (r:Region) CREATE (:Box {k: r.r_regionkey, l: [r.r_regionkey, 7, 9]})", "MATCH (b:Box {l: [9, 3]}) RETURN b.k AS k"), "SELECT r_regionkey AS k FROM region WHERE r_regionkey = 3"),
+    "graph_ddl": (updated("CREATE GRAPH other", "USE GRAPH other", "SELECT create_vlabel('other', 'A')", "SELECT create_elabel('other', 'E')", "UNWIND [1, 2, 3] AS i CREATE (:A {k: i})", "MATCH (a:A {k: 1}), (b:A) WHERE b.k > 1 CREATE (a)-[:E {w: b.k}]->(b)", "CREATE GRAPH gone", "DROP GRAPH gone CASCADE", "MATCH (a:A)-[e:E]->(b:A) RETURN a.k AS a, e.w AS w, b.k AS b"), "SELECT * FROM (VALUES (1, 2, 2), (1, 3, 3)) AS t(a, w, b)"),
+    "label_ddl": (updated("SELECT create_vlabel('trade', 'Spare')", "SELECT create_unique_properties_constraint('trade', 'Spare', 'k')", "SELECT create_property_index('trade', 'Spare', 'k')", "MATCH (n:Nation) CREATE (:Spare {k: n.n_nationkey})", "SELECT create_vlabel('trade', 'Brief')", "SELECT drop_label('trade', 'Brief')", "MATCH (s:Spare) RETURN s.k AS k"), "SELECT n_nationkey AS k FROM nation"),
+    "prepared": (session("PREPARE p AS SELECT n_nationkey AS k FROM nation WHERE n_regionkey = $1 AND n_nationkey > $2", "EXECUTE p(2, 8)"), "SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2 AND n_nationkey > 8"),
+    "cursor": (session("DECLARE c CURSOR FOR SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey", "FETCH 3 FROM c", "FETCH 7 FROM c"), "SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey LIMIT 7 OFFSET 3"),
+    "dml": (session("CREATE TABLE changed AS SELECT n_nationkey AS k, n_name AS v FROM nation", "UPDATE changed SET v = 'x' WHERE k < 5", "DELETE FROM changed WHERE k > 20", "INSERT INTO changed VALUES (99, 'new')", "INSERT INTO changed (k, v) VALUES (3, 'y'), (98, 'z') ON CONFLICT (k) DO UPDATE SET v = excluded.v", "INSERT INTO changed (k, v) VALUES (4, 'no'), (97, 'w') ON CONFLICT (k) DO NOTHING", "SELECT k, v FROM changed"), "SELECT n_nationkey AS k, CASE WHEN n_nationkey = 3 THEN 'y' WHEN n_nationkey < 5 THEN 'x' ELSE n_name END AS v FROM nation WHERE n_nationkey <= 20 UNION ALL SELECT * FROM (VALUES (99, 'new'), (98, 'z'), (97, 'w'))"),
+    "dml_returning": (session("CREATE TABLE given AS SELECT n_nationkey AS k, n_name AS v FROM nation", "UPDATE given SET v = concat(v, '!') WHERE k < 3 RETURNING k, v"), "SELECT n_nationkey AS k, n_name || '!' AS v FROM nation WHERE n_nationkey < 3"),
+    "truncate_view": (session("CREATE TABLE emptied AS SELECT n_nationkey AS k FROM nation", "CREATE VIEW seen AS SELECT count(*) AS n FROM nation", "TRUNCATE emptied", "SELECT n, (SELECT count(*) FROM emptied) AS z FROM seen"), "SELECT count(*) AS n, 0 AS z FROM nation"),
+    "copy": (copy_round_trip, "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation"),
+    "create_function": (session("CREATE FUNCTION plus_twice(a int, b int) RETURNS int LANGUAGE sql AS 'SELECT a + 2 * b'", "SELECT n_nationkey AS k, plus_twice(n_nationkey, n_regionkey) AS s FROM nation"), "SELECT n_nationkey AS k, n_nationkey + 2 * n_regionkey AS s FROM nation"),
+    "call_user_function": (updated("CREATE FUNCTION thrice(a int) RETURNS int RETURN 3 * $1", "MATCH (n:Nation) WHERE thrice(n.n_nationkey) > 60 RETURN n.n_nationkey AS k, thrice(n.n_nationkey) AS t"), "SELECT n_nationkey AS k, 3 * n_nationkey AS t FROM nation WHERE n_nationkey > 20"),
+    "maintenance": (session("VACUUM nation", "ANALYZE nation"), "SELECT 'analyze' AS done"),
     "update_create": (updated("MATCH (n:Nation) WHERE n.n_nationkey < 3 CREATE (n)-[:HOSTS {since: n.n_nationkey + 2000}]->(x:Fair {name: n.n_name})", "MATCH (n:Nation)-[h:HOSTS]->(x:Fair) RETURN n.n_nationkey AS k, h.since AS since, x.name AS name"), "SELECT n_nationkey AS k, n_nationkey + 2000 AS since, n_name AS name FROM nation WHERE n_nationkey < 3"),
     "update_set": (updated("MATCH (s:Supplier) WHERE s.s_acctbal < 0 SET s.s_acctbal = 0.0, s.risky = true", "MATCH (s:Supplier) RETURN s.s_suppkey AS k, s.s_acctbal AS b, s.risky AS r"), "SELECT s_suppkey AS k, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS b, CASE WHEN s_acctbal < 0 THEN true END AS r FROM supplier"),
     "update_remove": (updated("MATCH (n:Nation) WHERE n.n_nationkey > 20 REMOVE n.n_name", "MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name"), "SELECT n_nationkey AS k, CASE WHEN n_nationkey <= 20 THEN n_name END AS name FROM nation"),
@@ -172,6 +233,16 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IvfIndex(df, "embedding", 20).search(q, 10, probes=20).select("vec_id", F.round("distance", 5).alias("d"))
 
 
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: rows whose vec_id is divisible by 50, against all rows; whether an index of 20 lists, 12 of them probed, finds nine tenths of their true 10 nearest."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = IvfIndex(df, "embedding", 20)
+    found, true = (index.search_all(asked, 10, probes).select("query_id", "vec_id") for probes in (12, 20))
+    hits = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def exact_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     q = df.where("vec_id = 3").first()["embedding"]
@@ -184,9 +255,10 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_counts_batch(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: graph(q) for n, (q, _) in GRAPH.items()} | {n: relational(q) for n, (q, _) in SQL.items()} | {n: f for n, (f, _) in UPDATES.items()} | {"ivf_search": ivf_search, "vec_topk_l1": exact_l1, "stream_buckets": stream_buckets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: graph(q) for n, (q, _) in GRAPH.items()} | {n: relational(q) for n, (q, _) in SQL.items()} | {n: f for n, (f, _) in UPDATES.items()} | {"ivf_search": ivf_search, "ivf_recall": ivf_recall, "vec_topk_l1": exact_l1, "stream_buckets": stream_buckets}
 ORACLE_SQL: dict[str, str] = {n: o for n, (_, o) in GRAPH.items() if o} | {n: o for n, (_, o) in SQL.items()} | {n: o for n, (_, o) in UPDATES.items()} | {
     "ivf_search": "SELECT v.vec_id, round(list_distance(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings v WHERE a.vec_id = 0 ORDER BY list_distance(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), v.vec_id LIMIT 10",
+    "ivf_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "vec_topk_l1": "SELECT v.vec_id, round(list_sum([abs(v.embedding[i]::DOUBLE - a.embedding[i]::DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), 4) AS d FROM embeddings a, embeddings v WHERE a.vec_id = 3 ORDER BY list_sum([abs(v.embedding[i]::DOUBLE - a.embedding[i]::DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), v.vec_id LIMIT 10",
     "stream_buckets": "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import registry as functions
 from ..operators.trails import keep
 from ..sources import tables
+from . import sqltext
 
+TYPES = {"int": "int", "integer": "int", "int8": "bigint", "text": "string", "varchar": "string", "float8": "double", "numeric": "decimal(38,10)"}
 _TEXT = r"'((?:[^']|'')*)'"
 
 
@@ -58,6 +61,9 @@ class Statements:
                 (r"\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unlogged\s+)?(?:table|(?:materialized\s+)?view)\s+(?:if\s+not\s+exists\s+)?(\w+)\s+as\s+(.+?)", self.create_as),
                 (r"\s*create\s+(?:temp(?:orary)?\s+|unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?(\w+)\s*\((.+)\)", self.create_table),
                 (r"\s*drop\s+(?:table|(?:materialized\s+)?view)\s+(?:if\s+exists\s+)?(\w+)(?:\s+cascade)?", self.drop),
+                (r"\s*create\s+(?:or\s+replace\s+)?function\s+(\w+)\s*\((.*?)\)\s*returns\s+(\w+(?:\[\])?)\s+(?:language\s+'?sql'?\s+)?(?:immutable\s+|stable\s+|strict\s+)*(?:as\s+(?:'(.+)'|\$\$(.+)\$\$)|return\s+(.+?))(?:\s*language\s+'?sql'?)?", self.create_function),
+                (r"\s*drop\s+function\s+(?:if\s+exists\s+)?(\w+)(?:\s*\(.*\))?", self.drop_function),
+                (r"\s*(analyze|vacuum)\b.*?", self.nothing),
                 (r"\s*explain\s+(?:analyze\s+|verbose\s+)*(?=match|optional|unwind|return|call|cypher)(.+?)", self.explain),
             )
         ]
@@ -157,7 +163,8 @@ class Statements:
     def insert(self, name, columns, source, conflict, action, returning):
         old = self.spark.table(name)
         names = [c.strip() for c in columns.split(",")] if columns else old.columns
-        new = self.engine.run(source).toDF(*names[: len(self.engine.run(source).columns)])
+        new = self.engine.run(source)
+        new = new.toDF(*names[: len(new.columns)])
         new = new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
         if conflict:
             keys = [c.strip() for c in conflict.split(",")]
@@ -202,12 +209,34 @@ class Statements:
         self.engine.run(text).createOrReplaceTempView(name)
 
     def create_table(self, name, columns):
-        types = {"int": "int", "integer": "int", "text": "string", "varchar": "string", "float8": "double", "numeric": "decimal(38,10)"}
         cols = []
         for c in split_top(columns):
             n, kind = re.match(r"(\w+)\s+([\w]+(?:\([^)]*\))?)", c).groups()
-            cols.append(f"{n} {types.get(kind.lower(), kind)}")
+            cols.append(f"{n} {TYPES.get(kind.lower(), kind)}")
         self.spark.createDataFrame([], ", ".join(cols)).createOrReplaceTempView(name)
 
     def drop(self, name):
         self.spark.catalog.dropTempView(name)
+
+    # -- functions and maintenance --
+    def create_function(self, name, args, returns, quoted, dollars, expression):
+        """A function of one SQL expression, for both languages; arguments go by name or $1, $2."""
+        body = expression or re.sub(r"(?is)^\s*select\s+(.*?)\s*;?\s*$", r"\1", (quoted or "").replace("''", "'") or dollars)
+        given = []
+        for k, a in enumerate(split_top(args) if args.strip() else [], 1):
+            n, _, kind = a.rpartition(" ")
+            n = n.strip() or f"arg{k}"
+            given.append(f"{n} {TYPES.get(kind.lower(), kind)}")
+            body = re.sub(rf"\${k}\b", n, body)
+        kind = TYPES.get(returns.removesuffix("[]").lower(), returns.removesuffix("[]"))
+        kind = f"array<{kind}>" if returns.endswith("[]") else kind
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(given)}) RETURNS {kind} RETURN {sqltext.rewrite(body)}")
+        functions.USER.add(name.lower())
+
+    def drop_function(self, name):
+        self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
+        functions.USER.discard(name.lower())
+
+    def nothing(self, what):
+        """Statistics and space are Spark's own business."""
+        return self.spark.createDataFrame([(what.lower(),)], "done string")
