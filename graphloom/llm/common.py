@@ -7,6 +7,7 @@ import ctypes
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -143,14 +144,30 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
     return docs.withColumn("grp", F.array(*[F.lit(k) for k in keys])[at] if groups <= 4096 else at).repartition(groups, "grp")
 
 
-def release() -> None:
-    """Gives memory that earlier groups of a worker left unused back to the system."""
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+#: After a call of release() memory is given back once more at each of these times, in seconds: workers idle between tasks.
+LATER = (0.5, 1.5, 4.0)
+_pending: list[threading.Timer] = []
+
+
+def release() -> None:
+    """Gives memory that earlier groups of a worker left unused back to the system, now and when the worker is idle."""
+    _trim()
+    _pending[:] = [t for t in _pending if t.is_alive()]
+    if not _pending:
+        for seconds in LATER:
+            timer = threading.Timer(seconds, _trim)
+            timer.daemon = True
+            timer.start()
+            _pending.append(timer)
+
+
 def per_partition(fn: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
     """A mapInArrow function that calls fn for each group in the partition."""
 

@@ -57,13 +57,13 @@ class Windows:
         of = np.repeat((ends - n)[self.order], self.n) + ramp(self.n)
         self.ids = ids[of]
         if bytes_:
-            self.byte, self.size = at[of], np.diff(at)[of]
+            self.byte, self.size = at[of].astype(np.int32), np.diff(at)[of].astype(np.int32)
         self.first = np.cumsum(self.n) - self.n
         self.window, self.prefix = window, prefix
         many = np.maximum(self.n - window + 1, 0)
-        self.row = np.repeat(np.arange(len(n)), many)
-        self.at = ramp(many)
-        self.start = self.first[self.row] + self.at
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), many)
+        self.at = ramp(many).astype(np.int32)
+        self.start = (self.first[self.row] + self.at).astype(np.int32)
         grams = short(window_hashes(self.ids, prefix))
         span = window - prefix + 1
         total = max(0, len(self.ids) - window + 1)
@@ -72,13 +72,17 @@ class Windows:
             less = grams[j : j + total] < least
             least[less] = grams[j : j + total][less]
             where[less] = j
-        self.anchor, self.offset = least[self.start], where[self.start].astype(np.int64)
+        self.anchor, self.offset = least[self.start], where[self.start]
         self.hash = window_hashes(self.ids, window)[self.start]
 
     def first_in_group(self) -> np.ndarray:
         """For each window, the window of the same words that comes first in the group."""
-        _, first, at = np.unique(self.hash, return_index=True, return_inverse=True)
-        other = first[at]
+        order = np.argsort(self.hash, kind="stable").astype(np.int32)
+        of = self.hash[order]
+        new = np.concatenate(([True], of[1:] != of[:-1]))
+        other = np.empty(len(order), np.int32)
+        other[order] = order[new][np.cumsum(new) - 1]
+        del order, of, new
         differ = np.flatnonzero(other != np.arange(len(other)))
         same = np.ones(len(differ), bool)
         for j in range(self.window):
@@ -142,8 +146,11 @@ def _records(buckets, window, prefix, heavy):
         w = Windows(t, window, prefix, True)
         distinct, at = np.unique(w.anchor, return_inverse=True)
         shared = totals(got, "short", buckets)[at] if len(distinct) else np.zeros(0, np.int64)
-        first = w.first_in_group() if len(at) else np.zeros(0, np.int64)
+        shared = shared.astype(np.int32)
+        del distinct, at
+        first = w.first_in_group() if len(shared) else np.zeros(0, np.int64)
         local = w.doc[w.row[first]] < w.doc[w.row]
+        del first
         row, lo, hi = _runs(w.row[local], w.at[local]) or (np.zeros(0, np.int64),) * 3
         parts = [_covers(np.full(len(row), grp), row, lo, hi, buckets)]
         # A window that a document repeats is asked for at each place, since each is to go.
@@ -188,15 +195,17 @@ def deep_nodes(ids: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarr
 
     Nodes are split top down by one or two words at a time, as many as fit into one number with the node's; suffixes alone in a node end in a leaf above the depth.
     """
-    words, rank = np.unique(ids, return_inverse=True)
+    words = np.unique(ids)
     bits = max(1, int(len(words)).bit_length())
-    rank = rank.astype(np.uint64)
+    rank = np.empty(len(ids), np.uint32)
+    for s in range(0, len(ids), 1 << 19):
+        rank[s : s + (1 << 19)] = np.searchsorted(words, ids[s : s + (1 << 19)])
     live, node, at = np.arange(len(start)), np.zeros(len(start), np.uint64), 0
     while at < depth and len(live):
-        key = node << np.uint64(bits) | rank[start[live] + at]
+        key = node << np.uint64(bits) | rank[start[live] + at].astype(np.uint64)
         at += 1
         if at < depth and int(node[-1]).bit_length() + 2 * bits <= 64:
-            key = key << np.uint64(bits) | rank[start[live] + at]
+            key = key << np.uint64(bits) | rank[start[live] + at].astype(np.uint64)
             at += 1
         order = np.argsort(key)
         key, live = key[order], live[order]
@@ -217,7 +226,7 @@ def _subtrees(window, buckets, level):
         t = t.filter(pc.invert(done))
         if not t.num_rows:
             return out[0].combine_chunks()
-        ids, n = words_of(t.column("words").cast(pa.string()))
+        ids, n = words_of(t.column("words"))
         begin = np.cumsum(n) - n
         record, shift = np.nonzero((t.column("mask").to_numpy()[:, None] >> np.arange(window)) & 1)
         doc = t.column("doc_id").to_numpy()[record]
