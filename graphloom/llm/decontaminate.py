@@ -5,8 +5,8 @@ names and units after numbers become typed placeholders, everything else lower-c
 is one placeholder, and a capitalised word at a sentence's start is a name unless it is one of STARTERS.
 
 Windows of `window` words of one form are hash-joined between documents and benchmark items; template windows with under half
-literal words say nothing and are left out, as are windows that over COMMON different items share while LEFT others remain of an
-item. Windows of one document and one item whose distances between their places differ by less than half of BAND belong to one
+literal words say nothing and are left out, as are windows that over COMMON_ITEMS different items share, and windows with a word
+in one of these, while LEFT others remain of an item. Windows of one document and one item whose distances between their places differ by less than half of BAND belong to one
 alignment; a document is contaminated by an item if an alignment has enough different windows (`enough`, or `share` of those the
 item has in this form if that is less). An alignment of templates is then checked for its slots: inside the matched windows,
 placeholders of one value in the item must have one value in the document, as in a question asked again with other numbers, names
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fits_broadcast, materialize, text_key
@@ -33,7 +33,7 @@ from .common import fits_broadcast, materialize, text_key
 WINDOW, ENOUGH, SHARE = 8, 6, 0.6
 #: Items of fewer words are looked for as whole texts.
 FEW = 5
-#: Windows of more items than this are left out of an item that has LEFT others.
+#: Windows of more items than this, and those that overlap them, are left out of an item that has LEFT others.
 COMMON_ITEMS, LEFT = 16, 3
 UNITS = "km|kilometers|kilometres|miles|mi|m|meters|metres|cm|mm|feet|ft|inches|kg|kilograms|g|grams|mg|lb|lbs|pounds|tons|oz|l|liters|litres|ml|gallons|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|km/h|mph|usd|eur|dollars|euros|cents|percent|degrees|watts|kw|kwh|hz|bytes|kb|mb|gb"
 MARK = "\u0002"
@@ -132,10 +132,13 @@ def item_windows(items: DataFrame, forms: list[tuple[bool, int, bool]], enough:
     wins = reduce(DataFrame.unionByName, [of(*f).select("item_id", "exact", "n", "all", F.explode("kept").alias("at")) for f in forms])
     wins = wins.select("item_id", "exact", "n", "at", F.get("all", F.col("at")).alias("h"))
     common = wins.groupBy("h").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") > COMMON_ITEMS).select("h", F.lit(True).alias("common"))
-    wins = wins.join(common, "h", "left").withColumn("rare", F.col("common").isNull().cast("int"))
-    own = wins.groupBy("item_id", "exact").agg(F.sum("rare").alias("rares"), F.count("*").alias("many"))
-    own = own.select("item_id", "exact", (F.col("rares") >= LEFT).alias("pick"), F.when(F.col("rares") >= LEFT, F.col("rares")).otherwise(F.col("many")).alias("counted"))
-    wins = wins.join(own, ["item_id", "exact"]).where("rare = 1 OR NOT pick")
+    # 2: no word in common with a frequent window of the item, 1: not frequent itself, 0: frequent. An item with one window has no other.
+    near = Window.partitionBy("item_id", "exact").orderBy("at").rangeBetween(1 - max(n for _, n, _ in forms), max(n for _, n, _ in forms) - 1)
+    wins = wins.join(common, "h", "left").withColumn("rare", F.when(F.col("common"), 0).when(F.max("common").over(near), 1).otherwise(2))
+    own = wins.groupBy("item_id", "exact").agg(*[F.count_if(F.col("rare") >= k).alias(f"n{k}") for k in range(3)])
+    least = F.when(F.col("n2") >= LEFT, 2).when(F.col("n1") >= LEFT, 1).otherwise(0)
+    own = own.select("item_id", "exact", least.alias("least"), F.when(F.col("n2") >= LEFT, F.col("n2")).when(F.col("n1") >= LEFT, F.col("n1")).otherwise(F.col("n0")).alias("counted"))
+    wins = wins.join(own, ["item_id", "exact"]).where("rare >= least")
     return wins.select("item_id", "exact", "n", F.least(F.lit(enough), F.ceil(F.lit(share) * F.col("counted"))).cast("int").alias("need"), "at", "h")
 
 
