@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 8 << 20
 #: Bytes that are hashed at once.
 STRIDE = 1 << 20
+#: Bytes of a batch in which a group's result goes back.
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +170,11 @@ def release() -> None:
             _pending.append(timer)
 
 
+def in_batches(t: pa.Table) -> pa.Table:
+    """t in chunks of about BATCH_BYTES: a result goes back chunk by chunk, and the JVM holds one at a time."""
+    return pa.Table.from_batches(t.to_batches(max_chunksize=max(1, t.num_rows * BATCH_BYTES // max(1, t.nbytes))), t.schema)
+
+
 def per_partition(fn: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
     """A mapInArrow function that calls fn for each group in the partition."""
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import release
+from .common import in_batches, release
 
 SHORT_BITS = 46
 HEAD_BITS = SHORT_BITS - 32
@@ -86,7 +86,7 @@ def _answer(t: pa.Table) -> pa.Table:
         for r, k in zip(own, keys, strict=True):
             out.append((r[0], r[1], kind, *pack_counts(total[s : s + len(k)])))
             s += len(k)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
+    return in_batches(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER))
 
 
 def answers(asked: DataFrame, buckets: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, materialize, mix, per_partition, prepare, release, text_bytes, words_of
+from .common import group_count, group_keys, grouped, in_batches, materialize, mix, per_partition, prepare, release, text_bytes, words_of
 from .exchange import ASK, answers, ask, pack_counts, short, totals, unpack_counts
 
 START, STOP = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,7 +81,7 @@ def _stats(buckets: list[int]):
         for k, (s, e) in enumerate(zip(ends - n, ends, strict=True)):
             rows.append((*pack_words(counts[0][s:e]), *pack_counts(counts[1][s:e])))
         cols = list(zip(*rows, strict=True))
-        return pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(held), pa.array(n), *(pa.array(c, pa.binary()) for c in cols)], schema=_STATS)
+        return in_batches(pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(held), pa.array(n), *(pa.array(c, pa.binary()) for c in cols)], schema=_STATS))
 
     return run
 

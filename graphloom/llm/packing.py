@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, release
 
 SIZE = 2048
 #: Parts in which pieces of one length are ranked, at least, and full pieces of one part at most.
@@ -161,6 +161,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
         finally:
             # Workers outlive tasks, and an idle one is not to hold a table.
             enc.known.clear()
+            release()
 
     def cut_all(enc, batches):
         for b in batches:

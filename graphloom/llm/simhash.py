@@ -29,6 +29,8 @@ from .components import components
 SEED = 42
 #: Pairs that are compared at once in memory.
 PAIRS = 1 << 21
+#: Pairs of sets that are compared by size and place at once.
+MEETS = 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -329,6 +331,7 @@ def sketches(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFra
             prefix = [grams[s : s + k].tobytes() for s, k in zip(first.tolist(), head.tolist(), strict=True)]
             parity = [_parity(grams[s : s + k]) for s, k in zip(first.tolist(), many.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(many), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts", "shingles", "prefix", "parity"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, size long, fp long, parts binary, shingles long, prefix binary, parity binary")
 
@@ -358,7 +361,7 @@ def _met(threshold: float):
         meets = np.searchsorted(key, number << 32 | np.floor(size / threshold + 1e-6).astype(np.int64), side="right") - np.arange(len(key)) - 1
         ends, at = np.cumsum(meets), 0
         while at < len(key):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETS, side="right")))
             n = meets[at:to]
             i = np.repeat(np.arange(at, to), n)
             j = i + 1 + ramp(n)

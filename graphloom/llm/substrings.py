@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, group_keys, grouped, mix, per_partition, prepare, ramp, release, text_bytes, window_hashes, words_of, words_with_bytes
+from .common import group_count, group_keys, grouped, in_batches, mix, per_partition, prepare, ramp, release, text_bytes, window_hashes, words_of, words_with_bytes
 from .exchange import ASK, answers, ask, short, totals
 
 WINDOW, PREFIX, HEAVY = 13, 5, 64
@@ -56,8 +56,11 @@ class Windows:
         self.n, self.doc = n[self.order], doc[self.order]
         of = np.repeat((ends - n)[self.order], self.n) + ramp(self.n)
         self.ids = ids[of]
+        del ids, sums
         if bytes_:
             self.byte, self.size = at[of].astype(np.int32), np.diff(at)[of].astype(np.int32)
+            del at
+        del of
         self.first = np.cumsum(self.n) - self.n
         self.window, self.prefix = window, prefix
         many = np.maximum(self.n - window + 1, 0)
@@ -72,7 +75,9 @@ class Windows:
             less = grams[j : j + total] < least
             least[less] = grams[j : j + total][less]
             where[less] = j
+        del grams
         self.anchor, self.offset = least[self.start], where[self.start]
+        del least, where
         self.hash = window_hashes(self.ids, window)[self.start]
 
     def first_in_group(self) -> np.ndarray:
@@ -81,8 +86,11 @@ class Windows:
         of = self.hash[order]
         new = np.concatenate(([True], of[1:] != of[:-1]))
         other = np.empty(len(order), np.int32)
-        other[order] = order[new][np.cumsum(new) - 1]
-        del order, of, new
+        del of
+        number = np.cumsum(new, dtype=np.int32)
+        number -= 1
+        other[order] = order[new][number]
+        del order, new, number
         differ = np.flatnonzero(other != np.arange(len(other)))
         same = np.ones(len(differ), bool)
         for j in range(self.window):
@@ -95,10 +103,16 @@ class Windows:
         return other
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, ascending."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 def _asks(buckets, window, prefix):
     def run(t: pa.Table):
-        w = Windows(t, window, prefix)
-        yield from ask(t.column("grp")[0].as_py(), "short", (a := np.unique(w.anchor)), np.ones(len(a), np.int64), buckets)
+        grp, a = t.column("grp")[0].as_py(), _distinct(Windows(t, window, prefix).anchor)
+        yield from ask(grp, "short", a, np.ones(len(a), np.int64), buckets)
 
     return per_partition(run)
 
@@ -144,17 +158,21 @@ def _records(buckets, window, prefix, heavy):
             return _RECORD.empty_table()
         grp = t.column("grp")[0].as_py()
         w = Windows(t, window, prefix, True)
-        distinct, at = np.unique(w.anchor, return_inverse=True)
-        shared = totals(got, "short", buckets)[at] if len(distinct) else np.zeros(0, np.int64)
-        shared = shared.astype(np.int32)
-        del distinct, at
+        distinct = _distinct(w.anchor)
+        groups = totals(got, "short", buckets).astype(np.int32)
+        shared = np.zeros(len(w.anchor), np.int32)
+        for s in range(0, len(shared), 1 << 18):
+            shared[s : s + (1 << 18)] = groups[np.searchsorted(distinct, w.anchor[s : s + (1 << 18)])]
+        del distinct, groups
         first = w.first_in_group() if len(shared) else np.zeros(0, np.int64)
         local = w.doc[w.row[first]] < w.doc[w.row]
         del first
         row, lo, hi = _runs(w.row[local], w.at[local]) or (np.zeros(0, np.int64),) * 3
         parts = [_covers(np.full(len(row), grp), row, lo, hi, buckets)]
         # A window that a document repeats is asked for at each place, since each is to go.
-        ask_for = np.flatnonzero((shared > 1) & ~local)
+        ask_for = np.flatnonzero((shared > 1) & ~local).astype(np.int32)
+        if not (shared[ask_for] > heavy).any():
+            w.hash = None
         for deep in (False, True):
             own = ask_for[(shared[ask_for] > heavy) == deep]
             if not len(own):
@@ -170,7 +188,7 @@ def _records(buckets, window, prefix, heavy):
                 new = np.concatenate(([True], spot[1:] != spot[:-1]))
                 lead = np.flatnonzero(new)
                 # Windows of one anchor follow each other; bit j stands for the window that starts j words after the first.
-                of = np.cumsum(new) - 1
+                of = np.cumsum(new, dtype=np.int32) - 1
                 start, row, at_ = w.start[own][lead], w.row[own][lead], w.at[own][lead]
                 mask = np.zeros(len(lead), np.int64)
                 np.bitwise_or.at(mask, of, np.int64(1) << (w.start[own] - start[of]))
@@ -180,7 +198,7 @@ def _records(buckets, window, prefix, heavy):
             last = start + have - 1
             blob = _slices(w.data, w.byte[start], w.byte[last] + w.size[last] - 1 - w.byte[start])
             parts.append(pa.Table.from_arrays([pa.array(place, pa.int32()), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(w.doc[row]), pa.array(np.full(len(row), grp), pa.int32()), pa.array(row, pa.int32()), pa.array(at_, pa.int32()), pa.array(mask), blob], schema=_RECORD))
-        return pa.concat_tables(parts).combine_chunks()
+        return in_batches(pa.concat_tables(parts))
 
     return run
 
@@ -225,7 +243,7 @@ def _subtrees(window, buckets, level):
         out = [t.filter(done)]
         t = t.filter(pc.invert(done))
         if not t.num_rows:
-            return out[0].combine_chunks()
+            return in_batches(out[0])
         ids, n = words_of(t.column("words"))
         begin = np.cumsum(n) - n
         record, shift = np.nonzero((t.column("mask").to_numpy()[:, None] >> np.arange(window)) & 1)
@@ -245,7 +263,7 @@ def _subtrees(window, buckets, level):
             go = np.flatnonzero((t.column("key").to_numpy().view(np.uint64)[record] >= DEEP) & ~covered)
             rest = t.take(pa.array(record[go]))
             out.append(rest.set_column(0, _RECORD.field("bucket"), pa.array(_bucket(rest.column("key").to_numpy().view(np.uint64), buckets), pa.int32())))
-        return pa.concat_tables(out).combine_chunks()
+        return in_batches(pa.concat_tables(out))
 
     return run
 
@@ -287,7 +305,7 @@ def _kept(window, prefix, original, schema):
                 arrays.append(pa.array(kept, pa.binary()).cast(pa.string()))
             else:
                 arrays.append(t.column(f.name).combine_chunks().cast(f.type))
-        return pa.Table.from_arrays(arrays, schema=schema)
+        return in_batches(pa.Table.from_arrays(arrays, schema=schema))
 
     return run
 
