@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ SEED = 42
 PAIRS = 1 << 21
 #: Pairs of sets that are compared by size and place at once.
 MEETS = 1 << 18
+#: Bytes of text that are sketched at once, and words whose bits are counted at once (some 1,500 bytes each).
+SLICE_BYTES, BLOCK = 1 << 19, 2000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -258,13 +261,24 @@ def _shingles(column, words: int, hot: np.ndarray | None = None, rank: np.ndarra
     return grams, row, np.bincount(row, minlength=len(n))
 
 
+def slices(batches):
+    """The same rows in order, in batches of at most SLICE_BYTES of text or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def hot_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, ascending, and their ranks: the logarithm of the number of sampled documents. Any choice keeps the index exact; a good one keeps common passages out of it."""
     prepare(docs.sparkSession)
     every = max(1, min(HOT_EVERY, docs.count() // HOT_DOCS))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             h, n = np.unique(_shingles(b.column("text"), words)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -291,51 +305,50 @@ def sketches(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFra
 
     def run(batches):
         release()
-        for b in batches:
-            ids, n = words_of(b.column("text"), lower=True)
-            row = np.repeat(np.arange(len(n)), n)
-            at = ramp(n)
-            pw = powers(int(n.max()) + 1 if len(n) else 1)
-            sums = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
-            have = n > 0
-            first = (np.cumsum(n) - n)[have]
-            for k in range(2):
-                sums[k][have] = np.add.reduceat(mix(ids + np.uint64(k)) * pw[k][at], first) if have.any() else 0
-            order = np.lexsort((ids, row))
-            ids, row = ids[order], row[order]
-            one = np.concatenate(([True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]))) if len(ids) else np.zeros(0, bool)
-            ids, row = ids[one], row[one]
-            bits = np.zeros((len(n), 32), np.uint8)
-            m = np.bincount(row, minlength=len(n))
-            ends = np.cumsum(m)
-            s = 0
-            while s < len(n):
-                # Up to some ten thousand words at once: 256 bytes each.
-                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 20_000, side="right")))
-                part = ids[ends[s] - m[s] : ends[e - 1]]
-                if len(part):
-                    wide = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(1, 5)], axis=1)
-                    ones = np.unpackbits(wide.view(np.uint8).reshape(len(part), 32), axis=1, bitorder="little")
-                    some = np.flatnonzero(m[s:e])
-                    counts = np.add.reduceat(ones.astype(np.int32), (ends[s:e] - m[s:e] - (ends[s] - m[s]))[some], axis=0)
-                    bits[s:e][some] = np.packbits(2 * counts > m[s:e][some][:, None], axis=1, bitorder="little")
-                s = e
-            triples = bits[:, 8:].reshape(len(n), PARTS, 3).astype("<u4")
-            parts = (triples[:, :, 0] | triples[:, :, 1] << 8 | triples[:, :, 2] << 16).astype("<u4")
-            size = np.concatenate([np.diff(off) for _, off in text_buffers(b.column("text"))]) if len(n) else np.zeros(0, np.int64)
-            grams, _, many = _shingles(b.column("text"), words, *hot.value)
-            first = np.cumsum(many) - many
-            head = np.where(many > 0, many - np.ceil(threshold * many - 1e-6).astype(np.int64) + 1, 0)
-            # Texts shorter than a shingle are similar to equal ones only.
-            head[n < words] = 0
-            prefix = [grams[s : s + k].tobytes() for s, k in zip(first.tolist(), head.tolist(), strict=True)]
-            parity = [_parity(grams[s : s + k]) for s, k in zip(first.tolist(), many.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(many), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts", "shingles", "prefix", "parity"])
+        for b in slices(batches):
+            yield _sketch(b, words, threshold, *hot.value)
         release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, size long, fp long, parts binary, shingles long, prefix binary, parity binary")
 
 
+def _sketch(b: pa.RecordBatch, words: int, threshold: float, hot: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    """The rows of sketches() for a batch of doc_id and text."""
+    ids, n = words_of(b.column("text"), lower=True)
+    row = np.repeat(np.arange(len(n)), n)
+    at = ramp(n)
+    pw = powers(int(n.max()) + 1 if len(n) else 1)
+    sums = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
+    have = n > 0
+    first = (np.cumsum(n) - n)[have]
+    for k in range(2):
+        sums[k][have] = np.add.reduceat(mix(ids + np.uint64(k)) * pw[k][at], first) if have.any() else 0
+    order = np.lexsort((ids, row))
+    ids, row = ids[order], row[order]
+    one = np.concatenate(([True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]))) if len(ids) else np.zeros(0, bool)
+    ids, row = ids[one], row[one]
+    m = np.bincount(row, minlength=len(n))
+    counts = np.zeros((len(n), 256), np.int32)
+    for s in range(0, len(ids), BLOCK):
+        part, of = ids[s : s + BLOCK], row[s : s + BLOCK]
+        wide = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(1, 5)], axis=1)
+        ones = np.unpackbits(wide.view(np.uint8).reshape(len(part), 32), axis=1, bitorder="little")
+        start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        counts[of[start]] += np.add.reduceat(ones, start, axis=0, dtype=np.int32)
+    bits = np.packbits(2 * counts > m[:, None], axis=1, bitorder="little")
+    triples = bits[:, 8:].reshape(len(n), PARTS, 3).astype("<u4")
+    parts = (triples[:, :, 0] | triples[:, :, 1] << 8 | triples[:, :, 2] << 16).astype("<u4")
+    size = np.concatenate([np.diff(off) for _, off in text_buffers(b.column("text"))]) if len(n) else np.zeros(0, np.int64)
+    grams, _, many = _shingles(b.column("text"), words, hot, rank)
+    first = np.cumsum(many) - many
+    head = np.where(many > 0, many - np.ceil(threshold * many - 1e-6).astype(np.int64) + 1, 0)
+    # Texts shorter than a shingle are similar to equal ones only.
+    head[n < words] = 0
+    prefix = [grams[s : s + k].tobytes() for s, k in zip(first.tolist(), head.tolist(), strict=True)]
+    parity = [_parity(grams[s : s + k]) for s, k in zip(first.tolist(), many.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), pa.array(bits[:, :8].copy().view("<i8").ravel()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(many), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "s1", "s2", "size", "fp", "parts", "shingles", "prefix", "parity"])
+
+
 def _parity(grams: np.ndarray) -> bytes:
     width = max(64, 1 << int(len(grams) - 1).bit_length()) if len(grams) else 64
     odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1

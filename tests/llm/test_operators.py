@@ -165,6 +165,36 @@ def test_simhash_empty_and_repeated(spark, none):
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(twice).collect()) == [(0, 0), (1, 1), (1, 1)]
 
 
+def test_sketches_of_slices(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, n)) for n in rng.integers(0, 3000, 430)] + [None, "", "one two", "x " * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    none, rank = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    common.powers(1 << 20)
+
+    def sketched(b):
+        tracemalloc.start()
+        rows, most = [], []
+        for part in simhash.slices([b]):
+            tracemalloc.reset_peak()
+            rows += simhash._sketch(part, 5, 0.8, none, rank).to_pylist()
+            most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return rows, max(most)
+
+    few = batch.slice(0, len(texts) - 1)
+    assert max(sum(len(t or "") for t in s.column("text").to_pylist()) for s in simhash.slices([few])) <= simhash.SLICE_BYTES
+    small, by_slices = sketched(few)
+    assert len(list(simhash.slices([batch]))) == len(list(simhash.slices([few]))) + 1
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 1 << 40)
+    whole, at_once = sketched(few)
+    assert small == whole and by_slices < 30e6 < at_once
+
+
 def test_similar_groups(docs, rows, none):
     sets = []
     for _, t in rows:
