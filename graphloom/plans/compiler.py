@@ -22,6 +22,7 @@ from ..functions import dynamic
 from ..functions import registry as functions
 from ..operators import trails
 from ..sources.catalog import Graph, union_all
+from . import factors
 from .parser import EdgePattern, NodePattern, Path, Projection
 
 
@@ -117,8 +118,8 @@ class Compiler:
         if q[0] == "set":
             return self.set_query(q, outer)
         self.used = self.used | names_in(q[1])
-        rows = outer or Rows(None, {})
-        for k, c in enumerate(q[1]):
+        rows, done = (None if outer else factors.grouped(self, q[1])) or (outer or Rows(None, {}), 0)
+        for k, c in enumerate(q[1][done:], done):
             rows = self.clause(c, rows, first=k == 0)
         return rows
 
