@@ -4,6 +4,8 @@ MATCH (c)-[:A]->(n), (s)-[:B]->(n) has as many rows as pairs of c and s at each
 the aggregates allow it, each part is computed by itself:
 
 * Aggregates that repeated rows don't change (DISTINCT, min, max) read one part each; of the others only matters that they have a row.
+* count(*) multiplies the rows of one part by the counts of the others at the same vertex. One comparison between two parts is a
+  running count over the other part's values.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ import itertools
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import registry as functions
 from .parser import EdgePattern, NodePattern, Path, Projection
 
+FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+ORDERED = (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType, T.DateType, T.TimestampType)
+
 
 class Part:
     """Paths that share no variable with other parts but the vertex where all meet, and the conditions that read them alone."""
@@ -125,7 +132,7 @@ def grouped(compiler, clauses: list):
                 mine[0].where.append(c)
             else:
                 cross.append(c)
-        rows = separate(compiler, found, at, keys, aggs, cross)
+        rows = separate(compiler, found, at, keys, aggs, cross) or counted(compiler, found, at, keys, aggs, cross)
         if rows is not None:
             last = Projection([(("var", a), a) for _, a in items], p.distinct, order=p.order, skip=p.skip, limit=p.limit)
             return compiler.project(rows, last), n + 1
@@ -157,3 +164,50 @@ def separate(compiler, found: list[Part], at: str, keys, aggs, cross):
             df = (out.join(df, same) if keys else out.crossJoin(df)).drop(*[f"{a}@other" for _, a in keys])
         out = df
     return Rows(out, {a: Var("value") for _, a in keys + aggs})
+
+
+def counted(compiler, found: list[Part], at: str, keys, aggs, cross):
+    """count(*): rows of the part that has the keys, times the others' counts."""
+    from .compiler import Rows, Var, names_in
+
+    base = next((part for part in found if names_in([e for e, _ in keys]) <= part.vars), None)
+    if base is None or len(cross) > 1 or not all(e[1] == "count" and (e[3].get("star") or not e[2]) and not e[3].get("distinct") for e, _ in aggs):
+        return None
+    weights, others = [], [part for part in found if part is not base]
+    if cross:
+        _, op, x, y = cross[0] if len(cross[0]) == 4 else (None,) * 4
+        if len(others) > 1 or cross[0][0] != "bin" or op not in FLIPPED:
+            return None
+        if names_in(x) <= base.vars and names_in(y) <= others[0].vars:
+            op, x, y = FLIPPED[op], y, x
+        if not (names_in(x) <= others[0].vars and names_in(y) <= base.vars):
+            return None
+    rows = base.rows(compiler)
+    if cross:
+        theirs = others[0].rows(compiler)
+        compiler.rows = theirs
+        tx, col = compiler.type_of(compiler.expr(theirs, x)), compiler.expr(theirs, x)
+        right = theirs.df.select(F.col(f"{at}@_id").alias("@at"), col.alias("@value"))
+        compiler.rows = rows
+        mine = compiler.expr(rows, y)
+        if tx != compiler.type_of(mine) or not isinstance(tx, ORDERED):
+            compiler.rows = None
+            return None
+        rows = Rows(rows.df.withColumn("@mine", mine), rows.vars)
+        compiler.rows = None
+        left = rows.df.select(F.col(f"{at}@_id").alias("@at"), F.col("@mine").alias("@value"))
+        both = right.withColumn("@n", F.lit(1)).unionAll(left.withColumn("@n", F.lit(0))).where("`@value` IS NOT NULL").groupBy("@at", "@value").agg(F.sum("@n").alias("@n"))
+        order = F.col("@value").asc() if op[0] == "<" else F.col("@value").desc()
+        upto = F.sum("@n").over(Window.partitionBy("@at").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = both.select("@at", "@value", (upto if op[1:] else upto - F.col("@n")).alias("@n0")).where("`@n0` > 0")
+        rows.df = rows.df.join(counts, (F.col(f"{at}@_id") == F.col("@at")) & (F.col("@mine") == F.col("@value"))).drop("@at", "@value", "@mine")
+        weights = ["@n0"]
+    else:
+        for k, part in enumerate(others):
+            counts = part.ids(compiler, at).groupBy("@at").agg(F.count("*").alias(f"@n{k}"))
+            rows = Rows(rows.df.join(counts, F.col(f"{at}@_id") == F.col("@at")).drop("@at"), rows.vars)
+            weights.append(f"@n{k}")
+    weight = next(compiler.fresh)
+    df = rows.df.withColumn(weight, reduce(lambda a, b: a * b, [F.col(w) for w in weights])).drop(*weights)
+    total = ("call", "coalesce", [("call", "sum", [("var", weight)], {}), ("lit", 0)], {})
+    return compiler.project(Rows(df, rows.vars | {weight: Var("value")}), Projection(keys + [(total, a) for _, a in aggs]))

@@ -27,7 +27,12 @@ QUERIES = {
     "no keys": "MATCH (b:Buyer)-[:LIVES]->(n:Land)<-[:BASED]-(s:Seller) WHERE b.v > 1 AND s.v < 9 RETURN count(DISTINCT b) AS b, count(DISTINCT s) AS s",
     "no rows": "MATCH (b:Buyer)-[:LIVES]->(n:Land {k: 9})<-[:BASED]-(s:Seller) RETURN count(DISTINCT b) AS b, count(DISTINCT s) AS s, min(s.v) AS v",
     "order": "MATCH (b:Buyer)-[:LIVES]->(n:Land), (s)-[:BASED]->(n) RETURN n.k AS k, count(DISTINCT b) AS b, min(s.v) AS v ORDER BY b DESC, k LIMIT 2",
-}
+    "three parts": "MATCH (b:Buyer)-[:LIVES]->(n:Land), (s:Seller)-[:BASED]->(n) MATCH (n)<-[:LIVES]-(c:Buyer) WHERE c.v > 4 RETURN n.name AS name, count(*) AS n",
+    "count": "MATCH (b:Buyer)-[:LIVES]->()<-[:BASED]-(s:Seller) RETURN b.k AS k, count(*) AS n",
+    "count nothing": "MATCH (b:Buyer {k: 77})-[:LIVES]->()<-[:BASED]-(s:Seller) RETURN count(*) AS n",
+    "with": "MATCH (b:Buyer)-[:LIVES]->(n:Land)<-[:BASED]-(s:Seller) WITH n.name AS name, count(*) AS n WITH name, n WHERE n > 2 RETURN n, name",
+    "vertex alone": "MATCH (n:Land), (b:Buyer)-[:LIVES]->(n), (s:Seller)-[:BASED]->(n) WHERE n.k < 2 RETURN n.k AS k, count(*) AS n, count(*) AS again",
+} | {f"compare {op}": f"MATCH (b:Buyer)-[:LIVES]->(n:Land)<-[:BASED]-(s:Seller) WHERE s.v {op} b.v RETURN n.name AS name, count(*) AS n" for op in ("<", "<=", ">", ">=")} | {"compare, keys of a part": "MATCH (b:Buyer)-[:LIVES]->(n:Land)<-[:BASED]-(s:Seller) WHERE b.v <= s.v AND n.k < 2 RETURN s.k AS k, count(*) AS n"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -58,7 +63,7 @@ def test_patterns_that_need_all_rows(land, monkeypatch, text):
     assert made == [None]
 
 
-@pytest.mark.parametrize("name", ["comma_paths"])
+@pytest.mark.parametrize("name", ["comma_paths", "match_cycle_same_nation"])
 def test_no_pairs(spark, name):
     """The parts meet in a semi join or a running count, not row by row."""
     folder = "/root/testdata/sf0.001"
