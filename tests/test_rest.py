@@ -53,3 +53,24 @@ def test_rewrites_leave_texts_alone():
 
 def test_functions_are_many():
     assert len(names()) > 200
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_blocks_of_queries_and_vectors_give_the_exact_nearest(spark, monkeypatch, metric):
+    """All lists probed: the k nearest of each query as top_k has them, ties of equal vectors included, and no pair of a query and a row as a row of a join."""
+    from graphloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 8)).astype("float32")
+    x = np.concatenate([base, base, base[:20]])
+    df = spark.createDataFrame([(int(k), [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(2)
+    asked = df.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    found = nearest.IvfIndex(df, "embedding", 3, metric).search_all(asked, 5, 3)
+    assert "cogroup" in found._jdf.queryExecution().analyzed().toString().lower()
+    got = {}
+    for q, r, v, d in sorted(map(tuple, found.collect())):
+        got.setdefault(q, []).append((v, d))
+    for k in range(0, 140, 20):
+        assert got[k] == [tuple(r) for r in nearest.top_k(df, "embedding", x[k].tolist(), 5, metric).select("vec_id", "distance").collect()], k
