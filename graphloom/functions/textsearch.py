@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 def words(x: Column) -> Column:
     """Lower-case words in order; a word's place is its index."""
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), "")
 
 
 def to_tsvector(x: Column, kind: T.DataType) -> Column:
@@ -59,6 +59,8 @@ def tsquery_phrase(c, type_of) -> Column:
     return joined(text_of(c[0], type_of(c[0])), n, text_of(c[1], type_of(c[1])))
 
 
+#: Between the words of a document that is searched for a phrase.
+MARK = "\u0001"
 TOKEN = re.compile(r"\s*(<->|<\d+>|[&|!()]|'[^']*'|[^\s&|!()<>]+)")
 
 
@@ -108,13 +110,22 @@ def compile_query(text: str):
 
     tree = either() if tokens else None
 
+    def chain(n) -> list[tuple[int, str]] | None:
+        """A phrase of whole words as their distances from the ones before; None if it holds anything else."""
+        if n[0] == "word":
+            return None if n[2] or not n[1] or MARK in n[1] or "\\E" in n[1] else [(0, n[1])]
+        if n[0] != "next" or n[1] < 1 or n[3][0] != "word":
+            return None
+        left, right = chain(n[2]), chain(n[3])
+        return [*left, (n[1], right[0][1])] if left and right else None
+
     def places(n, doc: Column) -> Column:
         if n[0] == "word":
             hit = (lambda w: w.startswith(n[1])) if n[2] else (lambda w: w == n[1])
             return F.filter(F.transform(doc, lambda w, i: F.when(hit(w), i).otherwise(-1)), lambda i: i >= 0)
         if n[0] == "next":
-            left, right = places(n[2], doc), places(n[3], doc)
-            return F.filter(right, lambda i: F.array_contains(left, i - n[1]))
+            # Both sides once for a document; inside a lambda the left one would be computed for each place of the right one.
+            return F.array_intersect(places(n[3], doc), F.transform(places(n[2], doc), lambda i: i + n[1]))
         if n[0] == "or":
             return F.array_union(places(n[1], doc), places(n[2], doc))
         return F.array_intersect(places(n[1], doc), places(n[2], doc))
@@ -130,6 +141,13 @@ def compile_query(text: str):
             return F.array_contains(doc, n[1])
         if n[0] == "word":
             return F.exists(doc, lambda w: w.startswith(n[1]))
+        if words_of := chain(n):
+            # A text of the words between marks that no word has, nor the sign of a null.
+            text = F.concat(F.lit(MARK), F.array_join(doc, MARK, "\u0002"), F.lit(MARK))
+            if all(d == 1 for d, _ in words_of[1:]):
+                return F.contains(text, F.lit(MARK + MARK.join(w for _, w in words_of) + MARK))
+            between = f"[^{MARK}]*{MARK}"
+            return F.rlike(text, F.lit(MARK + "".join(f"(?:{between}){{{max(d - 1, 0)}}}\\Q{w}\\E{MARK}" for d, w in words_of)))
         return F.size(places(n, doc)) > 0
 
     return (lambda doc: truth(tree, doc)) if tree else lambda doc: F.lit(False)
