@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,9 @@ from .temporal import literal
 _ADDRESS = re.compile(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*)(/\d+)?$")
 
 
+@lru_cache(1 << 16)
 def _iface(x):
+    """Parsed once for all functions of a worker that ask for the same text."""
     return ipaddress.ip_interface(x)
 
 
@@ -27,7 +30,7 @@ def _plain(i) -> str:
 
 
 def _mapped(kind: str, f):
-    """A batch function over one or two columns; a null or a text that is no address gives null."""
+    """A batch function over one or two columns, called once for equal values of a batch; a null or a text that is no address gives null."""
 
     def one(*args):
         if any(a is None or a != a for a in args):
@@ -41,12 +44,15 @@ def _mapped(kind: str, f):
 
         @F.pandas_udf(kind)
         def run(a: pd.Series) -> pd.Series:
-            return a.map(one)
+            known = {x: one(x) for x in a.unique()}
+            return pd.Series([known[x] for x in a], dtype=object)
     else:
 
         @F.pandas_udf(kind)
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+            pairs = list(zip(a, b, strict=True))
+            known = {p: one(*p) for p in set(pairs)}
+            return pd.Series([known[p] for p in pairs], dtype=object)
 
     return run
 

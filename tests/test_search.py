@@ -1,10 +1,11 @@
-"""Phrases of text search against enumeration."""
+"""Phrases of text search against enumeration, and network functions over batches."""
 
 import itertools
 
+import pandas as pd
 import pytest
 
-from graphloom.functions import textsearch
+from graphloom.functions import network, textsearch
 
 
 def ends(doc, words, steps):
@@ -38,3 +39,16 @@ def test_a_phrase_reads_the_document_once(spark):
     assert plan("of <-> the").count("split(") == 1
     # In general once for each word, and never inside the lambda of another.
     assert "array_contains" not in plan("(of | a) <-> the") and df.select(textsearch.compile_query("(of | a) <-> the")(textsearch.words(df.text)).alias("hit")).first().hit
+
+
+def test_equal_addresses_of_a_batch_are_computed_once():
+    calls = []
+
+    def f(x):
+        calls.append(x)
+        return network._inet(x)
+
+    got = network._mapped("string", f).func(pd.Series(["10.0.0.1/24", None, "no", "10.0.0.1/24", "::1"] * 50))
+    assert got.tolist()[:5] == ["10.0.0.1/24", None, None, "10.0.0.1/24", "::1"] and len(calls) == 3
+    pair = network._mapped("boolean", lambda a, b: network._within(True)(a, b)).func
+    assert pair(pd.Series(["10.0.0.1/24", "10.0.0.1", None]), pd.Series(["10.0.0.0/16"] * 3)).tolist() == [True, True, None]
