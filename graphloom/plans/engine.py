@@ -30,9 +30,12 @@ class Engine:
         if done:
             return result
         if SQL.match(text):
-            return self.spark.sql(sqltext.rewrite(text), args=params or None)
+            return self.spark.sql(sqltext.rewrite(sqltext.distinct_parts(text, self.columns)), args=params or None)
         return self.cypher(text, params)
 
+    def columns(self, table: str) -> list[str] | None:
+        return self.spark.table(table).columns if self.spark.catalog.tableExists(table) else None
+
     def cypher(self, text: str, params: dict | None = None) -> DataFrame | None:
         tree = parse(text)
         if tree[0] == "use":
